@@ -86,12 +86,14 @@ cand as (
     len(string_split(p1, ' ')) as len1
   from pp, docs
 ),
-found as (
+found0 as (
   select * from cand
   where case when p2 is null or p2 = '' then len(s1) > 0
              when keyphrase_distance is null then len(s1) > 0 and len(s2) > 0
              else len(list_filter(s1, lambda a: len(list_filter(s2, lambda b: abs(b - a - len1) <= keyphrase_distance)) > 0)) > 0 end
-    and {source_match()}
+),
+found as (
+  select * from found0 where {source_match()}
 ),
 typed as (
   select *, {t} as document_type, {d} as detailed_type from found
@@ -251,3 +253,8 @@ from merged
 where not ((contains(doc_id, 'Cortellis') or contains(doc_id, 'cortellis')) and contains(doc_id, 'Drug_Status_Changes_alert') and contains(doc_id, 'full_email'))
   and not contains(document_type, 'clinical_trials')"""
     return alert_pipeline_sql(sel, alerts_filter)
+
+
+def articles_query(select: str) -> str:
+    return f"""with {fx.articles_sql()}
+{select}"""
