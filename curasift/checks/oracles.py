@@ -258,3 +258,124 @@ where not ((contains(doc_id, 'Cortellis') or contains(doc_id, 'cortellis')) and
 def articles_query(select: str) -> str:
     return f"""with {fx.articles_sql()}
 {select}"""
+
+
+# ---------------------------------------------------------------------------
+# Tagging, pairs and daily statistics
+# ---------------------------------------------------------------------------
+
+def valid_expr(m: str, t: str) -> str:
+    trash = ", ".join(sq.q(x) for x in cl.TRASH_ALIASES)
+    return (f"(case when {m} in ({trash}) then false when length({m}) > 3 then true "
+            f"else (contains({t}, 'target') or contains({t}, 'indication')) and regexp_matches({m}, '[A-Z]') "
+            f"and not regexp_matches({m}, '[a-z]') end)")
+
+
+def spans_ctes(src: str, keys: list[str], text: str, prefix: str, kw_join: str | None = None) -> str:
+    """CTEs {prefix}_spans (all occurrences) and {prefix}_long (longest) of
+    dictionary phrases over ``text`` of ``src``."""
+    k = ", ".join(keys)
+    kj = f" join {kw_join} using (doc_key, phrase)" if kw_join else ""
+    return f"""{prefix}_tok as (
+  select {k}, {sq.raw_tokens(text)} as raw, list_transform({sq.raw_tokens(text)}, lambda w: lower(w)) as low from {src}
+),
+{prefix}_occ as (
+  select {k}, phrase, raw, len(pt) as n,
+    unnest(list_filter(range(1, len(low) + 1), lambda i: low[i:i + len(pt) - 1] = pt)) as s1
+  from {prefix}_tok, (select distinct phrase, string_split(phrase, ' ') as pt from ents where phrase <> '') ph
+),
+{prefix}_spans as (
+  select {k}, phrase, s1 - 1 as start, s1 - 1 + n as "end", array_to_string(raw[s1:s1 + n - 1], ' ') as match_text
+  from {prefix}_occ
+),
+{prefix}_long as (
+  select * exclude (reach) from (
+    select *, max("end") over (partition by {k} order by start, "end" desc rows between unbounded preceding and 1 preceding) as reach
+    from {prefix}_spans{kj}) where reach is null or "end" > reach
+)"""
+
+
+def tag_docs_cte() -> str:
+    return f"""tdocs as (
+  select doc_key, {sq.document_text('content')} as document_text from articles
+  where doc_id <> '' and content is not null and exclusion_flag is null
+)"""
+
+
+def ents_cte() -> str:
+    rel = ", ".join(sq.q(x) for x in cl.RELEVANT_DICTIONARIES)
+    label = ("coalesce(nullif(preferred_label, ''), nullif(skos_pref, ''), nullif(label, ''), "
+             "nullif(skos_alt, ''), entity_id)")
+    return f"""ents as (
+  select {sq.phrase_norm('alias')} as phrase, entity_id, type, {label} as label from dictionary
+),
+rel_ents as (select * from ents where type in ({rel}))"""
+
+
+def tags_query(select: str, docs_cte: str | None = None, extra: str = "") -> str:
+    return f"""with {fx.articles_sql()},
+{fx.dictionary_sql()},
+{fx.known_pairs_sql()},
+{docs_cte or tag_docs_cte()},
+{ents_cte()},
+{spans_ctes('tdocs', ['doc_key'], 'document_text', 'd')},
+tags as (
+  select l.doc_key, l.start, l."end", l.match_text, l.phrase, e.entity_id, e.type, e.label,
+    {valid_expr('l.match_text', 'e.type')} as valid
+  from d_long l join rel_ents e using (phrase)
+){extra}
+{select}"""
+
+
+def pairs_extra() -> str:
+    return f""",
+kw as (
+  select doc_key, phrase, min(entity_id) as entity_id from tags
+  where valid and (starts_with(type, 'target') or starts_with(type, 'indication')) group by all
+),
+kwt as (select kw.*, e.type from kw join rel_ents e using (phrase, entity_id)),
+sents as (
+  select doc_key, generate_subscripts(s, 1) - 1 as sent_no, unnest(s) as sentence
+  from (select doc_key, {sq.text_to_sentences('document_text')} as s from tdocs)
+),
+{spans_ctes('sents', ['doc_key', 'sent_no'], 'sentence', 's', 'kwt')},
+sent_ents as (
+  select doc_key, sent_no, start, entity_id,
+    case when contains(type, 'target') then 'target' when contains(type, 'indication') then 'indication' end as kind
+  from s_long
+),
+spairs as (
+  select distinct t.doc_key, t.sent_no, t.entity_id as moa, i.entity_id as indication
+  from sent_ents t join sent_ents i on t.doc_key = i.doc_key and t.sent_no = i.sent_no
+  where t.kind = 'target' and i.kind = 'indication'
+),
+new_pairs as (
+  select distinct doc_key, moa, indication from spairs
+  where moa in (select moa from known_pairs) and (moa, indication) not in (select moa, indication from known_pairs)
+),
+new_moas as (
+  select distinct doc_key, moa, indications from (
+    select doc_key, sent_no, moa, list_sort(list_distinct(list(indication))) as indications from spairs
+    where moa not in (select moa from known_pairs) group by all)
+)"""
+
+
+def day_docs_cte(from_date: str, to_date: str) -> str:
+    t, d = doc_type_case("doc_id")
+    return f"""dd0 as (
+  select *, {t} as document_type, {d} as detailed_type from articles
+  where file_modified_date between date '{from_date}' and date '{to_date}'
+    and doc_id <> '' and content is not null and exclusion_flag is null
+),
+dd1 as (
+  select *, {display_title('document_type')} as title from dd0
+  where document_type not in ('pubmed_abstract', 'pubmed_article') or pub_date is null or pub_date >= file_modified_date
+),
+tdocs as (
+  select doc_key, doc_id, file_modified_date as date, document_type, detailed_type, title,
+    replace({redirect_path('doc_id')}, 'ome_alert_document', 'curate_ome_alert_document') as path,
+    {sq.document_text('content')} as document_text
+  from (select *, case when title <> title_txt or title_txt is null then 1
+          else row_number() over (partition by file_modified_date, title_txt order by doc_key) end as rn from dd1)
+  where rn = 1
+)"""

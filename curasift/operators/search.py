@@ -32,21 +32,31 @@ def phrase_tokens(ptab: DataFrame) -> DataFrame:
                        F.posexplode("ptoks").alias("k", "w"))
 
 
-def doc_tokens(docs: DataFrame, key: str = "doc_key", text: str = "content") -> DataFrame:
-    """(key, pos, w) for every token; only the key is carried through the
-    generator."""
-    return docs.select(key, F.posexplode(tx.tokens(F.col(text))).alias("pos", "w"))
-
-
-def phrase_occurrences(docs: DataFrame, phrases: DataFrame, key: str = "doc_key",
-                       text: str = "content") -> DataFrame:
-    """(key, phrase, phrase_id, n, start) for every occurrence of every phrase."""
+def doc_tokens(docs: DataFrame, key="doc_key", text: str = "content",
+               raw: bool = False) -> DataFrame:
+    """(key..., pos, w[, rw]) for every token; only the key (and the token)
+    is carried through the generator, never the text."""
+    keys = [key] if isinstance(key, str) else list(key)
+    t = docs.select(*keys, F.posexplode(tx.raw_tokens(F.col(text))).alias("pos", "rw"))
+    t = t.withColumn("w", F.lower("rw"))
+    return t if raw else t.drop("rw")
+
+
+def phrase_occurrences(docs: DataFrame, phrases: DataFrame, key="doc_key",
+                       text: str = "content", with_text: bool = False) -> DataFrame:
+    """(key..., phrase, phrase_id, n, start[, match_text]) for every occurrence
+    of every phrase; ``match_text`` is the original-case span (tokens joined
+    by one space)."""
+    keys = [key] if isinstance(key, str) else list(key)
     ptab = phrase_table(phrases)
     pt = broadcast_if_small(phrase_tokens(ptab))
-    hits = doc_tokens(docs, key, text).join(pt, "w")
-    occ = (hits.groupBy(key, "phrase_id", "n", (F.col("pos") - F.col("k")).alias("start"))
-           .agg(F.count(F.lit(1)).alias("m"))
-           .where(F.col("m") == F.col("n")).drop("m"))
+    hits = doc_tokens(docs, keys, text, raw=with_text).join(pt, "w")
+    aggs = [F.count(F.lit(1)).alias("m")]
+    if with_text:
+        aggs.append(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "rw"))),
+                                             lambda x: x["rw"]), " ").alias("match_text"))
+    occ = (hits.groupBy(*keys, "phrase_id", "n", (F.col("pos") - F.col("k")).alias("start"))
+           .agg(*aggs).where(F.col("m") == F.col("n")).drop("m"))
     return occ.join(F.broadcast(ptab.select("phrase_id", "phrase")), "phrase_id")
 
 

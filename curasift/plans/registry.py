@@ -393,3 +393,253 @@ def q_api_7(spark, sf):
 @register("scr_1_score_label", f"select doc_key, relevant_check from ({_SCORE_SQL})")
 def q_scr_1(spark, sf):
     return q_api_7(spark, sf).select("doc_key", "relevant_check")
+
+
+# ---------------------------------------------------------------------------
+# Tagging (JN-3, WIN-5, FLT-7/8, AGG-2/3/4, TOP-1/2, CLS-2/3/4, SET-4, HLT-6/7)
+# ---------------------------------------------------------------------------
+
+from curasift.functions import highlight as hl  # noqa: E402
+from curasift.operators import pairs as pr  # noqa: E402
+from curasift.operators import tagging as tg  # noqa: E402
+from curasift.plans import stats as st  # noqa: E402
+
+
+def _tag_docs(spark, sf):
+    a = al.skip_rows(_arts(spark, sf))
+    return a.select("doc_key", tx.document_text(F.col("content")).alias("document_text"))
+
+
+def _tags(spark, sf):
+    return tg.tag_entities(_tag_docs(spark, sf), fx.dictionary(spark))
+
+
+@register("jn_3_dictionary_tags", orc.tags_query(
+    'select doc_key, start, "end", match_text, entity_id, type, valid from tags'))
+def q_jn_3(spark, sf):
+    return _tags(spark, sf).select("doc_key", "start", "end", "match_text", "entity_id", "type", "valid")
+
+
+@register("win_5_longest_match_spans", orc.tags_query('select doc_key, start, "end", match_text from d_long'))
+def q_win_5(spark, sf):
+    return tg.tag_spans(_tag_docs(spark, sf), fx.dictionary(spark)).select("doc_key", "start", "end", "match_text")
+
+
+@register("flt_7_tag_validity", orc.tags_query(
+    "select match_text, type, valid, count(*) as n from tags group by all"))
+def q_flt_7(spark, sf):
+    return _tags(spark, sf).groupBy("match_text", "type", "valid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("flt_8_relevant_dictionaries", orc.tags_query(
+    "select type, count(*) as n from tags group by all"))
+def q_flt_8(spark, sf):
+    return _tags(spark, sf).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SUMMARY_SQL = """select doc_key, entity_id, type, label, count(*) as tag_count,
+    count_if(valid) as tag_count_cleaned, min(start) as first_start,
+    list(match_text order by start, "end", match_text, valid) as match_texts,
+    list(valid order by start, "end", match_text, valid) as valid_flags
+  from tags group by doc_key, entity_id, type, label"""
+
+
+@register("agg_2_entity_summary", orc.tags_query(
+    f"select doc_key, entity_id, type, tag_count, tag_count_cleaned, match_texts, valid_flags from ({_SUMMARY_SQL})"))
+def q_agg_2(spark, sf):
+    return tg.entity_summary(_tags(spark, sf)).select(
+        "doc_key", "entity_id", "type", "tag_count", "tag_count_cleaned", "match_texts", "valid_flags")
+
+
+@register("agg_3_match_histogram", orc.tags_query(
+    "select doc_key, entity_id, match_text, count(*) as n from tags group by all"))
+def q_agg_3(spark, sf):
+    return tg.match_histogram(_tags(spark, sf))
+
+
+@register("top_2_entities_by_valid_count", orc.tags_query(
+    f"""select doc_key, list(entity_id order by tag_count_cleaned desc, first_start, entity_id) as entities_ordered
+        from ({_SUMMARY_SQL}) group by doc_key"""))
+def q_top_2(spark, sf):
+    return tg.ordered_entities(tg.entity_summary(_tags(spark, sf)), "tag_count_cleaned")
+
+
+@register("top_1_entities_by_match_count", orc.tags_query(
+    f"""select doc_key, list(entity_id order by tag_count desc, first_start, entity_id) as entities_ordered
+        from ({_SUMMARY_SQL}) group by doc_key"""))
+def q_top_1(spark, sf):
+    return tg.ordered_entities(tg.entity_summary(_tags(spark, sf)), "tag_count")
+
+
+def _overall_sql(t):
+    return (f"case when contains({t}, 'indication') then 'indication' when contains({t}, 'target') then 'target' "
+            f"when contains({t}, 'company') then 'company' when contains({t}, 'drug') then 'drug' "
+            f"when {t} is not null then 'unknown' end")
+
+
+def _fill_sql(t, d):
+    return "case " + " ".join(f"when {t} = {sq.q(k)} then {sq.q(v)}" for k, v in d.items()) + " end"
+
+
+@register("cls_2_3_4_entity_display", orc.tags_query(
+    f"""select distinct doc_key, entity_id, label, {_overall_sql('type')} as overall_type,
+          {_fill_sql('type', cl.TYPE_FILL)} as fill, {_fill_sql('type', cl.TYPE_BORDER)} as border from tags"""))
+def q_cls_234(spark, sf):
+    t = _tags(spark, sf)
+    return t.select("doc_key", "entity_id", "label", cl.overall_tag_type(F.array("type")).alias("overall_type"),
+                    cl.type_fill("type").alias("fill"), cl.type_border("type").alias("border")).distinct()
+
+
+_LISTS_SQL = f"""lists as (
+  select doc_key,
+    {", ".join(f"coalesce(list(entity_id || chr(9) || match_text order by start, entity_id, match_text) filter (where {_overall_sql('type')} = '{kind}'), []) as {col}" for kind, col in tg.TYPE_LISTS)}
+  from tags group by doc_key
+),
+parsed0 as (
+  select doc_key, list_no, pos, typ, regexp_replace(split_part(s, chr(9), 1), '[^\\x00-\\x7F]', '', 'g') as tag,
+    split_part(s, chr(9), 2) as match_text
+  from ({" union all ".join(f"select doc_key, {n} as list_no, generate_subscripts({col}, 1) - 1 as pos, unnest({col}) as s, '{tg.LIST_TYPES[col]}' as typ from lists" for n, (_, col) in enumerate(tg.TYPE_LISTS))})
+),
+parsed as (
+  select doc_key, tag, arg_min(typ, list_no * 1000000 + pos) as type, min(list_no * 1000000 + pos) as first,
+    list(match_text order by list_no, pos) as match_texts
+  from parsed0 group by doc_key, tag
+)"""
+
+
+@register("set_4_concat_tag_lists", orc.tags_query(
+    "select doc_key, drug_tags || target_tags || company_tags || indication_tags as all_tags from lists",
+    extra="," + _LISTS_SQL))
+def q_set_4(spark, sf):
+    l_ = tg.tag_lists(_tags(spark, sf))
+    return l_.select("doc_key", F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>"))
+                                           for _, c in tg.TYPE_LISTS]).alias("all_tags"))
+
+
+@register("agg_4_parse_tag_lists", orc.tags_query(
+    """select doc_key, tag, type, match_texts,
+         row_number() over (partition by doc_key order by len(match_texts) desc, first) as rank from parsed""",
+    extra="," + _LISTS_SQL))
+def q_agg_4(spark, sf):
+    p = tg.parse_tag_lists(tg.tag_lists(_tags(spark, sf)))
+    return p.select("doc_key", "tag", "type", "match_texts", "rank")
+
+
+def _web_span_sql(m, t):
+    return f"{sq.q(hl.WEB_SPAN[0])} || {t} || {sq.q(hl.WEB_SPAN[1])} || {m} || {sq.q(hl.WEB_SPAN[2])}"
+
+
+_DONE0 = "[" + ", ".join(sq.q(s) for s in hl.ALREADY_TAGGED) + "]"
+
+
+@register("hlt_6_highlight_tags", orc.tags_query(
+    f"""select d.doc_key, case when h.tl is null then d.document_text else list_reduce(h.tl, lambda acc, x:
+          case when not list_contains(acc.done, x.m) and {orc.valid_expr('x.m', 'x.t')} then
+            {{'text': case when {orc.unguarded('acc.text', 'x.m')} then replace(acc.text, x.m, {_web_span_sql('x.m', 'x.t')}) else acc.text end,
+             'done': list_append(acc.done, x.m)}} else acc end,
+          {{'text': d.document_text, 'done': {_DONE0}}}).text end as tagged_text
+        from tdocs d left join (
+          select doc_key, list({{'m': match_text, 't': t}} order by start, "end") as tl
+          from (select doc_key, start, "end", match_text, arg_min(type, entity_id) as t from tags group by all)
+          group by doc_key) h using (doc_key)"""))
+def q_hlt_6(spark, sf):
+    d = _tag_docs(spark, sf)
+    inp = tg.highlight_tags_input(tg.tag_entities(d, fx.dictionary(spark)))
+    return (d.join(inp, "doc_key", "left")
+            .select("doc_key", hl.highlight_tags(F.col("document_text"), F.col("tags")).alias("tagged_text")))
+
+
+@register("hlt_7_highlight_tag_lists", orc.tags_query(
+    f"""select d.doc_key, case when h.tl is null then d.document_text else list_reduce(h.tl, lambda acc, x:
+          case when not list_contains(acc.done, x.m) then
+            {{'text': case when {orc.unguarded('acc.text', 'x.m')} then replace(acc.text, x.m, {_web_span_sql('x.m', 'x.t')}) else acc.text end,
+             'done': list_append(acc.done, x.m)}} else {{'text': acc.text, 'done': list_append(acc.done, x.m)}} end,
+          {{'text': d.document_text, 'done': {_DONE0}}}).text end as tagged_text
+        from tdocs d left join (
+          select doc_key, flatten(list(list_transform(match_texts, lambda m: {{'m': m, 't': type}}) order by first)) as tl
+          from parsed group by doc_key) h using (doc_key)""", extra="," + _LISTS_SQL))
+def q_hlt_7(spark, sf):
+    d = _tag_docs(spark, sf)
+    p = tg.parse_tag_lists(tg.tag_lists(tg.tag_entities(d, fx.dictionary(spark))))
+    inp = tg.highlight_list_input(p)
+    return (d.join(inp, "doc_key", "left")
+            .select("doc_key", hl.highlight_tags_from_list(F.col("document_text"), F.col("tag_list")).alias("tagged_text")))
+
+
+# ---------------------------------------------------------------------------
+# Pairs (JN-8/9/10, API-6)
+# ---------------------------------------------------------------------------
+
+def _sent_pairs(spark, sf):
+    return pr.sentence_pairs(pr.sentence_entities(_tag_docs(spark, sf), fx.dictionary(spark)))
+
+
+@register("jn_8_sentence_pairs", orc.tags_query("select doc_key, sent_no, moa, indication from spairs",
+                                                extra=orc.pairs_extra()))
+def q_jn_8(spark, sf):
+    return _sent_pairs(spark, sf)
+
+
+@register("jn_9_new_targets", orc.tags_query("select doc_key, moa, indications from new_moas",
+                                             extra=orc.pairs_extra()))
+def q_jn_9(spark, sf):
+    return pr.new_moas(_sent_pairs(spark, sf), fx.known_pairs(spark))
+
+
+@register("jn_10_new_pairs", orc.tags_query("select doc_key, moa, indication from new_pairs",
+                                            extra=orc.pairs_extra()))
+def q_jn_10(spark, sf):
+    return pr.new_pairs(_sent_pairs(spark, sf), fx.known_pairs(spark))
+
+
+# ---------------------------------------------------------------------------
+# Daily statistics (API-3, AGG-6..11)
+# ---------------------------------------------------------------------------
+
+def _days(spark, sf):
+    return st.day_documents(_arts(spark, sf), FROM, TO)
+
+
+_DAYS = orc.day_docs_cte(FROM, TO)
+
+
+@register("agg_6_daily_article_count", orc.tags_query(
+    "select date, count(*) as indexed_article_count from tdocs group by all", _DAYS))
+def q_agg_6(spark, sf):
+    return st.article_counts(_days(spark, sf))
+
+
+@register("agg_7_count_by_source", orc.tags_query(
+    "select date, document_type, count(*) as n from tdocs group by all", _DAYS))
+def q_agg_7(spark, sf):
+    return st.by_source(_days(spark, sf))
+
+
+@register("agg_8_count_by_source_detail", orc.tags_query(
+    """select date, document_type, detailed_type, count(*) as n from tdocs
+       group by grouping sets ((date, document_type), (date, detailed_type))""", _DAYS))
+def q_agg_8(spark, sf):
+    return st.by_source_both(_days(spark, sf))
+
+
+@register("agg_9_10_entity_counts", orc.tags_query(
+    """select t.date, g.entity_id, count(distinct g.doc_key) as tagged_entity_count, count(*) as tagged_entity_count_repeat
+       from tags g join tdocs t using (doc_key) where g.valid group by all""", _DAYS))
+def q_agg_9_10(spark, sf):
+    return st.entity_counts(_days(spark, sf), fx.dictionary(spark))
+
+
+@register("agg_11_new_pairs_of_day", orc.tags_query(
+    "select t.date, n.moa, n.indication, t.path from new_pairs n join tdocs t using (doc_key)",
+    _DAYS, extra=orc.pairs_extra()))
+def q_agg_11(spark, sf):
+    return st.new_pair_lists(_days(spark, sf), fx.dictionary(spark), fx.known_pairs(spark))[0] \
+        .select("date", "moa", "indication", "path")
+
+
+@register("api_3_new_targets_of_day", orc.tags_query(
+    "select t.date, n.moa, n.indications, t.path from new_moas n join tdocs t using (doc_key)",
+    _DAYS, extra=orc.pairs_extra()))
+def q_api_3(spark, sf):
+    return st.new_pair_lists(_days(spark, sf), fx.dictionary(spark), fx.known_pairs(spark))[1] \
+        .select("date", "moa", "indications", "path")

@@ -89,6 +89,7 @@ DICTIONARY_ROWS = [
     ("was", "drug:was", "drug_OME_txt_ss", None, None, None, None),
     ("from", "person:from", "person_txt_ss", None, None, None, None),
     ("the road", "company:Road Ltd", "company_OME_txt_ss", None, None, None, None),
+    ("to the", "target:TOTHE", "target_MeSH_txt_ss", None, None, None, None),
 ]
 DICTIONARY_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in DICTIONARY_COLUMNS])
 
