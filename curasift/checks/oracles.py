@@ -234,13 +234,13 @@ def curation_link(path: str, user: str) -> str:
             f"'<user_name>', {user})")
 
 
-def alert_pipeline_sql(select: str, alerts_filter: str = "email = 'yes'", rng=RANGE) -> str:
+def alert_pipeline_sql(select: str, alerts_filter: str = "email = 'yes'", rng=RANGE, extra: str = "") -> str:
     return f"""with {fx.articles_sql()},
 {fx.alerts_sql()},
 alerts_in as (select * from alerts where {alerts_filter}),
 {params_cte()},
 {hits_ctes(*rng)},
-{enriched_ctes()}
+{enriched_ctes()}{extra}
 {select}"""
 
 
@@ -379,3 +379,21 @@ tdocs as (
           else row_number() over (partition by file_modified_date, title_txt order by doc_key) end as rn from dd1)
   where rn = 1
 )"""
+
+
+def fuzzy_cands_cte() -> str:
+    """Oracle twin of ``metadata_candidates`` over the ``e2`` CTE."""
+    pub = "document_type in ('pubmed_abstract', 'pubmed_article')"
+    sl = lambda c: f"list_filter(string_split({c}, ', '), lambda x: x <> '')"
+    return f""",
+cands as (
+  select distinct alert_id, doc_key, filter_leeway, 'j' as f, p as pattern, coalesce(journal_title, journal_name) as value
+    from e2, unnest({sl('journal_select')}) as t(p) where {pub}
+  union all
+  select distinct alert_id, doc_key, filter_leeway, 'a' as f, p as pattern, v as value
+    from e2, unnest({sl('author_select')}) as t(p), unnest(authors) as u(v) where {pub}
+  union all
+  select distinct alert_id, doc_key, filter_leeway, 'i' as f, p as pattern, v as value
+    from e2, unnest({sl('institution_select')}) as t(p), unnest(institutions) as u(v) where {pub}
+),
+scored as (select *, {ratio('pattern', 'value')} as score from cands where value is not null)"""

@@ -74,7 +74,7 @@ def keyword_lists(alerts: DataFrame) -> DataFrame:
     """ALT-2: search keywords (keyword unless standard_title, then the
     ','-split aliases, stripped) and the title keyword list."""
     al = F.when(F.coalesce(F.col("aliases"), F.lit("")) != "",
-                F.transform(F.split("aliases", ",", -1), F.trim)).otherwise(F.array().cast("array<string>"))
+                F.transform(F.split("aliases", ",", -1), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>"))
     kws = F.when(F.col("alert_type") == "standard_title", al).otherwise(F.concat(F.array("keyword"), al))
     return alerts.select("alert_id", kws.alias("keywords"), F.array("keyword").alias("title_keywords"))
 
@@ -146,6 +146,46 @@ def classify(df: DataFrame) -> DataFrame:
 # Metadata filters (JN-4..7, FLT-10/11, SET-1/2)
 # ---------------------------------------------------------------------------
 
+def metadata_candidates(hits: DataFrame) -> DataFrame:
+    """JN-4/5/6 candidates: (alert_id, doc_key, filter_leeway, f, pattern,
+    value) -- each PubMed hit's journal / author / institution values against
+    its own alert's patterns (an explode of two short arrays, not a join)."""
+    base = hits.select("alert_id", "doc_key", "document_type", "journal_title", "journal_name",
+                       "authors", "institutions", "journal_select", "author_select",
+                       "institution_select", "filter_leeway").distinct()
+    journal = F.coalesce("journal_title", "journal_name")
+    cand = base.where(F.col("document_type").isin(cl.PUBMED_TYPES)).select(
+        "alert_id", "doc_key", "filter_leeway", "authors", "institutions",
+        F.explode(F.concat(
+            F.transform(_split_list(F.col("journal_select")),
+                        lambda p: F.struct(F.lit("j").alias("f"), p.alias("pattern"), F.array(journal).alias("vals"))),
+            F.transform(_split_list(F.col("author_select")),
+                        lambda p: F.struct(F.lit("a").alias("f"), p.alias("pattern"), F.col("authors").alias("vals"))),
+            F.transform(_split_list(F.col("institution_select")),
+                        lambda p: F.struct(F.lit("i").alias("f"), p.alias("pattern"), F.col("institutions").alias("vals"))),
+        )).alias("c"))
+    return cand.select("alert_id", "doc_key", "filter_leeway", F.col("c.f").alias("f"),
+                       F.col("c.pattern").alias("pattern"),
+                       F.explode("c.vals").alias("value")).where(F.col("value").isNotNull())
+
+
+def fuzzy_pairs(cands: DataFrame) -> DataFrame:
+    """FUZ-1 on distinct (value, pattern) pairs only."""
+    return cands.select("value", "pattern").distinct().withColumn("score", fuzzy.ratio("pattern", "value"))
+
+
+def metadata_flags(hits: DataFrame) -> DataFrame:
+    """JN-4/5/6: per (alert, doc) which of journal / author / institution
+    filters matched (score > leeway, strict: FLT-10)."""
+    c = metadata_candidates(hits)
+    scored = c.join(fuzzy_pairs(c), ["value", "pattern"])
+    return (scored.where(F.col("score") > F.col("filter_leeway"))
+            .groupBy("alert_id", "doc_key")
+            .agg(F.max((F.col("f") == "j").cast("int")).alias("j"),
+                 F.max((F.col("f") == "a").cast("int")).alias("a"),
+                 F.max((F.col("f") == "i").cast("int")).alias("i")))
+
+
 def metadata_pass(hits: DataFrame, literal_and: bool = False) -> DataFrame:
     """Per (alert_id, doc_key): does the document pass the alert's journal /
     author / institution filters?  Fuzzy ratios are computed once per distinct
@@ -155,35 +195,10 @@ def metadata_pass(hits: DataFrame, literal_and: bool = False) -> DataFrame:
     never pass a set filter (FLT-11).  'and' intersects the three sets; by
     default an unset select does not take part (Q-6 fixed); literal_and=True
     reproduces the original (unset select = empty set = nothing passes)."""
-    base = hits.select("alert_id", "doc_key", "document_type", "journal_title", "journal_name",
-                       "authors", "institutions", "journal_select", "author_select",
-                       "institution_select", "filter_leeway", "filter_type").distinct()
+    base = hits.select("alert_id", "doc_key", "document_type", "journal_select", "author_select",
+                       "institution_select", "filter_type").distinct()
     pub = F.col("document_type").isin(cl.PUBMED_TYPES)
-    journal = F.coalesce("journal_title", "journal_name")
-    cand = (base.where(pub).select(
-        "alert_id", "doc_key", "filter_leeway",
-        F.explode(F.concat(
-            F.transform(_split_list(F.col("journal_select")),
-                        lambda p: F.struct(F.lit("j").alias("f"), p.alias("pattern"), journal.alias("value"))),
-            F.transform(_split_list(F.col("author_select")),
-                        lambda p: F.struct(F.lit("a").alias("f"), p.alias("pattern"), F.lit(None).cast("string").alias("value"))),
-            F.transform(_split_list(F.col("institution_select")),
-                        lambda p: F.struct(F.lit("i").alias("f"), p.alias("pattern"), F.lit(None).cast("string").alias("value"))),
-        )).alias("c"))
-        .join(base.select("alert_id", "doc_key", "authors", "institutions"), ["alert_id", "doc_key"]))
-    vals = cand.select("alert_id", "doc_key", "filter_leeway", F.col("c.f").alias("f"),
-                       F.col("c.pattern").alias("pattern"),
-                       F.explode(F.when(F.col("c.f") == "j", F.array("c.value"))
-                                 .when(F.col("c.f") == "a", F.col("authors"))
-                                 .otherwise(F.col("institutions"))).alias("value")).where(F.col("value").isNotNull())
-    pairs = vals.select("value", "pattern").distinct()
-    pairs = pairs.withColumn("score", fuzzy.ratio("pattern", "value"))
-    scored = vals.join(pairs, ["value", "pattern"])
-    flags = (scored.where(F.col("score") > F.col("filter_leeway"))
-             .groupBy("alert_id", "doc_key")
-             .agg(F.max((F.col("f") == "j").cast("int")).alias("j"),
-                  F.max((F.col("f") == "a").cast("int")).alias("a"),
-                  F.max((F.col("f") == "i").cast("int")).alias("i")))
+    flags = metadata_flags(hits)
     b = base.join(flags, ["alert_id", "doc_key"], "left").fillna(0, ["j", "a", "i"])
     js, as_, is_ = (F.col("journal_select") != ""), (F.col("author_select") != ""), (F.col("institution_select") != "")
     j, a, i = (F.col("j") == 1), (F.col("a") == 1), (F.col("i") == 1)

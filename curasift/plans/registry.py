@@ -643,3 +643,247 @@ def q_agg_11(spark, sf):
 def q_api_3(spark, sf):
     return st.new_pair_lists(_days(spark, sf), fx.dictionary(spark), fx.known_pairs(spark))[1] \
         .select("date", "moa", "indications", "path")
+
+
+# ---------------------------------------------------------------------------
+# Fuzzy metadata filters (FUZ-1, JN-4..7, SET-1/2)
+# ---------------------------------------------------------------------------
+
+_FZ = orc.fuzzy_cands_cte()
+
+
+@register("fuz_1_fuzzy_ratio", orc.alert_pipeline_sql(
+    "select distinct value, pattern, score from scored", extra=_FZ))
+def q_fuz_1(spark, sf):
+    return al.fuzzy_pairs(al.metadata_candidates(_enriched(spark, sf))).select("value", "pattern", "score")
+
+
+def _flag_q(letter):
+    def q(spark, sf):
+        f = al.metadata_flags(_enriched(spark, sf))
+        return f.where(F.col(letter) == 1).select("alert_id", "doc_key")
+    return q
+
+
+for _letter, _name in (("j", "jn_4_journal_filter"), ("a", "jn_5_author_filter"), ("i", "jn_6_institution_filter")):
+    register(_name, orc.alert_pipeline_sql(
+        f"select distinct alert_id, doc_key from scored where f = '{_letter}' and score > filter_leeway", extra=_FZ)
+    )(_flag_q(_letter))
+
+
+def _meta_of_type(spark, sf, ftype):
+    e = _enriched(spark, sf)
+    m = al.metadata_pass(e)
+    sel = e.where((F.col("filter_type") == ftype) & ((F.col("journal_select") != "") | (F.col("author_select") != "")
+                                                    | (F.col("institution_select") != ""))).select("alert_id").distinct()
+    return m.join(sel, "alert_id").where("meta_pass").select("alert_id", "doc_key")
+
+
+@register("set_1_and_filter_intersection", orc.alert_pipeline_sql(
+    "select distinct alert_id, doc_key from meta where any_sel and filter_type = 'and' and meta_pass"))
+def q_set_1(spark, sf):
+    return _meta_of_type(spark, sf, "and")
+
+
+@register("set_2_or_filter_union", orc.alert_pipeline_sql(
+    "select distinct alert_id, doc_key from meta where any_sel and filter_type <> 'and' and meta_pass"))
+def q_set_2(spark, sf):
+    e = _enriched(spark, sf)
+    m = al.metadata_pass(e)
+    sel = e.where((F.col("filter_type") != "and") & ((F.col("journal_select") != "") | (F.col("author_select") != "")
+                                                    | (F.col("institution_select") != ""))).select("alert_id").distinct()
+    return m.join(sel, "alert_id").where("meta_pass").select("alert_id", "doc_key")
+
+
+@register("jn_7_filter_semi_join", orc.alert_pipeline_sql(
+    "select alert_id, alias_seq, doc_key from meta where any_sel and meta_pass"))
+def q_jn_7(spark, sf):
+    e = _enriched(spark, sf)
+    ok = al.metadata_pass(e).where("meta_pass").select("alert_id", "doc_key")
+    sel = e.where((F.col("journal_select") != "") | (F.col("author_select") != "") | (F.col("institution_select") != ""))
+    return sel.join(ok, ["alert_id", "doc_key"], "left_semi").select("alert_id", "alias_seq", "doc_key")
+
+
+# ---------------------------------------------------------------------------
+# Highlight primitives over the corpus (HLT-2/3/4/5)
+# ---------------------------------------------------------------------------
+
+def _docs_q(name, sql_expr, spark_fn):
+    @register(name, f"select doc_id, {sql_expr} as v from documents")
+    def q(spark, sf):
+        from curasift.sources.tables import read_table
+        return read_table(spark, sf, "documents").select("doc_id", spark_fn(F.col("text")).alias("v"))
+    return q
+
+
+def _tag_span_sql(e, fill, border):
+    style = f"{hl.TAG_STYLE[0]}{fill}{hl.TAG_STYLE[1]}{border}{hl.TAG_STYLE[2]}"
+    return f"{sq.q(hl.TAG_SPAN[0] + style + hl.TAG_SPAN[1])} || {e} || {sq.q(hl.TAG_SPAN[2])}"
+
+
+_CO = "company_OME_txt_ss"
+_docs_q("hlt_3_highlight_keyword_tag",
+        f"case when {orc.unguarded('text', sq.q('The'))} then replace(text, 'The', "
+        f"{_tag_span_sql(sq.q('The'), cl.TYPE_FILL[_CO], cl.TYPE_BORDER[_CO])}) else text end",
+        lambda t: hl.highlight_keyword_tag(t, F.lit("The"), cl.type_fill(F.lit(_CO)), cl.type_border(F.lit(_CO))))
+_docs_q("hlt_4_highlight_keyword_for_web",
+        f"case when {orc.unguarded('text', sq.q('The'))} then replace(text, 'The', {_web_span_sql(sq.q('The'), sq.q(_CO))}) else text end",
+        lambda t: hl.highlight_keyword_for_web(t, F.lit("The"), F.lit(_CO)))
+_docs_q("hlt_2_highlight_subscriptions", orc.highlight_expr("text", "'the'", True),
+        lambda t: hl.highlight_keyword_subscriptions(t, F.lit("the")))
+_docs_q("hlt_5_highlight_keyword_list",
+        "regexp_replace(lower(" + sq.mask_special("text") + "), '(on the|of the|the)', "
+        + sq.q(hl.KEYWORD_SPAN[0] + hl.KEYWORD_COLOR + hl.KEYWORD_SPAN[1] + "\\1" + hl.KEYWORD_SPAN[2]) + ", 'g')",
+        lambda t: hl.highlight_keyword_list(t, F.array(F.lit("the"), F.lit("on the"), F.lit("of the"))))
+
+
+# ---------------------------------------------------------------------------
+# Digest (AGG-13/14, FMT-3/4, TOP-4/6/7, SNK-3), owners (AGG-12), ALT-2
+# ---------------------------------------------------------------------------
+
+from curasift.plans import digest as dg  # noqa: E402
+
+_MERGED_KEPT = """(select * from merged
+  where not ((contains(doc_id, 'Cortellis') or contains(doc_id, 'cortellis')) and contains(doc_id, 'Drug_Status_Changes_alert') and contains(doc_id, 'full_email'))
+    and not contains(document_type, 'clinical_trials'))"""
+
+
+def _results(spark, sf):
+    return cu.source_filter(al.run_alerts(_arts(spark, sf), _emailed(spark), FROM, TO))
+
+
+def _digest_input(spark, sf, internal=False):
+    r = _results(spark, sf)
+    docs = r.select("doc_key", "document_text").distinct()
+    parsed = tg.parse_tag_lists(tg.tag_lists(tg.tag_entities(docs, fx.dictionary(spark))))
+    r = r.join(dg.entity_spans(parsed), "doc_key", "left")
+    if internal:
+        r = cu.attach_scores(r, fx.scores(spark, sf))
+    return r
+
+
+_RANK_SQL = "case " + " ".join(f"when document_type = {sq.q(t)} then {i}"
+                              for i, t in enumerate(cl.DIGEST_TYPE_ORDER)) + " end"
+
+
+@register("agg_13_digest_sections", orc.alert_pipeline_sql(
+    f"""select alert_id, document_type, count(*) as n_rows,
+          coalesce({_RANK_SQL}, 99) as section from {_MERGED_KEPT} group by all"""))
+def q_agg_13(spark, sf):
+    return dg.section_counts(_results(spark, sf))
+
+
+@register("agg_14_results_per_alert", orc.alert_pipeline_sql(
+    f"select alert_id, count(*) as n_results from {_MERGED_KEPT} group by all"))
+def q_agg_14(spark, sf):
+    return dg.result_counts(_results(spark, sf))
+
+
+@register("fmt_3_digest_rows", None)
+def q_fmt_3(spark, sf):
+    return dg.digest_rows(_digest_input(spark, sf), "ana.lee")
+
+
+@register("fmt_4_digest_rows_internal", None)
+def q_fmt_4(spark, sf):
+    return dg.digest_rows(_digest_input(spark, sf, True), "ana.lee", internal=True)
+
+
+@register("top_4_top5_entity_spans", None)
+def q_top_4(spark, sf):
+    d = _tag_docs(spark, sf)
+    return dg.entity_spans(tg.parse_tag_lists(tg.tag_lists(tg.tag_entities(d, fx.dictionary(spark)))))
+
+
+@register("agg_12_owners_with_email", orc.alert_pipeline_sql(
+    f"""select {orc.owner_name('owner')} as owner, count(distinct alert_id) as n_alerts, count(*) as n_results
+        from merged group by all"""))
+def q_agg_12(spark, sf):
+    r = al.run_alerts(_arts(spark, sf), _emailed(spark), FROM, TO)
+    return (r.groupBy(cl.owner_name(F.col("owner")).alias("owner"))
+            .agg(F.count_distinct("alert_id").alias("n_alerts"), F.count(F.lit(1)).alias("n_results")))
+
+
+_ALT2_SQL = orc.alert_pipeline_sql(f"""select alert_id, kpos, keyword, coalesce(n_docs, 0) as n_docs from (
+    select alert_id, generate_subscripts(kws, 1) - 1 as kpos, unnest(kws) as keyword from (
+      select alert_id, case when alert_type = 'standard_title' then al else [keyword] || al end as kws from (
+        select *, case when coalesce(aliases, '') <> '' then list_transform(string_split(aliases, ','), lambda x: trim(x)) else [] end as al
+        from alerts_in))) k
+  left join (select ph as keyword, count(*) as n_docs from (
+      select distinct d.doc_key, k2.ph from docs d, (select distinct unnest(kws) as ph from (
+        select case when alert_type = 'standard_title' then al else [keyword] || al end as kws from (
+          select *, case when coalesce(aliases, '') <> '' then list_transform(string_split(aliases, ','), lambda x: trim(x)) else [] end as al
+          from alerts_in))) k2
+      where len({orc.starts('d.toks', sq.phrase_norm('k2.ph'))}) > 0) group by all) c using (keyword)""", "true")
+
+
+@register("alt_2_keyword_lists", _ALT2_SQL)
+def q_alt_2(spark, sf):
+    from curasift.operators.search import phrase_occurrences
+    kl = al.keyword_lists(fx.alerts(spark)).select("alert_id", F.posexplode("keywords").alias("kpos", "keyword"))
+    occ = phrase_occurrences(_docs(spark, sf).select("doc_key", "content"),
+                             kl.select(F.col("keyword").alias("phrase")))
+    n = occ.select("doc_key", "phrase").distinct().groupBy("phrase").agg(F.count(F.lit(1)).alias("n_docs"))
+    kl = kl.withColumn("phrase", tx.phrase_norm(F.col("keyword")))
+    return kl.join(n, "phrase", "left").fillna(0, ["n_docs"]).select("alert_id", "kpos", "keyword", "n_docs")
+
+
+# ---------------------------------------------------------------------------
+# Ranked search (QRY-6 / TOP-5)
+# ---------------------------------------------------------------------------
+
+from curasift.operators.search import bm25_top_k  # noqa: E402
+
+_BM25_CTES = f""",
+q as (select distinct alert_id * 100 + alias_seq as query_id,
+        unnest(list_distinct({sq.tokens("keyphrase1 || ' ' || coalesce(keyphrase2, '')")})) as w from params),
+tf as (select doc_key, w, count(*) as tf from (select doc_key, unnest(toks) as w from docs)
+       where w in (select w from q) group by all),
+dfq as (select w, count(*) as df from tf group by w),
+dl as (select doc_key, len(toks) as dl from docs),
+st as (select count(*) as n, avg(dl) as avgdl from dl),
+s as (select q.query_id, tf.doc_key,
+        sum(ln(1.0 + (st.n - dfq.df + 0.5) / (dfq.df + 0.5)) * tf.tf * 2.2
+            / (tf.tf + 1.2 * (1 - 0.75 + 0.75 * dl.dl / st.avgdl))) as score
+      from tf join dfq using (w) join dl using (doc_key) cross join st join q using (w) group by all)"""
+_BM25_SQL = orc.alert_pipeline_sql("""select query_id, doc_key, round(score, 6) as score, rank from (
+  select *, row_number() over (partition by query_id order by score desc, doc_key) as rank from s) where rank <= 20""",
+                                   "true", extra=_BM25_CTES)
+
+
+@register("qry_6_bm25_top_k", _BM25_SQL)
+def q_qry_6(spark, sf):
+    p = al.expand_alerts(fx.alerts(spark))
+    qs = p.select((F.col("alert_id") * 100 + F.col("alias_seq")).alias("query_id"),
+                  F.concat_ws(" ", "keyphrase1", "keyphrase2").alias("query"))
+    r = bm25_top_k(_docs(spark, sf).select("doc_key", "content"), qs, 20)
+    return r.select("query_id", "doc_key", "score", "rank")
+
+
+# ---------------------------------------------------------------------------
+# Messages (MSG-1..3)
+# ---------------------------------------------------------------------------
+
+from curasift.operators import messages as mg  # noqa: E402
+
+_MSG = f"with {fx.messages_sql()}\n"
+
+
+@register("msg_1_messages_with_word", _MSG + "select mailbox, msg_id from messages where contains(lower(body), 'the')")
+def q_msg_1(spark, sf):
+    return mg.with_word(fx.messages(spark, sf), "the").select("mailbox", "msg_id")
+
+
+@register("msg_2_latest_unseen", _MSG + """select mailbox, arg_max(msg_id, (ts, msg_id)) as msg_id,
+    strftime(max(ts), '%Y-%m-%d %H:%M:%S') as ts, arg_max(sender, (ts, msg_id)) as sender
+  from messages where not seen and ts >= timestamp '2024-01-02 00:00:00' group by mailbox""")
+def q_msg_2(spark, sf):
+    r = mg.latest(fx.messages(spark, sf), "unseen", "2024-01-02 00:00:00")
+    return r.select("mailbox", "msg_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "sender")
+
+
+@register("msg_3_body_without_trail", _MSG + """select mailbox, msg_id,
+    split_part(case when length(sender) > 0 then split_part(body, sender, 1) else body end,
+               chr(13) || chr(10) || chr(13) || chr(10) || '2015', 1) as body_clean from messages""")
+def q_msg_3(spark, sf):
+    return mg.body_without_trail(fx.messages(spark, sf))

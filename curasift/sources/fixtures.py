@@ -54,7 +54,7 @@ ALERT_ROWS = [
     (5, "with", "was, are", "CORP\\ana.lee", "yes", "standard", "PMC, PubMed_abstracts",
      "NWSLTR_metadata_or", "or", "smal ring, blue bolt", "Customer#00000012", "", 90),
     (6, "for", "as the", "CORP\\ana.lee", "yes", "standard", "all", "NWSLTR_metadata_and", "and",
-     "small ring, red widget", "", "Supplier#00000001", 80),
+     "small gizmo, smal bolt", "", "Supplier#00000001", 80),
     (7, "is", "", "CORP\\cy.ho", "no", "standard", "all", "NWSLTR_no_email", "or", "", "", "", 70),
     (8, "on the", "x", "CORP\\cy.ho", "yes", "standard", "Ct.gov", "NWSLTR_ctgov_only", "or",
      "", "", "", 70),
