@@ -86,3 +86,12 @@ def with_keyword_snippet(df, doc_text: str, kw: str, sub_flag: Column, out: str
     df = df.withColumn("_pieces", F.when(sub_flag, snippet_pieces("_sents", F.col("_idx"), True))
                        .otherwise(snippet_pieces("_sents", F.col("_idx"), False)))
     return df.withColumn(out, capped_concat("_pieces")).drop("_sents", "_kwl", "_idx", "_pieces")
+
+
+def with_snippet_from_sentences(df, sentences: str, kw_lower: str, sub_flag: Column, out: str = "snippet"):
+    """SNP-1/2 from an already split, masked sentence array column and the
+    masked, lower-cased keyword column (staged columns: computed once)."""
+    df = df.withColumn("_idx", matching_sentences(sentences, F.col(kw_lower)))
+    df = df.withColumn("_pieces", F.when(sub_flag, snippet_pieces(sentences, F.col("_idx"), True))
+                       .otherwise(snippet_pieces(sentences, F.col("_idx"), False)))
+    return df.withColumn(out, capped_concat("_pieces")).drop("_idx", "_pieces")

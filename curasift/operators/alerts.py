@@ -115,23 +115,54 @@ def first_per_title(df: DataFrame, search_keys: list[str]) -> DataFrame:
             .where(F.col("_rn") == 1).drop("_rn"))
 
 
-def enrich(df: DataFrame, keyword: Column) -> DataFrame:
-    """API-1 per-document enrichment: type, display title, document text,
-    keyword count, snippet and highlighted snippet (SNP-3 picks the
-    subscription variant by type; an empty keyword gives the whole text)."""
+def doc_texts(articles: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per-document text columns, computed once per *hit* document (not per
+    hit, not for documents no alert matched): document text (TXT-4), the
+    masked text lower-cased (for AGG-1) and the masked sentences (for SNP-*);
+    MSK-1 or MSK-2 by document type (SNP-3)."""
+    keys = hits.select("doc_key", "document_type").distinct()
+    d = articles.select("doc_key", "content").join(keys, "doc_key")
     sub = F.col("document_type").isin(cl.SUBSCRIPTION_TYPES)
-    kw = F.trim(keyword)
-    out = (df.withColumn("document_text", tx.document_text(F.col("content")))
-           .withColumn("keyword", kw))
-    cnt = F.when(sub, sn.keyword_count("document_text", "keyword", True)) \
-           .otherwise(sn.keyword_count("document_text", "keyword", False))
-    out = out.withColumn("keyword_count", F.when(F.col("keyword") == "", F.lit(0)).otherwise(cnt))
-    out = sn.with_keyword_snippet(out, "document_text", "keyword", sub, "snippet")
-    out = out.withColumn("snippet", F.when(F.col("keyword") == "", F.lit("")).otherwise(F.col("snippet")))
+    d = d.withColumn("document_text", tx.document_text(F.col("content"))).drop("content")
+    d = d.withColumn("_masked", F.when(sub, tx.mask_special("document_text", False))
+                     .otherwise(tx.mask_special("document_text", True)))
+    return (d.withColumn("masked_lower", F.lower("_masked"))
+             .withColumn("sentences", tx.text_to_sentences(F.col("_masked")))
+             .drop("_masked", "document_type"))
+
+
+def _keyword_cols(df: DataFrame, keyword: Column) -> DataFrame:
+    sub = F.col("document_type").isin(cl.SUBSCRIPTION_TYPES)
+    df = df.withColumn("keyword", F.trim(keyword))
+    return df.withColumn("_kwl", F.lower(F.when(sub, tx.mask_special("keyword", False))
+                                        .otherwise(tx.mask_special("keyword", True))))
+
+
+def with_counts(hits: DataFrame, texts: DataFrame, keyword: Column) -> DataFrame:
+    """AGG-1 per hit from the per-document masked text."""
+    h = _keyword_cols(hits.join(texts.select("doc_key", "masked_lower"), "doc_key"), keyword)
+    cnt = F.when(F.col("keyword") == "", F.lit(0)).otherwise(tx.count_whole_word(F.col("masked_lower"), F.col("_kwl")))
+    return h.withColumn("keyword_count", cnt).drop("masked_lower", "_kwl")
+
+
+def with_snippets(hits: DataFrame, texts: DataFrame, keyword: Column) -> DataFrame:
+    """SNP-3 + HLT-1/2 per hit from the per-document sentences; an empty
+    keyword gives no snippet and the whole text as tagged text."""
+    sub = F.col("document_type").isin(cl.SUBSCRIPTION_TYPES)
+    h = _keyword_cols(hits.join(texts.select("doc_key", "document_text", "sentences"), "doc_key"), keyword)
+    h = sn.with_snippet_from_sentences(h, "sentences", "_kwl", sub, "snippet")
+    h = h.withColumn("snippet", F.when(F.col("keyword") == "", F.lit("")).otherwise(F.col("snippet")))
     tagged = F.when(sub, hl.highlight_keyword_subscriptions("snippet", "keyword")) \
               .otherwise(hl.highlight_keyword("snippet", "keyword"))
-    return out.withColumn("shorter_sentences",
-                          F.when(F.col("keyword") == "", F.col("document_text")).otherwise(tagged))
+    return (h.withColumn("shorter_sentences", F.when(F.col("keyword") == "", F.col("document_text")).otherwise(tagged))
+             .drop("sentences", "_kwl"))
+
+
+def enrich(hits: DataFrame, articles: DataFrame, keyword: Column) -> DataFrame:
+    """API-1 per-hit enrichment (document text, keyword count, snippet and
+    highlighted snippet) for every hit."""
+    texts = doc_texts(articles, hits)
+    return with_snippets(with_counts(hits, texts, keyword), texts, F.col("keyword"))
 
 
 def classify(df: DataFrame) -> DataFrame:
@@ -215,35 +246,80 @@ def metadata_pass(hits: DataFrame, literal_and: bool = False) -> DataFrame:
 # The alert run
 # ---------------------------------------------------------------------------
 
+HIT_DOC_COLUMNS = ["doc_key", "doc_id", "title_txt", "file_modified_date", "pub_date", "journal_title",
+                   "journal_name", "article_title", "article_title_alt", "authors", "institutions",
+                   "topic_class", "path0", "path_basename"]
+
+
 def alert_hits(articles: DataFrame, alerts: DataFrame, from_date, to_date) -> DataFrame:
-    """Search + per-search filters + WIN-1: one row per (alert, alias, doc)."""
+    """Search + per-search filters + WIN-1: one narrow row per (alert, alias,
+    doc) -- document metadata only, no text, so the dedup shuffles stay small."""
     params = broadcast_if_small(expand_alerts(alerts))
     docs = skip_rows(articles.where(in_date_range(F.col("file_modified_date"), from_date, to_date)))
     keys = ["alert_id", "alias_seq"]
     found = search_hits(docs.select("doc_key", "content"), params, keys)
     h = (found.join(params, keys)
-         .join(docs, "doc_key")
+         .join(docs.select(*HIT_DOC_COLUMNS), "doc_key")
          .where(source_matches(F.col("path0"), F.col("path_basename"), F.col("source_select"))))
     h = classify(h).where(pub_date_floor(F.col("document_type"), F.col("pub_date"), from_date))
     return first_per_title(h, keys)
 
 
+def with_meta_pass(hits: DataFrame, literal_and: bool = False) -> DataFrame:
+    """``meta_pass`` on every hit row from the fuzzy flags (one left join)."""
+    flags = metadata_flags(hits)
+    b = hits.join(flags, ["alert_id", "doc_key"], "left").fillna(0, ["j", "a", "i"])
+    js, as_, is_ = (F.col("journal_select") != ""), (F.col("author_select") != ""), (F.col("institution_select") != "")
+    j, a, i = (F.col("j") == 1), (F.col("a") == 1), (F.col("i") == 1)
+    and_ok = (j & a & i) if literal_and else ((j | ~js) & (a | ~as_) & (i | ~is_))
+    any_sel = js | as_ | is_
+    pub = F.col("document_type").isin(cl.PUBMED_TYPES)
+    ok = F.when(~any_sel, F.lit(True)).when(F.col("filter_type") == "and", and_ok).otherwise(j | a | i)
+    return b.withColumn("meta_pass", ok & (pub | ~any_sel)).drop("j", "a", "i")
+
+
 def run_alerts(articles: DataFrame, alerts: DataFrame, from_date, to_date,
-               link_base: str = REDIRECT_BASE, literal_and: bool = False) -> DataFrame:
+               link_base: str = REDIRECT_BASE, literal_and: bool = False,
+               materialize: bool = True) -> DataFrame:
     """API-2: every alert with every alias, merged per (alert, document):
     the first alias (in alias order) whose hit passes the metadata filter
     wins (WIN-2); ``keyword_list`` lists every alias that hit the document,
     by count desc, ties in alias order (AGG-5; collected before the metadata
-    filter, quirk Q-23)."""
-    h = enrich(alert_hits(articles, alerts, from_date, to_date), F.col("keyword"))
-    h = h.join(metadata_pass(h, literal_and), ["alert_id", "doc_key"])
-    h = h.withColumn("path", cl.redirect_path(F.col("doc_id"), link_base)) \
-         .withColumn("topic_class", cl.topic_class("topic_class"))
+    filter, quirk Q-23).
+
+    Plan: narrow hits (checkpointed once into the shared checkpoint dir when
+    ``materialize``: they feed the fuzzy flags, the text join and the merge)
+    -> meta flags -> winner per (alert, doc) by a window on narrow rows ->
+    one join with the per-document texts: counts for every hit, snippet and
+    highlight only for the winner -> one (alert, doc) aggregation."""
+    hits = alert_hits(articles, alerts, from_date, to_date)
+    if materialize:
+        from curasift.session import cut_lineage
+        hits = cut_lineage(hits)
+    h = with_meta_pass(hits, literal_and)
+    w = Window.partitionBy("alert_id", "doc_id")
+    h = h.withColumn("_win", F.col("alias_seq") == F.min(F.when(F.col("meta_pass"), F.col("alias_seq"))).over(w))
+    texts = doc_texts(articles, hits)
+    h = _keyword_cols(h.join(texts, "doc_key"), F.col("keyword"))
+    h = h.withColumn("keyword_count", F.when(F.col("keyword") == "", F.lit(0))
+                     .otherwise(tx.count_whole_word(F.col("masked_lower"), F.col("_kwl"))))
+    sub = F.col("document_type").isin(cl.SUBSCRIPTION_TYPES)
+    win = F.coalesce(F.col("_win"), F.lit(False))
+    h = h.withColumn("sentences", F.when(win, F.col("sentences")))
+    h = sn.with_snippet_from_sentences(h, "sentences", "_kwl", sub, "snippet")
+    h = h.withColumn("snippet", F.when(F.col("keyword") == "", F.lit("")).otherwise(F.col("snippet")))
+    tagged = F.when(sub, hl.highlight_keyword_subscriptions("snippet", "keyword")) \
+              .otherwise(hl.highlight_keyword("snippet", "keyword"))
+    h = (h.withColumn("shorter_sentences", F.when(win, F.when(F.col("keyword") == "", F.col("document_text"))
+                                                   .otherwise(tagged)))
+          .withColumn("document_text", F.when(win, F.col("document_text")))
+          .withColumn("path", cl.redirect_path(F.col("doc_id"), link_base))
+          .withColumn("topic_class", cl.topic_class("topic_class")))
     keep = ["alias_seq", "keyword", "keyword_count", "doc_key", "file_modified_date", "title",
             "document_text", "document_type", "detailed_type", "snippet", "shorter_sentences",
             "topic_class", "path", "alert_title", "owner", "filter_type"]
     g = (h.groupBy("alert_id", "doc_id")
-         .agg(F.min_by(F.struct(*keep), F.when(F.col("meta_pass"), F.col("alias_seq"))).alias("r"),
+         .agg(F.min_by(F.struct(*keep), F.when(win, F.col("alias_seq"))).alias("r"),
               F.max(F.col("meta_pass").cast("int")).alias("_any"),
               F.sort_array(F.collect_list(F.struct((-F.col("keyword_count")).alias("neg"), "alias_seq",
                                                    F.col("keyword").alias("kw"),

@@ -154,7 +154,8 @@ def q_win_1(spark, sf):
 
 
 def _enriched(spark, sf):
-    return al.enrich(al.alert_hits(_arts(spark, sf), _emailed(spark), FROM, TO), F.col("keyword"))
+    a = _arts(spark, sf)
+    return al.enrich(al.alert_hits(a, _emailed(spark), FROM, TO), a, F.col("keyword"))
 
 
 @register("agg_1_keyword_mentions", orc.alert_pipeline_sql(
