@@ -83,6 +83,17 @@ def curation_rows(articles: DataFrame, alerts: DataFrame, from_date, to_date,
 def write_curation_csv(rows: DataFrame, path: str) -> None:
     """SNK-1: UTF-8 CSV with the reference's header, no index column."""
     out = rows.select(*[F.col(c).alias(h) for c, h in zip(CURATION_COLUMNS, CURATION_HEADER)])
-    out.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    (out.write.mode("overwrite").option("header", True).option("encoding", "UTF-8")
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
+def read_curation_csv(spark, path: str) -> DataFrame:
+    """Read a curation CSV written by ``write_curation_csv`` back (snake-case
+    columns)."""
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField(h, T.StringType()) for h in CURATION_HEADER])
+    df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return df.select(*[F.col(f"`{h}`").alias(c) for c, h in zip(CURATION_COLUMNS, CURATION_HEADER)])
 
 

@@ -888,3 +888,61 @@ def q_msg_2(spark, sf):
                chr(13) || chr(10) || chr(13) || chr(10) || '2015', 1) as body_clean from messages""")
 def q_msg_3(spark, sf):
     return mg.body_without_trail(fx.messages(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Sinks (SNK-1/2/3): write to the shared folder and read back
+# ---------------------------------------------------------------------------
+
+import uuid as _uuid  # noqa: E402
+
+from curasift.session import ensure_checkpoint_dir  # noqa: E402
+
+
+def _sink_path(spark, name):
+    return ensure_checkpoint_dir(spark).rstrip("/") + f"/curasift-sinks/{name}-{_uuid.uuid4().hex}"
+
+
+@register("snk_1_curation_csv", orc.curation_sql())
+def q_snk_1(spark, sf):
+    path = _sink_path(spark, "curation")
+    cu.write_curation_csv(q_api_9_curation(spark, sf), path)
+    return cu.read_curation_csv(spark, path)
+
+
+@register("snk_2_daily_stats_json", orc.tags_query(
+    "select strftime(date, '%Y-%m-%d') as date_key, count(*) as indexed_article_count from tdocs group by all", _DAYS))
+def q_snk_2(spark, sf):
+    path = _sink_path(spark, "daily-stats")
+    st.write_daily_stats(_days(spark, sf), fx.dictionary(spark), fx.known_pairs(spark), path)
+    back = spark.read.json(path)
+    return back.select(F.col("date_key").cast("date").cast("string").alias("date_key"),
+                       F.col("indexed_article_count").cast("long").alias("indexed_article_count"))
+
+
+@register("snk_3_digest_text", orc.alert_pipeline_sql(
+    f"select alert_id as alert, count(*) as n_rows, 1 as n_tables from {_MERGED_KEPT} group by all"))
+def q_snk_3(spark, sf):
+    path = _sink_path(spark, "digest")
+    dg.write_digest(dg.digest_rows(_digest_input(spark, sf), "ana.lee"), path)
+    back = spark.read.text(path)
+    occ = lambda s: F.size(F.split(F.col("value"), s, -1)) - 1
+    return back.groupBy(F.col("alert").cast("int").alias("alert")).agg(
+        F.sum(occ("<tr>")).cast("long").alias("n_rows"), F.sum(occ("<table ")).cast("int").alias("n_tables"))
+
+
+# ---------------------------------------------------------------------------
+# Streaming variant (extension): watermarked daily source counts
+# ---------------------------------------------------------------------------
+
+from curasift.streaming import documents_stream as ds  # noqa: E402
+
+
+@register("stream_daily_source_counts", orc.articles_query(
+    f"""select strftime(file_modified_date, '%Y-%m-%d') as day, {_T} as document_type, count(*) as n
+        from articles where doc_id <> '' and content is not null and exclusion_flag is null group by all"""))
+def q_stream_counts(spark, sf):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    out = ds.run_to_table(ds.daily_source_counts(spark, sf), "daily-source-counts", mode="complete")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "document_type",
+                      F.col("n").cast("long").alias("n"))

@@ -119,7 +119,7 @@ def _source_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SOURCE_PREFIXES, "source string, prefix string")
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def articles(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
     """Index documents derived from ``documents`` (FIXTURES.md 2): path-like
     ``doc_id``, title, modified/publication dates, journal (``part``),
     authors (``customer``), institutions (``supplier``), exclusion flag and
@@ -127,8 +127,10 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The dimension joins hit at most 200 / 100 / 50 keys; they are left to the
     optimizer (AQE turns them into broadcast joins once their filtered size is
-    known), never forced."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    known), never forced.  ``documents`` may be a streaming DataFrame (the
+    dimension joins are then stream-static joins)."""
+    d = (documents if documents is not None else read_table(spark, sf_dir, "documents")) \
+        .select("doc_id", "text", "source")
     part = (read_table(spark, sf_dir, "part").where(F.col("p_partkey") < 200)
             .select(F.col("p_partkey").alias("j_key"), F.col("p_name").alias("journal_title")))
     cust = read_table(spark, sf_dir, "customer").where(F.col("c_custkey") < 100)
