@@ -156,6 +156,30 @@ def display_title(doc_type, title_txt, journal_title, article_title, article_tit
     return F.when(_col(doc_type).isin(PUBMED_TYPES), pub).otherwise(_col(title_txt))
 
 
+def _parts_date(y, m, d) -> Column:
+    return F.try_to_timestamp(F.concat_ws("-", _col(y), _col(m), _col(d)), F.lit("yyyy-M-d")).cast("date")
+
+
+def _iso_date(ts) -> Column:
+    return F.try_to_timestamp(F.substring_index(_col(ts), "T", 1), F.lit("yyyy-M-d")).cast("date")
+
+
+def publication_date(completed_y, completed_m, completed_d, issue_pub_ts, article_y, article_m,
+                     article_d, pub_ts, history_pub, history_pub_ts, today) -> Column:
+    """PRJ-2: the first *present* date field decides (date completed parts,
+    issue date, article date parts, publication date, PubMed history list,
+    PubMed history date); an unparsable value gives NULL (the document is
+    then kept by FLT-4); none present gives ``today`` (a parameter)."""
+    hist = F.get(_col(history_pub), 0)
+    return (F.when(_col(completed_y).isNotNull(), _parts_date(completed_y, completed_m, completed_d))
+            .when(_col(issue_pub_ts).isNotNull(), _iso_date(issue_pub_ts))
+            .when(_col(article_y).isNotNull(), _parts_date(article_y, article_m, article_d))
+            .when(_col(pub_ts).isNotNull(), _iso_date(pub_ts))
+            .when(hist.isNotNull(), _iso_date(hist))
+            .when(_col(history_pub_ts).isNotNull(), _iso_date(history_pub_ts))
+            .otherwise(F.lit(today).cast("date")))
+
+
 def topic_class(c) -> Column:
     """PRJ-3."""
     return F.coalesce(_col(c), F.lit(NOT_EVALUATED))

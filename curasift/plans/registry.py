@@ -946,3 +946,43 @@ def q_stream_counts(spark, sf):
     out = ds.run_to_table(ds.daily_source_counts(spark, sf), "daily-source-counts", mode="complete")
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "document_type",
                       F.col("n").cast("long").alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# PRJ-2 publication date, SRC-7 single-document view
+# ---------------------------------------------------------------------------
+
+@register("prj_2_publication_date", orc.articles_query(
+    "select doc_id, pub_date from articles where doc_id like '/PMC/%' or doc_id like '/PubMed_abstracts/%'"))
+def q_prj_2(spark, sf):
+    a = _arts(spark, sf)
+    return a.where(F.col("doc_id").startswith("/PMC/") | F.col("doc_id").startswith("/PubMed_abstracts/")) \
+            .select("doc_id", "pub_date")
+
+
+def document_view(articles, dictionary, paths):
+    """SRC-7 + API-5 + HLT-7: the single-document view for every requested
+    path (``paths``: a DataFrame with ``doc_id``; an equi-join, not a scan
+    per path): document text with its tagged entities highlighted."""
+    a = al.skip_rows(articles.join(paths.select("doc_id").distinct(), "doc_id", "left_semi"))
+    d = a.select("doc_key", "doc_id", tx.document_text(F.col("content")).alias("document_text"))
+    p = tg.parse_tag_lists(tg.tag_lists(tg.tag_entities(d.select("doc_key", "document_text"), dictionary)))
+    return (d.join(tg.highlight_list_input(p), "doc_key", "left")
+            .select("doc_id", hl.highlight_tags_from_list(F.col("document_text"), F.col("tag_list")).alias("tagged_text")))
+
+
+_PR_DOCS = f"""tdocs as (
+  select doc_key, doc_id, {sq.document_text('content')} as document_text from articles
+  where path0 = 'Press releases' and doc_id <> '' and content is not null and exclusion_flag is null
+)"""
+
+
+# the HLT-7 oracle body, keyed by path instead of document key
+_HLT7_BODY = _Q["hlt_7_highlight_tag_lists"][1].split("\nselect d.doc_key,", 1)[1]
+
+
+@register("src_7_document_view", orc.tags_query("select d.doc_id," + _HLT7_BODY, _PR_DOCS, extra="," + _LISTS_SQL))
+def q_src_7(spark, sf):
+    a = _arts(spark, sf)
+    paths = a.where(F.col("path0") == "Press releases").select("doc_id")
+    return document_view(a, fx.dictionary(spark), paths)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curasift.checks.sqlfrag import values_cte
+from curasift.functions import classify as cl
 from curasift.sources.tables import read_table
 
 # ---------------------------------------------------------------------------
@@ -34,6 +35,7 @@ SOURCE_PREFIXES = [
 ]
 BASE_DATE = "2024-01-01"
 N_DAYS = 30
+TODAY = "2024-03-01"   # the "today" of publication dates with no date field
 
 # ---------------------------------------------------------------------------
 # Configuration tables (inline in both engines).  Keywords are real corpus
@@ -154,13 +156,25 @@ def articles(spark: SparkSession, sf_dir: str, documents: DataFrame | None = Non
     doc_path = F.concat(F.coalesce(F.col("prefix"), F.concat(F.lit("/newswire/"), F.col("source"), F.lit("_"))),
                         F.col("doc_id").cast("string"))
     fmd = F.date_add(base, day)
+    # raw publication date fields: date-completed parts for doc_id % 3 = 0
+    # (month written 'Jan' -- unparsable -- when doc_id % 9 = 0), an ISO
+    # publication timestamp for doc_id % 3 = 1, nothing otherwise
+    pub = F.date_sub(fmd, (F.col("doc_id") % 7).cast("int"))
+    m3 = F.col("doc_id") % 3
+    x = (x.withColumn("date_completed_y", F.when(m3 == 0, F.year(pub).cast("string")))
+          .withColumn("date_completed_m", F.when(m3 == 0, F.when(F.col("doc_id") % 9 == 0, F.lit("Jan"))
+                                                  .otherwise(F.month(pub).cast("string"))))
+          .withColumn("date_completed_d", F.when(m3 == 0, F.dayofmonth(pub).cast("string")))
+          .withColumn("pub_ts", F.when(m3 == 1, F.concat(F.date_format(pub, "yyyy-MM-dd"), F.lit("T00:00:00Z")))))
+    none = F.lit(None).cast("string")
     return x.select(
         doc_path.alias("doc_id"),
         F.col("doc_id").alias("doc_key"),
         F.col("text").alias("content"),
         F.substring("text", 1, 60).alias("title_txt"),
         fmd.alias("file_modified_date"),
-        F.date_sub(fmd, (F.col("doc_id") % 7).cast("int")).alias("pub_date"),
+        cl.publication_date("date_completed_y", "date_completed_m", "date_completed_d", none, none, none, none,
+                            "pub_ts", F.lit(None).cast("array<string>"), none, TODAY).alias("pub_date"),
         F.col("journal_title"),
         F.lit(None).cast("string").alias("journal_name"),
         F.lit(None).cast("string").alias("article_title"),
@@ -213,7 +227,11 @@ articles as (
   select concat(coalesce(s.prefix, concat('/newswire/', d.source, '_')), cast(d.doc_id as varchar)) as doc_id,
     d.doc_id as doc_key, d.text as content, substring(d.text, 1, 60) as title_txt,
     cast(date '{BASE_DATE}' + cast(d.doc_id % {N_DAYS} as integer) as date) as file_modified_date,
-    cast(date '{BASE_DATE}' + cast(d.doc_id % {N_DAYS} as integer) - cast(d.doc_id % 7 as integer) as date) as pub_date,
+    case when d.doc_id % 3 = 0 then try_strptime(
+           cast(year(pd) as varchar) || '-' || (case when d.doc_id % 9 = 0 then 'Jan' else cast(month(pd) as varchar) end)
+           || '-' || cast(day(pd) as varchar), '%Y-%m-%d')::date
+         when d.doc_id % 3 = 1 then try_strptime(strftime(pd, '%Y-%m-%d'), '%Y-%m-%d')::date
+         else date '{TODAY}' end as pub_date,
     p.p_name as journal_title, cast(null as varchar) as journal_name,
     cast(null as varchar) as article_title, cast(null as varchar) as article_title_alt,
     list_filter([c1.c_name, c2.c_name], lambda v: v is not null) as authors,
@@ -222,7 +240,8 @@ articles as (
     case when l.toxic = 1 then 'not relevant' when l.toxic = 0 then 'relevant' end as topic_class,
     split_part(concat(coalesce(s.prefix, concat('/newswire/', d.source, '_')), cast(d.doc_id as varchar)), '/', 2) as path0,
     regexp_extract(concat(coalesce(s.prefix, concat('/newswire/', d.source, '_')), cast(d.doc_id as varchar)), '[^/]*$') as path_basename
-  from documents d
+  from (select *, cast(date '{BASE_DATE}' + cast(doc_id % {N_DAYS} as integer) - cast(doc_id % 7 as integer) as date) as pd
+        from documents) d
   left join src s on d.source = s.source
   left join (select * from part where p_partkey < 200) p on p.p_partkey = d.doc_id % 200
   left join (select * from customer where c_custkey < 100) c1 on c1.c_custkey = d.doc_id % 100
