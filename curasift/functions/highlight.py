@@ -42,8 +42,8 @@ def tag_span(kw, fill, border) -> Column:
 def _unguarded(text: Column, needle: Column) -> Column:
     """needle occurs and its first occurrence is not right after '>' (a hit
     at position 1 is unguarded, quirk Q-20)."""
-    p = F.instr(text, needle)
-    return (F.length(needle) > 0) & (p > 0) & ((p == 1) | (F.substring(text, p - 1, 1) != ">"))
+    return tx.let(F.instr(text, needle), lambda p: (F.length(needle) > 0) & (p > 0)
+                  & ((p == 1) | (F.substring(text, p - 1, 1) != ">")))
 
 
 def py_title(c) -> Column:
@@ -64,15 +64,18 @@ def highlight_keyword(text, kw, mode: str = "yes", color: str = KEYWORD_COLOR,
     that, the title-cased keyword is tried case-sensitively.  mode 'no':
     case-sensitive replace."""
     colon = not subscriptions
-    t = tx.mask_special(text, colon_rule=colon)
-    k = tx.mask_special(kw, colon_rule=colon)
-    if mode == "no":
-        return F.when(F.length(k) > 0, F.replace(t, k, keyword_span(k, color))).otherwise(t)
-    lt, lk = F.lower(t), F.lower(k)
-    kt = py_title(k)
-    return (F.when(_unguarded(lt, lk), F.replace(lt, lk, keyword_span(lk, color)))
-            .when(_unguarded(t, kt), F.replace(t, kt, keyword_span(kt, color)))
-            .otherwise(t))
+    both = F.struct(tx.mask_special(text, colon_rule=colon).alias("t"), tx.mask_special(kw, colon_rule=colon).alias("k"))
+
+    def body(b):
+        t, k = b["t"], b["k"]
+        if mode == "no":
+            return F.when(F.length(k) > 0, F.replace(t, k, keyword_span(k, color))).otherwise(t)
+        lt, lk = F.lower(t), F.lower(k)
+        kt = py_title(k)
+        return (F.when(_unguarded(lt, lk), F.replace(lt, lk, keyword_span(lk, color)))
+                .when(_unguarded(t, kt), F.replace(t, kt, keyword_span(kt, color)))
+                .otherwise(t))
+    return tx.let(both, body)
 
 
 def highlight_keyword_subscriptions(text, kw, color: str = KEYWORD_COLOR) -> Column:

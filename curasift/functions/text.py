@@ -64,21 +64,34 @@ def clean_line_breaks(c) -> Column:
     return F.regexp_replace(s, "[^\\x00-\\x7F]", "")
 
 
+def let(expr: Column, body) -> Column:
+    """Bind ``expr`` once and use it several times in ``body`` (a one-element
+    ``transform``): Spark does not share a sub-expression between the
+    branches of a ``when`` or across lambda bodies, so a large one
+    referenced twice would be evaluated twice."""
+    return F.element_at(F.transform(F.array(expr), body), 1)
+
+
+_WS_CHARS = " \t\n\r\f\x0b"
+
+
 def strip_ws(c) -> Column:
-    return F.regexp_replace(_col(c), f"^{_WS}+|{_WS}+$", "")
+    """Strip ASCII whitespace (incl. vertical tab) at both ends."""
+    return F.btrim(_col(c), F.lit(_WS_CHARS))
 
 
 def mask_special(c, colon_rule: bool = True) -> Column:
     """MSK-1 (colon_rule=True) / MSK-2 (False): replace index-syntax characters
     by a space; colons go too only when the character after the *first* colon
     is a digit or a space; then strip and collapse spaces."""
-    s = _col(c)
-    s = F.regexp_replace(s, _java_class(MASK_CHARS.replace("/", "")), " ")
+    s = F.regexp_replace(_col(c), _java_class(MASK_CHARS.replace("/", "")), " ")
     if colon_rule:
-        pos = F.instr(s, ":")
-        nxt = F.substring(s, pos + 1, 1)
-        s = F.when((pos > 0) & (pos < F.length(s)) & nxt.rlike("^[0-9 ]$"),
-                   F.replace(s, F.lit(":"), F.lit(" "))).otherwise(s)
+        def colon(m):
+            pos = F.instr(m, ":")
+            nxt = F.substring(m, pos + 1, 1)
+            return F.when((pos > 0) & (pos < F.length(m)) & nxt.rlike("^[0-9 ]$"),
+                          F.replace(m, F.lit(":"), F.lit(" "))).otherwise(m)
+        s = let(s, colon)
     s = F.replace(s, F.lit("/"), F.lit(" "))
     return F.regexp_replace(strip_ws(s), " +", " ")
 
@@ -110,12 +123,12 @@ def split_sentences(c, keep_tail: bool = True) -> Column:
     t = F.replace(t, F.lit("?"), F.lit("?<stop>"))
     t = F.replace(t, F.lit("!"), F.lit("!<stop>"))
     t = F.replace(t, F.lit("<prd>"), F.lit("."))
-    parts = F.split(t, "<stop>", -1)
-    body = F.slice(parts, 1, F.size(parts) - 1)
+    parts = F.transform(F.split(t, "<stop>", -1), strip_ws)
     if keep_tail:
-        tail = F.element_at(parts, -1)
-        body = F.when(strip_ws(tail) != "", F.concat(body, F.array(tail))).otherwise(body)
-    return F.transform(body, strip_ws)
+        # every piece but the last ends with a terminator, so only the last
+        # (the unterminated tail) can be blank
+        return F.filter(parts, lambda x: x != "")
+    return let(parts, lambda ps: F.slice(ps, 1, F.size(ps) - 1))
 
 
 def text_to_sentences(c) -> Column:
