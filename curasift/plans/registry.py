@@ -153,9 +153,15 @@ def q_win_1(spark, sf):
     return al.alert_hits(_arts(spark, sf), fx.alerts(spark), FROM, TO).select(*KEYS, "doc_key", "title_txt")
 
 
+def _hits_email(spark, sf):
+    """Narrow alert hits of the e-mailed alerts (no text work), checkpointed
+    once: the metadata filters read them in several branches."""
+    from curasift.session import cut_lineage
+    return cut_lineage(al.alert_hits(_arts(spark, sf), _emailed(spark), FROM, TO))
+
+
 def _enriched(spark, sf):
-    a = _arts(spark, sf)
-    return al.enrich(al.alert_hits(a, _emailed(spark), FROM, TO), a, F.col("keyword"))
+    return al.enrich(_hits_email(spark, sf), _arts(spark, sf), F.col("keyword"))
 
 
 @register("agg_1_keyword_mentions", orc.alert_pipeline_sql(
@@ -179,7 +185,7 @@ def q_hlt_1(spark, sf):
 @register("flt_10_metadata_filter", orc.alert_pipeline_sql(
     "select distinct alert_id, doc_key, meta_pass from meta where any_sel"))
 def q_flt_10(spark, sf):
-    e = _enriched(spark, sf)
+    e = _hits_email(spark, sf)
     m = al.metadata_pass(e)
     sel = e.select("alert_id", ((F.col("journal_select") != "") | (F.col("author_select") != "")
                                 | (F.col("institution_select") != "")).alias("any_sel")).distinct()
@@ -656,12 +662,12 @@ _FZ = orc.fuzzy_cands_cte()
 @register("fuz_1_fuzzy_ratio", orc.alert_pipeline_sql(
     "select distinct value, pattern, score from scored", extra=_FZ))
 def q_fuz_1(spark, sf):
-    return al.fuzzy_pairs(al.metadata_candidates(_enriched(spark, sf))).select("value", "pattern", "score")
+    return al.fuzzy_pairs(al.metadata_candidates(_hits_email(spark, sf))).select("value", "pattern", "score")
 
 
 def _flag_q(letter):
     def q(spark, sf):
-        f = al.metadata_flags(_enriched(spark, sf))
+        f = al.metadata_flags(_hits_email(spark, sf))
         return f.where(F.col(letter) == 1).select("alert_id", "doc_key")
     return q
 
@@ -673,7 +679,7 @@ for _letter, _name in (("j", "jn_4_journal_filter"), ("a", "jn_5_author_filter")
 
 
 def _meta_of_type(spark, sf, ftype):
-    e = _enriched(spark, sf)
+    e = _hits_email(spark, sf)
     m = al.metadata_pass(e)
     sel = e.where((F.col("filter_type") == ftype) & ((F.col("journal_select") != "") | (F.col("author_select") != "")
                                                     | (F.col("institution_select") != ""))).select("alert_id").distinct()
@@ -689,7 +695,7 @@ def q_set_1(spark, sf):
 @register("set_2_or_filter_union", orc.alert_pipeline_sql(
     "select distinct alert_id, doc_key from meta where any_sel and filter_type <> 'and' and meta_pass"))
 def q_set_2(spark, sf):
-    e = _enriched(spark, sf)
+    e = _hits_email(spark, sf)
     m = al.metadata_pass(e)
     sel = e.where((F.col("filter_type") != "and") & ((F.col("journal_select") != "") | (F.col("author_select") != "")
                                                     | (F.col("institution_select") != ""))).select("alert_id").distinct()
@@ -699,7 +705,7 @@ def q_set_2(spark, sf):
 @register("jn_7_filter_semi_join", orc.alert_pipeline_sql(
     "select alert_id, alias_seq, doc_key from meta where any_sel and meta_pass"))
 def q_jn_7(spark, sf):
-    e = _enriched(spark, sf)
+    e = _hits_email(spark, sf)
     ok = al.metadata_pass(e).where("meta_pass").select("alert_id", "doc_key")
     sel = e.where((F.col("journal_select") != "") | (F.col("author_select") != "") | (F.col("institution_select") != ""))
     return sel.join(ok, ["alert_id", "doc_key"], "left_semi").select("alert_id", "alias_seq", "doc_key")

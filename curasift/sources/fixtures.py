@@ -133,14 +133,19 @@ def articles(spark: SparkSession, sf_dir: str, documents: DataFrame | None = Non
     dimension joins are then stream-static joins)."""
     d = (documents if documents is not None else read_table(spark, sf_dir, "documents")) \
         .select("doc_id", "text", "source")
-    part = (read_table(spark, sf_dir, "part").where(F.col("p_partkey") < 200)
-            .select(F.col("p_partkey").alias("j_key"), F.col("p_name").alias("journal_title")))
-    cust = read_table(spark, sf_dir, "customer").where(F.col("c_custkey") < 100)
-    a1 = cust.select(F.col("c_custkey").alias("a1_key"), F.col("c_name").alias("author1"))
-    a2 = cust.select(F.col("c_custkey").alias("a2_key"), F.col("c_name").alias("author2"))
-    sup = (read_table(spark, sf_dir, "supplier").where(F.col("s_suppkey") < 50)
-           .select(F.col("s_suppkey").alias("i_key"), F.col("s_name").alias("institution")))
-    lab = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_doc"), "toxic")
+    # Dimension sides are grouped on their key (the keys are unique, so this
+    # changes no row).  A left join to a side that is distinct on the join
+    # key cannot add rows, so the optimizer removes it from every branch that
+    # uses none of its columns (search and text branches read only the key
+    # and the text).
+    def dim(name, key, val, bound, new_key, new_val):
+        t = read_table(spark, sf_dir, name).where(F.col(key) < bound)
+        return t.groupBy(F.col(key).alias(new_key)).agg(F.min(val).alias(new_val))
+    part = dim("part", "p_partkey", "p_name", 200, "j_key", "journal_title")
+    a1 = dim("customer", "c_custkey", "c_name", 100, "a1_key", "author1")
+    a2 = dim("customer", "c_custkey", "c_name", 100, "a2_key", "author2")
+    sup = dim("supplier", "s_suppkey", "s_name", 50, "i_key", "institution")
+    lab = dim("labels", "doc_id", "toxic", 2 ** 62, "l_doc", "toxic")
     src = F.broadcast(_source_map(spark))  # 10 fixed rows
 
     day = (F.col("doc_id") % N_DAYS).cast("int")
