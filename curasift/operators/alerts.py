@@ -104,15 +104,22 @@ def pub_date_floor(doc_type: Column, pub_date: Column, from_date) -> Column:
     return (~doc_type.isin(cl.PUBMED_TYPES)) | pub_date.isNull() | (pub_date >= F.lit(from_date).cast("date"))
 
 
+def first_per_key(df: DataFrame, keys: list[str], order: str = "doc_key") -> DataFrame:
+    """First row (smallest ``order``) per key as an aggregation: ``min_by``
+    is combined map-side, so a hot key (one title shared by a third of the
+    corpus) reaches the shuffle as one row per map task, never as a whole
+    group in one task as a window would."""
+    cols = [c for c in df.columns if c not in keys]
+    g = df.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.col(order)).alias("_r"))
+    return g.select(*keys, "_r.*").select(*df.columns)
+
+
 def first_per_title(df: DataFrame, search_keys: list[str]) -> DataFrame:
     """WIN-1: first-wins dedup by raw title inside one search, in index order
     (document key).  Rows whose display title differs from the raw title are
     not deduplicated (quirk Q-5)."""
-    w = Window.partitionBy(*search_keys, "title_txt").orderBy("doc_key")
-    dedup = F.col("title") != F.col("title_txt")
-    return (df.withColumn("_rn", F.when(dedup | F.col("title_txt").isNull(), F.lit(1))
-                          .otherwise(F.row_number().over(w)))
-            .where(F.col("_rn") == 1).drop("_rn"))
+    plain = (F.col("title") != F.col("title_txt")) | F.col("title_txt").isNull()
+    return df.where(plain).unionByName(first_per_key(df.where(~plain), [*search_keys, "title_txt"]))
 
 
 def doc_texts(articles: DataFrame, hits: DataFrame) -> DataFrame:

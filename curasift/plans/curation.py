@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from curasift.functions import classify as cl
 from curasift.operators.alerts import keyword_label, run_alerts
@@ -44,9 +43,12 @@ def emailed_alerts(alerts: DataFrame, owner_like: str | None = None,
 
 
 def latest_scores(scores: DataFrame) -> DataFrame:
-    """WIN-6: one score row per document (latest processed, then lowest id)."""
-    w = Window.partitionBy("doc_key").orderBy(F.col("processed_dt").desc(), F.col("id"))
-    return scores.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """WIN-6: one score row per document (latest processed, then lowest id),
+    as a map-side-combined ``min_by`` (no per-document window)."""
+    cols = [c for c in scores.columns if c != "doc_key"]
+    order = F.struct((-F.unix_micros(F.col("processed_dt"))).alias("t"), F.col("id").alias("i"))
+    return (scores.groupBy("doc_key").agg(F.min_by(F.struct(*cols), order).alias("_r"))
+            .select("doc_key", "_r.*").select(*scores.columns))
 
 
 def attach_scores(df: DataFrame, scores: DataFrame, user_col: str = "owner",

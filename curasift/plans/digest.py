@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from curasift.functions import classify as cl
 from curasift.functions import text as tx
@@ -59,15 +58,21 @@ def digest_rows(results: DataFrame, user: str, internal: bool = False) -> DataFr
     ``results``: alert_id, doc_id, alias_seq, doc_key, keyword, keyword_count,
     document_type, title, path, shorter_sentences, entity_spans (nullable);
     internal also relevant_check, topic_class, correct_link, wrong_link.
-    Output: alert_id, section (TOP-7 rank, then first appearance), row_no,
-    is_last (last row of its section: heavier rule), html."""
-    r = results.withColumn("_rank", type_rank(F.col("document_type")))
-    first = Window.partitionBy("alert_id", "document_type")
-    r = r.withColumn("_first", F.min(F.struct("alias_seq", "doc_key")).over(first))
-    order = Window.partitionBy("alert_id").orderBy("_rank", "_first", "alias_seq", "doc_key")
-    last = Window.partitionBy("alert_id", "document_type").orderBy(F.col("alias_seq").desc(), F.col("doc_key").desc())
-    r = (r.withColumn("row_no", F.row_number().over(order))
-          .withColumn("is_last", F.row_number().over(last) == 1))
+    Output: alert_id, doc_id, the ordering key (section = TOP-7 rank,
+    sec_alias / sec_doc = first appearance of the section, alias_seq,
+    doc_key), is_last (last row of its section: heavier rule), html.
+
+    No window over an alert: section bounds come from a small per
+    (alert, type) aggregate (size-checked broadcast), and the order is a sort
+    key the sink range-partitions on, so a hot alert spreads over tasks."""
+    from curasift.operators.joins import broadcast_if_small
+    bounds = (results.groupBy("alert_id", "document_type")
+              .agg(F.min(F.struct("alias_seq", "doc_key")).alias("_first"),
+                   F.max(F.struct("alias_seq", "doc_key")).alias("_last")))
+    r = (results.withColumn("section", type_rank(F.col("document_type")))
+         .join(broadcast_if_small(bounds), ["alert_id", "document_type"])
+         .withColumn("is_last", F.struct("alias_seq", "doc_key") == F.col("_last"))
+         .withColumn("sec_alias", F.col("_first.alias_seq")).withColumn("sec_doc", F.col("_first.doc_key")))
     link = cl.curation_link(F.col("path"), F.lit(user))
     title = tx.sanitize_title(F.col("title"))
     td_kw = F.when(F.col("is_last"), F.lit(TD_KEYWORD_LAST)).otherwise(F.lit(TD_KEYWORD))
@@ -90,7 +95,8 @@ def digest_rows(results: DataFrame, user: str, internal: bool = False) -> DataFr
                                         F.when(F.col(c) != "", F.lit(label)).otherwise(F.lit("")), F.lit("</a></td>"))
         cells = [flag, lda_td] + cells + [btn("correct_link", "Correct"), btn("wrong_link", "Wrong")]
     html = F.concat(F.lit("<tr>"), *cells, F.lit("</td></tr>"))
-    return r.select("alert_id", "doc_id", F.col("_rank").alias("section"), "row_no", "is_last", html.alias("html"))
+    return r.select("alert_id", "doc_id", "section", "sec_alias", "sec_doc", "alias_seq", "doc_key", "is_last",
+                    html.alias("html"))
 
 
 def section_counts(results: DataFrame) -> DataFrame:
@@ -105,18 +111,24 @@ def result_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("alert_id").agg(F.count(F.lit(1)).alias("n_results"))
 
 
+ORDER_KEY = ["section", "sec_alias", "sec_doc", "alias_seq", "doc_key"]
+
+
 def write_digest(rows: DataFrame, path: str) -> None:
-    """SNK-3: one text file set per alert: table head, rows in order, tail.
-    Rows are range-partitioned by alert and sorted within partitions, so no
-    alert's digest is assembled in one row or on the driver."""
-    head = rows.select("alert_id").distinct().select("alert_id", F.lit(0).alias("row_no"),
-                                                     F.lit(TABLE_HEAD).alias("html"))
-    tail = rows.select("alert_id").distinct().select("alert_id", F.lit(2 ** 31 - 1).alias("row_no"),
-                                                     F.lit(TABLE_TAIL).alias("html"))
-    body = rows.select("alert_id", "row_no", "html")
-    out = head.unionByName(body).unionByName(tail)
+    """SNK-3: per alert, the table head, the rows in digest order, the tail.
+    Rows are range-partitioned on (alert, order key) and sorted within
+    partitions: a large alert spans several ordered part files instead of one
+    task, and no alert's digest is assembled in one row or on the driver."""
+    alerts = rows.select("alert_id").distinct()
+    frame = lambda sec, html: alerts.select("alert_id", F.lit(sec).alias("section"),
+                                            *[F.lit(0).cast("long").alias(c) for c in ORDER_KEY[1:]],
+                                            F.lit(html).alias("html"))
+    body = rows.select("alert_id", *ORDER_KEY, "html")
+    out = frame(-1, TABLE_HEAD).unionByName(body.withColumn("section", F.col("section").cast("int")), allowMissingColumns=True) \
+        .unionByName(frame(10 ** 6, TABLE_TAIL))
+    keys = ["alert", *ORDER_KEY]
     # sort on the partition column itself so the writer keeps the row order
     (out.withColumn("alert", F.col("alert_id").cast("string"))
-        .repartitionByRange("alert", "row_no").sortWithinPartitions("alert", "row_no")
+        .repartitionByRange(*keys).sortWithinPartitions(*keys)
         .select("alert", "html")
         .write.mode("overwrite").partitionBy("alert").text(path))

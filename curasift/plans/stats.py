@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from curasift.functions import classify as cl
 from curasift.functions import text as tx
@@ -24,9 +23,7 @@ def day_documents(articles: DataFrame, from_date, to_date) -> DataFrame:
     a = al.classify(a)
     a = a.where(~F.col("document_type").isin(cl.PUBMED_TYPES) | F.col("pub_date").isNull()
                 | (F.col("pub_date") >= F.col("file_modified_date")))
-    w = Window.partitionBy("file_modified_date", "title_txt").orderBy("doc_key")
-    a = (a.withColumn("_rn", F.when((F.col("title") != F.col("title_txt")) | F.col("title_txt").isNull(), F.lit(1))
-                      .otherwise(F.row_number().over(w))).where("_rn = 1").drop("_rn"))
+    a = al.first_per_title(a, ["file_modified_date"])
     return a.select("doc_key", "doc_id", F.col("file_modified_date").alias("date"), "document_type",
                     "detailed_type", "title",
                     F.replace(cl.redirect_path(F.col("doc_id"), al.REDIRECT_BASE), F.lit(LINK_FROM), F.lit(LINK_TO)).alias("path"),
