@@ -12,10 +12,6 @@ from curasift.sources import fixtures as fx
 RANGE = ("2024-01-01", "2024-01-30")
 
 
-def lst(values) -> str:
-    return "[" + ", ".join(sq.q(v) for v in values) + "]"
-
-
 def doc_type_case(e: str) -> str:
     name = f"split_part(regexp_extract({e}, '[^/]*$'), '_', 1)"
     pr = f"(case when {name} in ({', '.join(sq.q(w) for w in cl.PRESS_WIRES)}) then {name} else 'CompanyPR_' || {name} end)"

@@ -12,12 +12,6 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _rx(s: str) -> str:
-    """Java-style pattern text -> RE2 pattern text (the ones used here only
-    differ in how they are written in Python)."""
-    return s
-
-
 def rr(expr: str, pat: str, rep: str) -> str:
     return f"regexp_replace({expr}, {q(pat)}, {q(rep)}, 'g')"
 

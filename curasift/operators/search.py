@@ -78,8 +78,10 @@ def search_hits(docs: DataFrame, params: DataFrame, search_keys: list[str],
     # QRY-4: a lone phrase with a distance is split into head token + rest
     lone = (F.col("_p2").isNull() | (F.col("_p2") == "")) & F.col("keyphrase_distance").isNotNull() \
         & F.contains(F.col("_p1"), F.lit(" "))
-    p = (p.withColumn("_p2", F.when(lone, F.regexp_replace("_p1", "^[^ ]+ ", "")).otherwise(F.col("_p2")))
-          .withColumn("_p1", F.when(lone, F.substring_index("_p1", " ", 1)).otherwise(F.col("_p1"))))
+    p = (p.withColumn("_lone", lone)
+          .withColumn("_p2", F.when(F.col("_lone"), F.regexp_replace("_p1", "^[^ ]+ ", "")).otherwise(F.col("_p2")))
+          .withColumn("_p1", F.when(F.col("_lone"), F.substring_index("_p1", " ", 1)).otherwise(F.col("_p1")))
+          .drop("_lone"))
     roles = (p.select("*", F.lit(1).alias("_role"), F.col("_p1").alias("phrase"))
              .unionByName(p.where(F.col("_p2").isNotNull() & (F.col("_p2") != ""))
                           .select("*", F.lit(2).alias("_role"), F.col("_p2").alias("phrase"))))

@@ -995,3 +995,25 @@ def q_src_7(spark, sf):
     a = _arts(spark, sf)
     paths = a.where(F.col("path0") == "Press releases").select("doc_id")
     return document_view(a, fx.dictionary(spark), paths)
+
+
+# ---------------------------------------------------------------------------
+# QRY-4: a lone phrase with slop (head token and the rest within distance N)
+# ---------------------------------------------------------------------------
+
+_SLOP = 2
+
+
+@register("qry_4_sloppy_phrase", orc.alert_pipeline_sql(f"""select alert_id, alias_seq, doc_key from (
+    select p.alert_id, p.alias_seq, d.doc_key,
+      {orc.starts('d.toks', "split_part(p.ph, ' ', 1)")} as h,
+      {orc.starts('d.toks', "regexp_replace(p.ph, '^[^ ]+ ', '')")} as r
+    from (select alert_id, alias_seq, {sq.phrase_norm('keyword')} as ph from params) p, docs d
+    where contains(p.ph, ' '))
+  where len(list_filter(h, lambda a: len(list_filter(r, lambda b: abs(b - a - 1) <= {_SLOP})) > 0)) > 0""", "true"))
+def q_qry_4(spark, sf):
+    p = al.expand_alerts(fx.alerts(spark))
+    p = (p.where(F.contains(tx.phrase_norm(F.col("keyword")), F.lit(" ")))
+          .select(*KEYS, F.col("keyword").alias("keyphrase1"), F.lit(None).cast("string").alias("keyphrase2"),
+                  F.lit(_SLOP).alias("keyphrase_distance")))
+    return search_hits(_docs(spark, sf).select("doc_key", "content"), p, KEYS)

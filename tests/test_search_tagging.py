@@ -58,3 +58,9 @@ def test_two_entities_same_span_and_validity(spark):
                     (2, "c1", "tnf", False), (2, "t1", "tnf", False),  # lower case: never
                     (4, "t2", "ED", False)]                            # stop-listed alias
     assert F is not None
+
+
+def test_sloppy_lone_phrase(spark):
+    # QRY-4: head token and the rest of the phrase within the slop
+    assert _hits(spark, [(1, 0, "alpha beta", None, 1)]) == [(1, 1)]
+    assert _hits(spark, [(1, 0, "alpha beta", None, 2)]) == [(1, 1), (1, 2), (1, 3)]
