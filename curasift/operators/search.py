@@ -126,8 +126,9 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_key"
          .withColumn("idf", F.log(F.lit(1.0) + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
          .withColumn("part", F.col("idf") * F.col("tf") * (k1 + 1)
                      / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))))
-    scored = (s.join(qb, "w").groupBy("query_id", key).agg(F.sum("part").alias("score")))
+    # scores are rounded to 6 decimals before ranking so that equal scores
+    # tie-break on the key whatever the order of the floating-point sum
+    scored = (s.join(qb, "w").groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score")))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key))
-    return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .withColumn("score", F.round("score", 6)))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

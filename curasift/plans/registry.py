@@ -853,8 +853,9 @@ s as (select q.query_id, tf.doc_key,
         sum(ln(1.0 + (st.n - dfq.df + 0.5) / (dfq.df + 0.5)) * tf.tf * 2.2
             / (tf.tf + 1.2 * (1 - 0.75 + 0.75 * dl.dl / st.avgdl))) as score
       from tf join dfq using (w) join dl using (doc_key) cross join st join q using (w) group by all)"""
-_BM25_SQL = orc.alert_pipeline_sql("""select query_id, doc_key, round(score, 6) as score, rank from (
-  select *, row_number() over (partition by query_id order by score desc, doc_key) as rank from s) where rank <= 20""",
+_BM25_SQL = orc.alert_pipeline_sql("""select query_id, doc_key, score, rank from (
+  select query_id, doc_key, round(score, 6) as score,
+    row_number() over (partition by query_id order by round(score, 6) desc, doc_key) as rank from s) where rank <= 20""",
                                    "true", extra=_BM25_CTES)
 
 
