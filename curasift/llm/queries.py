@@ -1,30 +1,59 @@
-"""Registered queries of this subpackage and their SQL.  Each query reads its whole table,
-calls its operator with production parameters and derives the result columns."""
+"""Registered queries of this subpackage.  Each query reads its whole table, calls its
+operator with production parameters and derives the result columns."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from curasift.llm import chat_format, near_dup, quality_rules, sharding, substring_dedup, toxicity, url_filter
 from curasift.llm import decontaminate as dc
-from curasift.llm import near_dup, substring_dedup, toxicity
 from curasift.llm.common import ship_package
+from curasift.llm.sql import oracle_sql
 from curasift.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The rules of the URL query, and the labels whose hosts are on its list.
+URL_RULES = (url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "example.com", "/en/"), url_filter.Rule("allow", "www.example.com", "/en/"),
+             url_filter.Rule("block", "net", "/es/"), url_filter.Rule("block", "net", "/fr/"))
+LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds the keys (host and path) of all pages of hosts with a listed label."""
+    pages = read_table(spark, sf_dir, "pages")
+    host, path = url_filter.host_and_path(F.col("url"))
+    listed = pages.select(host.alias("host"), path.alias("path")).where(F.col("host").rlike(rf"(^|\.)({'|'.join(LISTED_LABELS)})\.")).select(F.concat("host", "path").alias("key")).distinct()
+    return url_filter.judge_urls(pages, URL_RULES, listed)
+
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return dc.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(read_table(spark, sf_dir, "documents"), shards=8)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return substring_dedup.removal_report(read_table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, rejected = chat_format.stale_reply_pairs(read_table(spark, sf_dir, "conversations"))
+    return chat_format.format_preferences(chosen, rejected).withColumnRenamed("pair_id", "conv_id")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.learn(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     docs = read_table(spark, sf_dir, "documents")
@@ -37,8 +66,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_decontaminate": op2_decontaminate, "op6_substring_dedup": op6_substring_dedup, "op9_toxicity": op9_toxicity, "op10_near_dup": op10_near_dup}
+    return {f.__name__: f for f in (op1_url_filters, op2_decontaminate, op4_sharding, op6_substring_dedup, op7_chat_format, op8_quality_rules, op9_toxicity, op10_near_dup)}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
