@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curasift.llm import chat_format, near_dup, quality_rules, sharding, substring_dedup, toxicity, url_filter
+from curasift.llm import chat_format, lm_score, near_dup, quality_rules, sharding, substring_dedup, subword, toxicity, url_filter
 from curasift.llm import decontaminate as dc
 from curasift.llm.common import ship_package
 from curasift.llm.sql import oracle_sql
@@ -35,10 +35,21 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.fit(docs))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return subword.encoding_report(read_table(spark, sf_dir, "documents"), subword.Vocabulary.load(subword.MODEL), k=2)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return substring_dedup.removal_report(read_table(spark, sf_dir, "documents"))
@@ -66,7 +77,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filters, op2_decontaminate, op4_sharding, op6_substring_dedup, op7_chat_format, op8_quality_rules, op9_toxicity, op10_near_dup)}
+    return {f.__name__: f for f in (op1_url_filters, op2_decontaminate, op3_lm_scoring, op4_sharding, op5_sentencepiece, op6_substring_dedup, op7_chat_format, op8_quality_rules, op9_toxicity, op10_near_dup)}
 
 
 __all__ = ["oracle_sql", "queries"]

@@ -44,6 +44,22 @@ _A, _B, _C = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 _TABLE_BITS = 22
 
 
+_MASK = (1 << 64) - 1
+
+
+def _state(key: int, rank: int, what: int) -> np.uint64:
+    """``mix`` of a row's key, a sample's rank and a purpose."""
+    x = (key + rank * int(_A) + what * int(_B)) & _MASK
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _MASK
+    return np.uint64(x ^ (x >> 31))
+
+
+def _number(state: np.uint64) -> float:
+    """``_uniform`` of one state."""
+    return ((int(_state(int(state), 0, 0)) >> 11) + 0.5) * 2.0**-53
+
+
 def _uniform(x: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from 64-bit states."""
     return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
@@ -134,7 +150,7 @@ class Vocabulary:
 
 
 class Lattice:
-    """The lattices of distinct units: per node its steps, most probable first."""
+    """The lattices of distinct units: per node its steps, longest first."""
 
     def __init__(self, vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, lens: np.ndarray):
         total = int(lens.sum()) + len(lens)
@@ -178,7 +194,7 @@ class Lattice:
         weight = np.where(piece >= 0, vocabulary.log_weight[piece], fallback * (target - source))
         # log mass of all ways from each node to its unit's end, nodes nearest to the end first
         left = end[source] - source
-        order = np.lexsort((source, left))
+        order = np.argsort(left * total + source)
         source, target, piece, weight, left = (x[order] for x in (source, target, piece, weight, left))
         mass = np.zeros(total)
         groups = np.flatnonzero(np.r_[True, np.diff(left) > 0]) if len(left) else []
@@ -187,8 +203,13 @@ class Lattice:
             cut = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
             mass[nodes[cut]] = np.logaddexp.reduceat(weight[a:b] + mass[target[a:b]], cut)
         step = np.minimum(weight + mass[target] - mass[source], 0.0)
-        order = np.lexsort((-step, source))
+        order = np.argsort(source * 4096 + (4095 - (target - source)))  # long pieces first
         self.source, self.target, self.piece, self.step = source[order], target[order], piece[order], step[order]
+        # unknown characters of one byte are pieces; longer ones stay -1 until they are written
+        single = (self.piece < 0) & (self.target - self.source == 1)
+        self.piece[single] = vocabulary.byte_ids[byte[self.source[single]]]
+        with np.errstate(divide="ignore"):
+            self.others = np.log(-np.expm1(self.step))  # log probability of the steps not taken
         self.byte = byte
         new = np.r_[True, self.source[1:] != self.source[:-1]] if len(order) else np.zeros(0, bool)
         heads = np.flatnonzero(new)
@@ -229,7 +250,7 @@ class Lattice:
         out, t = [], 0
         with np.errstate(over="ignore"):
             while not self.is_end[node]:
-                u = _uniform(np.array([state + np.uint64(t + 1) * _C]))[0]
+                u = _number(state + np.uint64(t + 1) * _C)
                 a, b = self.first[node], self.after[node]
                 e = int(a + np.searchsorted(self.sums[a:b], u, side="right"))
                 out.append(e)
@@ -268,10 +289,10 @@ class _Path:
     taken: dict[int, list[int]] = field(default_factory=dict)  # steps already taken there
 
 
-def _open_values(logs: np.ndarray, before: float, bound: float, state: np.uint64) -> np.ndarray:
+def _open_values(logs: np.ndarray, others: np.ndarray, before: float, bound: float, state: np.uint64) -> np.ndarray:
     """Gumbel values, below ``bound``, of what each step left out."""
     with np.errstate(divide="ignore", over="ignore"):
-        mass = before + np.cumsum(logs) - logs + np.log(-np.expm1(logs))
+        mass = before + np.cumsum(logs) - logs + others
         e = np.log(-np.log(_uniform(state + np.arange(1, len(logs) + 1, dtype=np.uint64) * _B)))
         return -np.logaddexp(-bound, e - mass)
 
@@ -279,17 +300,17 @@ def _open_values(logs: np.ndarray, before: float, bound: float, state: np.uint64
 def _search(lattice: Lattice, fresh: list, nodes: np.ndarray, row: int, span: tuple[int, int], key: np.uint64, k: int) -> list[tuple[_Path, float]]:
     """The ``k`` best perturbed segmentations of one row, and kappa with each."""
     a, b = span
-    state = lambda rank, what: mix(np.array([key + np.uint64(rank) * _A + np.uint64(what) * _B], np.uint64))[0]
+    state = lambda rank, what: _state(int(key), rank, what)
 
     def tail(rank: int, unit: int) -> tuple[np.ndarray, np.ndarray]:
         bounds, steps = fresh[rank]
         return steps[bounds[unit]:bounds[b]], np.repeat(np.arange(unit, b), np.diff(bounds[unit:b + 1]))
 
     with np.errstate(over="ignore"):
-        value = float(-np.log(-np.log(_uniform(np.array([state(0, 1)]))[0])))
+        value = float(-np.log(-np.log(_number(state(0, 1)))))
         steps, units = tail(0, a)
         logs = lattice.step[steps]
-        paths = [_Path(steps, units, logs, value, _open_values(logs, 0.0, value, state(0, 2)))]
+        paths = [_Path(steps, units, logs, value, _open_values(logs, lattice.others[steps], 0.0, value, state(0, 2)))]
         while True:
             tops = [(float(p.open.max()), j) for j, p in enumerate(paths) if len(p.open)]
             best, j = max(tops, default=(-np.inf, 0))
@@ -299,15 +320,15 @@ def _search(lattice: Lattice, fresh: list, nodes: np.ndarray, row: int, span: tu
             t = int(parent.open.argmax())
             node = lattice.source[parent.steps[t]]
             gone = parent.taken.setdefault(t, [int(parent.steps[t])])
-            others = np.setdiff1d(np.arange(lattice.first[node], lattice.after[node]), gone)
+            others = np.array([e for e in range(lattice.first[node], lattice.after[node]) if e not in gone])
             p = np.exp(lattice.step[others])
-            u = _uniform(np.array([state(rank, 3)]))[0]
+            u = _number(state(rank, 3))
             step = int(others[min(np.searchsorted(np.cumsum(p), u * p.sum(), side="right"), len(others) - 1)])
             gone.append(step)
             before = float(parent.logs[:t].sum())
             rest = others[others != step]
             mass = before + np.log(np.exp(lattice.step[rest]).sum()) if len(rest) else -np.inf
-            e = np.log(-np.log(_uniform(np.array([state(rank, 4)]))[0]))
+            e = np.log(-np.log(_number(state(rank, 4))))
             parent.open[t] = -np.logaddexp(-best, e - mass) if mass > -np.inf else -np.inf
             unit = int(parent.units[t])
             middle = [step, *lattice.way(int(lattice.target[step]), state(rank, 5))]
@@ -317,7 +338,7 @@ def _search(lattice: Lattice, fresh: list, nodes: np.ndarray, row: int, span: tu
             logs = lattice.step[steps]
             open_ = np.full(len(steps), -np.inf)
             # at the shared step the parent's set stands for both
-            open_[t + 1:] = _open_values(logs[t + 1:], before + float(logs[t]), best, state(rank, 2))
+            open_[t + 1:] = _open_values(logs[t + 1:], lattice.others[steps[t + 1:]], before + float(logs[t]), best, state(rank, 2))
             paths.append(_Path(steps, units, logs, best, open_))
 
 
