@@ -3,14 +3,15 @@
 Features are the distinct words of a text (letters and digits, A-Z lower-cased) and their
 first 4 and 5 bytes, which carry over to unseen endings.  Grades come
 from the labels: unlabelled severity is graded from what sets toxic documents apart.  For the
-labelled rows, word statistics over *all* labelled documents (``docs with the word`` in either
-class, as one Spark aggregation) give the words that lean to the toxic class; a toxic document's
-grade is 1, 2 or 3 by how many such words it has, a clean document's is 0.
+labelled rows, word statistics (documents with the word in either class, as one Spark
+aggregation) give the words that lean to the toxic class; a toxic document's grade is 1, 2 or 3
+by how many such words it has, a clean document's is 0.
 
 The model is ``P(grade <= k) = sigmoid(theta_k - w . x)``: one weight vector shared by all
-thresholds, theta increasing.  It is fitted on the driver on at most ``sample`` labelled rows
-(those with the smallest hash of their id), with an L2 penalty, by gradient steps.  A document's
-expected severity is the sum of ``P(grade > k)``; it is toxic if ``P(grade > 0)`` reaches 0.5.
+thresholds, theta increasing.  It is fitted on at most ``sample`` labelled rows, those with the
+smallest hash of their id, so their ids can be broadcast and no text is shuffled; the gradient
+steps, with an L2 penalty, run on the driver.  A document's expected severity is the sum of
+``P(grade > k)``; it is toxic if ``P(grade > 0)`` reaches 0.5.
 
 Defined results: null and empty texts have no features and get the model's base rate; labels
 that are null, or whose document is missing, are ignored; without both classes nothing is
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curasift.llm.common import NON_ALNUM, Words, column, mix, signed, slices, words
+from curasift.llm.common import NON_ALNUM, Words, column, cut_lineage, mix, signed, slices, words
 
 #: Most labelled rows to fit on, most words in the model, and grades above 0.
 SAMPLE = 20_000
@@ -72,10 +73,11 @@ def word_sets(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return pairs // len(known), pairs % len(known)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per labelled id: doc_id, text, toxic."""
+def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """doc_id, text, toxic of at most ``sample`` labelled ids."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(marks, "doc_id")
+    picked = marks.withColumn("_u", F.xxhash64("doc_id")).orderBy("_u", "doc_id").limit(sample).drop("_u")
+    return docs.select("doc_id", "text").join(F.broadcast(cut_lineage(picked)), "doc_id")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +102,8 @@ def _design(known: np.ndarray):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_words: int = WORDS, steps: int = 300, penalty: float = 1.0) -> OrdinalModel:
-    rows = _labelled(docs, labels)
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_words: int = WORDS, steps: int = 300, penalty: float = 0.1) -> OrdinalModel:
+    rows = _labelled(docs, labels, sample)
     sizes = {x.t: x.n for x in rows.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
     if not n1 or not n0:
@@ -117,8 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_words: int =
     order = np.argsort(hashes)
     known = hashes[order]
     telling = (np.array([x.z for x in best]) > 6)[order] & (np.array([x.lift for x in best]) > 0.7)[order]
-    picked = rows.withColumn("_u", F.xxhash64("doc_id")).orderBy("_u", "doc_id").limit(sample).select("toxic", "text")
-    data = picked.mapInArrow(_design(known), "toxic int, words array<int>").toArrow()
+    data = rows.select("toxic", "text").mapInArrow(_design(known), "toxic int, words array<int>").toArrow()
     lists = data["words"].combine_chunks()
     word = lists.flatten().to_numpy()
     doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
