@@ -68,7 +68,7 @@ def source_match() -> str:
 
 def hits_ctes(from_date: str, to_date: str) -> str:
     t, d = doc_type_case("doc_id")
-    return f"""docs as (
+    return f"""docs as materialized (
   select *, {sq.tokens('content')} as toks from articles
   where file_modified_date between date '{from_date}' and date '{to_date}'
     and doc_id <> '' and content is not null and exclusion_flag is null
@@ -77,10 +77,16 @@ pp as (
   select *, {sq.phrase_norm('keyphrase1')} as p1,
     {sq.phrase_norm('keyphrase2')} as p2 from params
 ),
+ph as materialized (select distinct p as phrase, len(string_split(p, ' ')) as n
+  from (select p1 as p from pp union all select p2 from pp) where p <> ''),
+grams as (
+  select doc_key, n, i, array_to_string(toks[i:i + n - 1], ' ') as g
+  from (select doc_key, toks, n, unnest(range(1, len(toks) - n + 2)) as i from docs, (select distinct n from ph))
+),
+occ as materialized (select doc_key, phrase, list(i order by i) as s from grams join ph on g = phrase and grams.n = ph.n group by all),
 cand as (
-  select pp.*, docs.* exclude (toks), {starts('docs.toks', 'p1')} as s1, {starts('docs.toks', 'p2')} as s2,
-    len(string_split(p1, ' ')) as len1
-  from pp, docs
+  select pp.*, docs.* exclude (toks), o1.s as s1, coalesce(o2.s, []) as s2, len(string_split(p1, ' ')) as len1
+  from pp join occ o1 on o1.phrase = p1 join docs using (doc_key) left join occ o2 on o2.phrase = p2 and o2.doc_key = docs.doc_key
 ),
 found0 as (
   select * from cand
@@ -226,7 +232,7 @@ def owner_name(e: str) -> str:
 
 
 def curation_link(path: str, user: str) -> str:
-    return (f"replace(replace(replace({path}, ' ', '%20'), 'ome_alert_document', 'curate_ome_alert_document_v2'), "
+    return (f"replace(replace(replace({path}, ' ', '%20'), 'alert_document', 'curate_alert_document_v2'), "
             f"'<user_name>', {user})")
 
 
@@ -272,17 +278,15 @@ def spans_ctes(src: str, keys: list[str], text: str, prefix: str, kw_join: str |
     dictionary phrases over ``text`` of ``src``."""
     k = ", ".join(keys)
     kj = f" join {kw_join} using (doc_key, phrase)" if kw_join else ""
-    return f"""{prefix}_tok as (
-  select {k}, {sq.raw_tokens(text)} as raw, list_transform({sq.raw_tokens(text)}, lambda w: lower(w)) as low from {src}
-),
-{prefix}_occ as (
-  select {k}, phrase, raw, len(pt) as n,
-    unnest(list_filter(range(1, len(low) + 1), lambda i: low[i:i + len(pt) - 1] = pt)) as s1
-  from {prefix}_tok, (select distinct phrase, string_split(phrase, ' ') as pt from ents where phrase <> '') ph
+    return f"""{prefix}_ph as materialized (select distinct phrase, len(string_split(phrase, ' ')) as n from ents where phrase <> ''),
+{prefix}_grams as (
+  select {k}, n, s1, array_to_string(raw[s1:s1 + n - 1], ' ') as match_text
+  from (select {k}, raw, n, unnest(range(1, len(raw) - n + 2)) as s1
+        from (select {k}, {sq.raw_tokens(text)} as raw from {src}), (select distinct n from {prefix}_ph))
 ),
-{prefix}_spans as (
-  select {k}, phrase, s1 - 1 as start, s1 - 1 + n as "end", array_to_string(raw[s1:s1 + n - 1], ' ') as match_text
-  from {prefix}_occ
+{prefix}_spans as materialized (
+  select {k}, phrase, s1 - 1 as start, s1 - 1 + g.n as "end", match_text
+  from {prefix}_grams g join {prefix}_ph p on lower(match_text) = phrase and g.n = p.n
 ),
 {prefix}_long as (
   select * exclude (reach) from (
@@ -369,7 +373,7 @@ dd1 as (
 ),
 tdocs as (
   select doc_key, doc_id, file_modified_date as date, document_type, detailed_type, title,
-    replace({redirect_path('doc_id')}, 'ome_alert_document', 'curate_ome_alert_document') as path,
+    replace({redirect_path('doc_id')}, 'alert_document', 'curate_alert_document') as path,
     {sq.document_text('content')} as document_text
   from (select *, case when title <> title_txt or title_txt is null then 1
           else row_number() over (partition by file_modified_date, title_txt order by doc_key) end as rn from dd1)

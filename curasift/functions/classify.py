@@ -194,7 +194,7 @@ def redirect_path(doc_id, base: str) -> Column:
 def curation_link(path, user) -> Column:
     """PRJ-5: spaces escaped, user substituted, curation view."""
     p = F.replace(_col(path), F.lit(" "), F.lit("%20"))
-    p = F.replace(p, F.lit("ome_alert_document"), F.lit("curate_ome_alert_document_v2"))
+    p = F.replace(p, F.lit("alert_document"), F.lit("curate_alert_document_v2"))
     return F.replace(p, F.lit("<user_name>"), _col(user))
 
 

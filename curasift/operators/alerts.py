@@ -27,7 +27,7 @@ PARAM_COLUMNS = ["alert_id", "alias_seq", "search_type", "keyphrase1", "keyphras
                  "keyphrase_distance", "keyword", "owner", "source_select", "alert_title",
                  "filter_type", "journal_select", "author_select", "institution_select",
                  "filter_leeway"]
-REDIRECT_BASE = "https://curation.invalid/redirect/<user_name>/"
+REDIRECT_BASE = "https://curation.invalid/alert_document/<user_name>/"
 
 
 def _split_list(c: Column) -> Column:
@@ -117,9 +117,10 @@ def first_per_key(df: DataFrame, keys: list[str], order: str = "doc_key") -> Dat
 def first_per_title(df: DataFrame, search_keys: list[str]) -> DataFrame:
     """WIN-1: first-wins dedup by raw title inside one search, in index order
     (document key).  Rows whose display title differs from the raw title are
-    not deduplicated (quirk Q-5)."""
+    not deduplicated (quirk Q-5): their own key takes part in the grouping."""
     plain = (F.col("title") != F.col("title_txt")) | F.col("title_txt").isNull()
-    return df.where(plain).unionByName(first_per_key(df.where(~plain), [*search_keys, "title_txt"]))
+    own = df.withColumn("_own", F.when(F.coalesce(plain, F.lit(False)), F.col("doc_key")))
+    return first_per_key(own, [*search_keys, "title_txt", "_own"]).drop("_own")
 
 
 def doc_texts(articles: DataFrame, hits: DataFrame) -> DataFrame:

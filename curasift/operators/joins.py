@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest side we broadcast by hint.  Above it the plain (shuffle) join is
-# kept and AQE may still convert it at run time from real statistics.
-MAX_BROADCAST_ROWS = 200_000
+# Largest side we broadcast by hint, in bytes of the optimizer's estimate.
+MAX_BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a cheap count proves it small.
-
-    Meant for configuration-sized inputs (alerts, search phrases, dictionary
-    aliases, patterns).  The count runs one job over that input only; a
-    dictionary that outgrows the bound falls back to a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when the optimizer's own size estimate is within
+    the bound.  No job runs: an input of unknown or larger size keeps the plain
+    join, which AQE may still convert from run-time sizes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= max_bytes else df

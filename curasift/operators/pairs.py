@@ -21,10 +21,11 @@ from curasift.operators.tagging import longest_spans, raw_spans, tag_entities
 
 
 def sentence_entities(docs: DataFrame, dictionary: DataFrame, key: str = "doc_key",
-                      text: str = "document_text") -> DataFrame:
+                      text: str = "document_text", tags: DataFrame | None = None) -> DataFrame:
     """(key, sent_no, start, entity_id, kind) for target/indication keywords
-    found in the sentences of each document."""
-    tags = tag_entities(docs, dictionary, key, text)
+    found in the sentences of each document; ``tags`` are the documents' tags
+    where the caller has them."""
+    tags = tag_entities(docs, dictionary, key, text) if tags is None else tags
     kw = (tags.where(F.col("valid") & (F.col("type").startswith("target") | F.col("type").startswith("indication")))
           .groupBy(key, "phrase")
           .agg(F.min_by(F.struct("entity_id", "type"), "entity_id").alias("e"))

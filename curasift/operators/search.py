@@ -1,12 +1,13 @@
 """Text search over documents: phrase, conjunctive and
 proximity co-occurrence, and BM25-ranked top-k.
 
-Plan shape: each document's token stream is exploded once (only the document
-key travels with a token, never the text), equi-joined to the size-checked
-broadcast table of query-phrase tokens, and phrase occurrences are the
-(doc, phrase, start) groups that collect every token of the phrase.  There is
-no document x phrase cross product and no per-phrase rescan of the corpus;
-common words spread over many (doc, start) keys, so no group is hot.
+Plan shape: a phrase is local to its document, so every token start is
+exploded once with the next few tokens (as many as the longest phrase has; only
+the document key travels along, never the text) and hash-joined on its first
+token to the size-checked broadcast table of phrases; the rest of the phrase is
+compared in the join condition.  Nothing is shuffled or grouped to find an
+occurrence, and there is no document x phrase cross product and no per-phrase
+rescan of the corpus.
 """
 
 from __future__ import annotations
@@ -20,16 +21,10 @@ from curasift.operators.joins import broadcast_if_small
 
 
 def phrase_table(phrases: DataFrame, col: str = "phrase") -> DataFrame:
-    """Distinct normalized phrases with an id and their token list."""
+    """Distinct normalized phrases with their token list."""
     p = (phrases.select(tx.phrase_norm(F.col(col)).alias("phrase")).where(F.col("phrase") != "")
          .distinct())
-    return p.select("phrase", F.xxhash64("phrase").alias("phrase_id"),
-                    F.split("phrase", " ").alias("ptoks"))
-
-
-def phrase_tokens(ptab: DataFrame) -> DataFrame:
-    return ptab.select("phrase_id", F.size("ptoks").alias("n"),
-                       F.posexplode("ptoks").alias("k", "w"))
+    return p.select("phrase", F.split("phrase", " ").alias("ptoks"))
 
 
 def doc_tokens(docs: DataFrame, key="doc_key", text: str = "content",
@@ -44,20 +39,19 @@ def doc_tokens(docs: DataFrame, key="doc_key", text: str = "content",
 
 def phrase_occurrences(docs: DataFrame, phrases: DataFrame, key="doc_key",
                        text: str = "content", with_text: bool = False) -> DataFrame:
-    """(key..., phrase, phrase_id, n, start[, match_text]) for every occurrence
-    of every phrase; ``match_text`` is the original-case span (tokens joined
-    by one space)."""
+    """(key..., phrase, n, start[, match_text]) for every occurrence of every
+    phrase; ``match_text`` is the original-case span (tokens joined by one
+    space)."""
     keys = [key] if isinstance(key, str) else list(key)
     ptab = phrase_table(phrases)
-    pt = broadcast_if_small(phrase_tokens(ptab))
-    hits = doc_tokens(docs, keys, text, raw=with_text).join(pt, "w")
-    aggs = [F.count(F.lit(1)).alias("m")]
-    if with_text:
-        aggs.append(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "rw"))),
-                                             lambda x: x["rw"]), " ").alias("match_text"))
-    occ = (hits.groupBy(*keys, "phrase_id", "n", (F.col("pos") - F.col("k")).alias("start"))
-           .agg(*aggs).where(F.col("m") == F.col("n")).drop("m"))
-    return occ.join(F.broadcast(ptab.select("phrase_id", "phrase")), "phrase_id")
+    longest = ptab.agg(F.coalesce(F.max(F.size("ptoks")), F.lit(1)).alias("n")).scalar()
+    p = broadcast_if_small(ptab.select("phrase", F.col("ptoks")[0].alias("w"), F.size("ptoks").alias("n")))
+    toks = docs.select(*keys, tx.raw_tokens(F.col(text)).alias("_t"), longest.alias("_longest"))
+    grams = F.transform("_t", lambda x, i: F.slice(F.col("_t"), i + 1, F.col("_longest")))
+    at = toks.select(*keys, F.posexplode(grams).alias("start", "_g")).withColumn("w", F.lower(F.col("_g")[0]))
+    span = F.array_join(F.slice("_g", 1, F.col("n")), " ")
+    occ = at.join(p, "w").where(F.lower(span) == F.col("phrase"))
+    return occ.select(*keys, "phrase", "n", "start", *([span.alias("match_text")] if with_text else []))
 
 
 def search_hits(docs: DataFrame, params: DataFrame, search_keys: list[str],

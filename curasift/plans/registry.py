@@ -13,6 +13,8 @@ from curasift.checks import sqlfrag as sq
 from curasift.functions import classify as cl
 from curasift.functions import text as tx
 from curasift.operators import alerts as al
+from curasift.operators import lookups
+from curasift.operators.joins import broadcast_if_small
 from curasift.operators.search import search_hits
 from curasift.plans import curation as cu
 from curasift.sources import fixtures as fx
@@ -38,7 +40,6 @@ def oracle_sql():
 
 
 def _arts(spark: SparkSession, sf: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return fx.articles(spark, sf)
 
 
@@ -113,9 +114,9 @@ def q_alt_1(spark, sf):
 @register("src_2_alert_scan_of_owner", orc.alert_pipeline_sql(
     """select a.alert_id, a.keyword, a.alert_type, coalesce(c.n, 0) as n_docs
        from alerts_in a left join (select alert_id, count(distinct doc_key) as n from found0 group by all) c
-       using (alert_id)""", "owner like '%ben.ng%' and alert_title like 'NWSLTR%'"))
+       using (alert_id)""", "owner like '%ben.ng%' and alert_title like 'NEWS%'"))
 def q_src_2(spark, sf):
-    a = fx.alerts(spark).where(F.col("owner").like("%ben.ng%") & F.col("alert_title").like("NWSLTR%"))
+    a = fx.alerts(spark).where(F.col("owner").like("%ben.ng%") & F.col("alert_title").like("NEWS%"))
     h, _ = _raw_hits(spark, sf, a)
     n = h.groupBy("alert_id").agg(F.count_distinct("doc_key").alias("n_docs"))
     return a.join(n, "alert_id", "left").fillna(0, ["n_docs"]).select("alert_id", "keyword", "alert_type", "n_docs")
@@ -139,7 +140,7 @@ def q_flt_4(spark, sf):
 
 
 def _hits_before_dedup(spark, sf, alerts=None):
-    params = F.broadcast(al.expand_alerts(alerts if alerts is not None else fx.alerts(spark)))
+    params = broadcast_if_small(al.expand_alerts(alerts if alerts is not None else fx.alerts(spark)))
     docs = _docs(spark, sf)
     found = search_hits(docs.select("doc_key", "content"), params, KEYS)
     h = (found.join(params, KEYS).join(docs, "doc_key")
@@ -368,12 +369,17 @@ def q_flt_3(spark, sf):
 @register("src_8_company_press_releases", orc.articles_query(
     f"""select doc_id, doc_key from articles
         where contains(path_basename, 'Acme') and path0 = 'Press releases' and not contains(doc_id, 'google_news_search')
-        order by doc_key limit 100"""))
+        and file_modified_date between date '2024-01-01' and date '2024-01-30'"""))
 def q_src_8(spark, sf):
-    a = _arts(spark, sf)
-    return (a.where(F.col("path_basename").contains("Acme") & (F.col("path0") == "Press releases")
-                    & ~F.col("doc_id").contains("google_news_search"))
-            .orderBy("doc_key").limit(100).select("doc_id", "doc_key"))
+    return lookups.company_press_releases(_arts(spark, sf), "Acme", FROM, TO).select("doc_id", "doc_key")
+
+
+@register("src_3_alert_by_id", orc.alert_pipeline_sql(
+    "select alert_id, alias_seq, keyphrase1, keyphrase2, doc_key from found0", "alert_id = 2"))
+def q_src_3(spark, sf):
+    """SRC-3: one stored alert looked up by its id, with the documents it finds."""
+    h, p = _raw_hits(spark, sf, lookups.alert_by_id(fx.alerts(spark), 2))
+    return h.join(p, KEYS).select(*KEYS, "keyphrase1", "keyphrase2", "doc_key")
 
 
 # ---------------------------------------------------------------------------
@@ -607,6 +613,12 @@ def _days(spark, sf):
     return st.day_documents(_arts(spark, sf), FROM, TO)
 
 
+def _new_lists(spark, sf):
+    days, d = _days(spark, sf), fx.dictionary(spark)
+    texts = st.with_texts(days, _arts(spark, sf))
+    return st.new_pair_lists(days, texts, st.day_tags(texts, d), d, fx.known_pairs(spark))
+
+
 _DAYS = orc.day_docs_cte(FROM, TO)
 
 
@@ -633,14 +645,14 @@ def q_agg_8(spark, sf):
     """select t.date, g.entity_id, count(distinct g.doc_key) as tagged_entity_count, count(*) as tagged_entity_count_repeat
        from tags g join tdocs t using (doc_key) where g.valid group by all""", _DAYS))
 def q_agg_9_10(spark, sf):
-    return st.entity_counts(_days(spark, sf), fx.dictionary(spark))
+    return st.entity_counts(st.day_tags(st.with_texts(_days(spark, sf), _arts(spark, sf)), fx.dictionary(spark)))
 
 
 @register("agg_11_new_pairs_of_day", orc.tags_query(
     "select t.date, n.moa, n.indication, t.path from new_pairs n join tdocs t using (doc_key)",
     _DAYS, extra=orc.pairs_extra()))
 def q_agg_11(spark, sf):
-    return st.new_pair_lists(_days(spark, sf), fx.dictionary(spark), fx.known_pairs(spark))[0] \
+    return _new_lists(spark, sf)[0] \
         .select("date", "moa", "indication", "path")
 
 
@@ -648,7 +660,7 @@ def q_agg_11(spark, sf):
     "select t.date, n.moa, n.indications, t.path from new_moas n join tdocs t using (doc_key)",
     _DAYS, extra=orc.pairs_extra()))
 def q_api_3(spark, sf):
-    return st.new_pair_lists(_days(spark, sf), fx.dictionary(spark), fx.known_pairs(spark))[1] \
+    return _new_lists(spark, sf)[1] \
         .select("date", "moa", "indications", "path")
 
 
@@ -879,7 +891,6 @@ _MSG = f"with {fx.messages_sql()}\n"
 
 @register("msg_1_messages_with_word", _MSG + "select mailbox, msg_id from messages where contains(lower(body), 'the')")
 def q_msg_1(spark, sf):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return mg.with_word(fx.messages(spark, sf), "the").select("mailbox", "msg_id")
 
 
@@ -887,7 +898,6 @@ def q_msg_1(spark, sf):
     strftime(max(ts), '%Y-%m-%d %H:%M:%S') as ts, arg_max(sender, (ts, msg_id)) as sender
   from messages where not seen and ts >= timestamp '2024-01-02 00:00:00' group by mailbox""")
 def q_msg_2(spark, sf):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     r = mg.latest(fx.messages(spark, sf), "unseen", "2024-01-02 00:00:00")
     return r.select("mailbox", "msg_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "sender")
 
@@ -896,7 +906,6 @@ def q_msg_2(spark, sf):
     split_part(case when length(sender) > 0 then split_part(body, sender, 1) else body end,
                chr(13) || chr(10) || chr(13) || chr(10) || '2015', 1) as body_clean from messages""")
 def q_msg_3(spark, sf):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return mg.body_without_trail(fx.messages(spark, sf))
 
 
@@ -921,13 +930,20 @@ def q_snk_1(spark, sf):
 
 
 @register("snk_2_daily_stats_json", orc.tags_query(
-    "select strftime(date, '%Y-%m-%d') as date_key, count(*) as indexed_article_count from tdocs group by all", _DAYS))
+    """select strftime(date, '%Y-%m-%d') as date_key, key, name, path, n::bigint as n from (
+      select date, 'indexed_article_count' as key, null::varchar as name, null::varchar as path, count(*) as n from tdocs group by all
+      union all select date, 'by_source', document_type, null, count(*) from tdocs group by all
+      union all select date, 'by_source_detail', detailed_type, null, count(*) from tdocs group by all
+      union all select date, 'tagged_entity_count', entity_id, null, count(distinct g.doc_key) from tags g join tdocs t using (doc_key) where valid group by all
+      union all select date, 'tagged_entity_count_repeat', entity_id, null, count(*) from tags g join tdocs t using (doc_key) where valid group by all
+      union all select date, 'new_moa_indication_pairs', moa || '|' || indication, path, 1 from new_pairs join tdocs t using (doc_key)
+      union all select date, 'new_moas', moa || '|' || array_to_string(indications, ','), path, 1 from new_moas join tdocs t using (doc_key))""",
+    _DAYS, extra=orc.pairs_extra()))
 def q_snk_2(spark, sf):
     path = _sink_path(spark, "daily-stats")
-    st.write_daily_stats(_days(spark, sf), fx.dictionary(spark), fx.known_pairs(spark), path)
-    back = spark.read.json(path)
-    return back.select(F.col("date_key").cast("date").cast("string").alias("date_key"),
-                       F.col("indexed_article_count").cast("long").alias("indexed_article_count"))
+    st.write_daily_stats(_days(spark, sf), _arts(spark, sf), fx.dictionary(spark), fx.known_pairs(spark), path)
+    back = spark.read.schema("key string, name string, path string, n long, date_key string").json(path)
+    return back.select("date_key", "key", "name", "path", "n")
 
 
 @register("snk_3_digest_text", orc.alert_pipeline_sql(
@@ -952,7 +968,6 @@ from curasift.streaming import documents_stream as ds  # noqa: E402
     f"""select strftime(file_modified_date, '%Y-%m-%d') as day, {_T} as document_type, count(*) as n
         from articles where doc_id <> '' and content is not null and exclusion_flag is null group by all"""))
 def q_stream_counts(spark, sf):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     out = ds.run_to_table(ds.daily_source_counts(spark, sf), "daily-source-counts", mode="complete")
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "document_type",
                       F.col("n").cast("long").alias("n"))
@@ -970,17 +985,6 @@ def q_prj_2(spark, sf):
             .select("doc_id", "pub_date")
 
 
-def document_view(articles, dictionary, paths):
-    """SRC-7 + API-5 + HLT-7: the single-document view for every requested
-    path (``paths``: a DataFrame with ``doc_id``; an equi-join, not a scan
-    per path): document text with its tagged entities highlighted."""
-    a = al.skip_rows(articles.join(paths.select("doc_id").distinct(), "doc_id", "left_semi"))
-    d = a.select("doc_key", "doc_id", tx.document_text(F.col("content")).alias("document_text"))
-    p = tg.parse_tag_lists(tg.tag_lists(tg.tag_entities(d.select("doc_key", "document_text"), dictionary)))
-    return (d.join(tg.highlight_list_input(p), "doc_key", "left")
-            .select("doc_id", hl.highlight_tags_from_list(F.col("document_text"), F.col("tag_list")).alias("tagged_text")))
-
-
 _PR_DOCS = f"""tdocs as (
   select doc_key, doc_id, {sq.document_text('content')} as document_text from articles
   where path0 = 'Press releases' and doc_id <> '' and content is not null and exclusion_flag is null
@@ -995,7 +999,7 @@ _HLT7_BODY = _Q["hlt_7_highlight_tag_lists"][1].split("\nselect d.doc_key,", 1)[
 def q_src_7(spark, sf):
     a = _arts(spark, sf)
     paths = a.where(F.col("path0") == "Press releases").select("doc_id")
-    return document_view(a, fx.dictionary(spark), paths)
+    return lookups.document_view(a, fx.dictionary(spark), paths)
 
 
 # ---------------------------------------------------------------------------

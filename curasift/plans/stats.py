@@ -11,23 +11,30 @@ from curasift.functions import text as tx
 from curasift.operators import alerts as al
 from curasift.operators import pairs as pr
 from curasift.operators.tagging import tag_entities
+from curasift.session import cut_lineage
 
-LINK_FROM, LINK_TO = "ome_alert_document", "curate_ome_alert_document"
+LINK_FROM, LINK_TO = "alert_document", "curate_alert_document"
 
 
 def day_documents(articles: DataFrame, from_date, to_date) -> DataFrame:
     """Documents indexed on each day (match-all search of the day): FLT-1,
     FLT-3, PubMed floor at the day itself (FLT-4), first-wins title dedup per
-    day (WIN-1), with type, title, path and document text."""
+    day (WIN-1), with type, title and path.  Metadata only: no text goes
+    through the dedup (``with_texts`` adds it where it is read)."""
     a = al.skip_rows(articles.where(al.in_date_range(F.col("file_modified_date"), from_date, to_date)))
-    a = al.classify(a)
+    a = al.classify(a.drop("content"))
     a = a.where(~F.col("document_type").isin(cl.PUBMED_TYPES) | F.col("pub_date").isNull()
                 | (F.col("pub_date") >= F.col("file_modified_date")))
     a = al.first_per_title(a, ["file_modified_date"])
     return a.select("doc_key", "doc_id", F.col("file_modified_date").alias("date"), "document_type",
                     "detailed_type", "title",
-                    F.replace(cl.redirect_path(F.col("doc_id"), al.REDIRECT_BASE), F.lit(LINK_FROM), F.lit(LINK_TO)).alias("path"),
-                    tx.document_text(F.col("content")).alias("document_text"))
+                    F.replace(cl.redirect_path(F.col("doc_id"), al.REDIRECT_BASE), F.lit(LINK_FROM), F.lit(LINK_TO)).alias("path"))
+
+
+def with_texts(days: DataFrame, articles: DataFrame) -> DataFrame:
+    """The days' documents with their document text."""
+    texts = articles.select("doc_key", tx.document_text(F.col("content")).alias("document_text"))
+    return days.select("doc_key", "date").join(texts, "doc_key")
 
 
 def article_counts(days: DataFrame) -> DataFrame:
@@ -47,42 +54,57 @@ def by_source_both(days: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def entity_counts(days: DataFrame, dictionary: DataFrame) -> DataFrame:
+def day_tags(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """API-4 tags of the days' texts; the date is part of the tag key."""
+    return tag_entities(texts, dictionary, ["doc_key", "date"])
+
+
+def entity_counts(tags: DataFrame) -> DataFrame:
     """AGG-9 (documents with a valid tag of the entity) and AGG-10 (valid
     mentions) per day and entity."""
-    tags = tag_entities(days, dictionary).where("valid")
-    return (tags.join(days.select("doc_key", "date"), "doc_key")
-            .groupBy("date", "entity_id")
+    return (tags.where("valid").groupBy("date", "entity_id")
             .agg(F.count_distinct("doc_key").alias("tagged_entity_count"),
                  F.count(F.lit(1)).alias("tagged_entity_count_repeat")))
 
 
-def new_pair_lists(days: DataFrame, dictionary: DataFrame, known: DataFrame):
+def new_pair_lists(days: DataFrame, texts: DataFrame, tags: DataFrame, dictionary: DataFrame, known: DataFrame):
     """AGG-11: new (target, indication) pairs and new targets of each day,
-    with the document link."""
-    sp = pr.sentence_pairs(pr.sentence_entities(days, dictionary))
+    with the document link.  The sentence pairs are materialized once for both."""
+    sp = cut_lineage(pr.sentence_pairs(pr.sentence_entities(texts, dictionary, tags=tags)))
     meta = days.select("doc_key", "date", "path")
     return (pr.new_pairs(sp, known).join(meta, "doc_key"),
             pr.new_moas(sp, known).join(meta, "doc_key"))
 
 
-def write_daily_stats(days: DataFrame, dictionary: DataFrame, known: DataFrame, path: str) -> None:
-    """SNK-2: one JSON object per date (partitioned by date), the reference's
-    keys: indexed_article_count, by_source, by_source_detail,
-    tagged_entity_count(_repeat), new_moa_indication_pairs, new_moas."""
-    def as_map(df, k, v):
-        return df.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct(k, v))).alias("m"))
-    cnt = article_counts(days)
-    src = as_map(by_source(days), "document_type", "n").withColumnRenamed("m", "by_source")
-    det = as_map(by_source(days, True), "detailed_type", "n").withColumnRenamed("m", "by_source_detail")
-    ec = entity_counts(days, dictionary)
-    te = as_map(ec, "entity_id", "tagged_entity_count").withColumnRenamed("m", "tagged_entity_count")
-    tr = as_map(ec, "entity_id", "tagged_entity_count_repeat").withColumnRenamed("m", "tagged_entity_count_repeat")
-    np_, nm = new_pair_lists(days, dictionary, known)
-    npl = np_.groupBy("date").agg(F.collect_list(F.struct("moa", "indication", "path")).alias("new_moa_indication_pairs"))
-    nml = nm.groupBy("date").agg(F.collect_list(F.struct("moa", "indications", "path")).alias("new_moas"))
-    out = cnt
-    for t in (src, det, te, tr, npl, nml):
-        out = out.join(t, "date", "left")
-    out.withColumn("date_key", F.col("date").cast("string")).write.mode("overwrite") \
+def daily_stats(days: DataFrame, articles: DataFrame, dictionary: DataFrame, known: DataFrame) -> DataFrame:
+    """SNK-2 as one long table: (date, key, name, path, n), ``key`` being the
+    reference's keys.  A day of any size is many rows, never one.  The tags are
+    materialized once; counts, pairs and new targets read them."""
+    days = cut_lineage(days)
+    texts = with_texts(days, articles)
+    tags = cut_lineage(day_tags(texts, dictionary))
+
+    def rows(df: DataFrame, key: str, name, n, path=None) -> DataFrame:
+        return df.select("date", F.lit(key).alias("key"), name.alias("name"),
+                         (path if path is not None else F.lit(None).cast("string")).alias("path"), n.cast("long").alias("n"))
+    ec = entity_counts(tags)
+    pairs, moas = new_pair_lists(days, texts, tags, dictionary, known)
+    one, none = F.lit(1), F.lit(None).cast("string")
+    parts = [rows(article_counts(days), "indexed_article_count", none, F.col("indexed_article_count")),
+             rows(by_source(days), "by_source", F.col("document_type"), F.col("n")),
+             rows(by_source(days, True), "by_source_detail", F.col("detailed_type"), F.col("n")),
+             rows(ec, "tagged_entity_count", F.col("entity_id"), F.col("tagged_entity_count")),
+             rows(ec, "tagged_entity_count_repeat", F.col("entity_id"), F.col("tagged_entity_count_repeat")),
+             rows(pairs, "new_moa_indication_pairs", F.concat_ws("|", "moa", "indication"), one, F.col("path")),
+             rows(moas, "new_moas", F.concat("moa", F.lit("|"), F.array_join("indications", ",")), one, F.col("path"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def write_daily_stats(days: DataFrame, articles: DataFrame, dictionary: DataFrame, known: DataFrame, path: str) -> None:
+    """SNK-2: the statistics as JSON lines, partitioned by date."""
+    out = daily_stats(days, articles, dictionary, known)
+    out.withColumn("date_key", F.col("date").cast("string")).drop("date").write.mode("overwrite") \
        .partitionBy("date_key").json(path)

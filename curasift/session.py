@@ -19,15 +19,18 @@ _DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "curasift", extra: dict | None = None) -> SparkSession:
-    """A local session for tests and the benchmark (never used on a cluster)."""
+                  app: str = "curasift", extra: dict | None = None,
+                  memory: str = "8g") -> SparkSession:
+    """A local session for tests and the benchmark (never used on a cluster);
+    ``memory`` is the heap of its one JVM."""
     b = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-         .config("spark.driver.memory", "16g"))
+         .config("spark.driver.memory", memory))
     for k, v in {**_DEFAULT_CONF, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -37,14 +40,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint dir; set a scratch one only when
-    the session has none (tests, local runs)."""
+    """Return the cluster's shared checkpoint dir.  A scratch one is set only on
+    a local master without any (tests, local runs); a cluster without the setting
+    is an error, since each machine would write to its own disk."""
     sc = spark.sparkContext
     cur = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if cur:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(cur)
         return cur
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="curasift-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path

@@ -9,9 +9,11 @@ oracle texts in ``curasift.checks.oracles`` are built from them.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from curasift.checks.sqlfrag import values_cte
 from curasift.functions import classify as cl
@@ -46,21 +48,21 @@ ALERT_COLUMNS = ["alert_id", "keyword", "aliases", "owner", "email", "alert_type
                  "institution_select", "filter_leeway"]
 ALERT_ROWS = [
     (1, "the", "on the, of the", "CORP\\ana.lee", "yes", "standard", "all",
-     "NWSLTR_standard_the", "or", "", "", "", 70),
+     "NEWS_standard_the", "or", "", "", "", 70),
     (2, "that", "with the, by the", "CORP\\ana.lee", "yes", "cooccurence", "all",
-     "NWSLTR_cooccurence_that", "or", "", "", "", 70),
+     "NEWS_cooccurence_that", "or", "", "", "", 70),
     (3, "and", "of the, to the", "CORP\\ben.ng", "yes", "cooccurence_3", "all",
-     "NWSLTR_cooccurence_and", "or", "", "", "", 70),
+     "NEWS_cooccurence_and", "or", "", "", "", 70),
     (4, "from", "this is, it is, this is", "CORP\\ben.ng", "yes", "standard_title",
-     "PubMed_abstracts, Press releases, Ct.gov", "NWSLTR_title_from", "or", "", "", "", 70),
+     "PubMed_abstracts, Press releases, Ct.gov", "NEWS_title_from", "or", "", "", "", 70),
     (5, "with", "was, are", "CORP\\ana.lee", "yes", "standard", "PMC, PubMed_abstracts",
-     "NWSLTR_metadata_or", "or", "smal ring, blue bolt", "Customer#00000012", "", 90),
-    (6, "for", "as the", "CORP\\ana.lee", "yes", "standard", "all", "NWSLTR_metadata_and", "and",
+     "NEWS_metadata_or", "or", "smal ring, blue bolt", "Customer#00000012", "", 90),
+    (6, "for", "as the", "CORP\\ana.lee", "yes", "standard", "all", "NEWS_metadata_and", "and",
      "small gizmo, smal bolt", "", "Supplier#00000001", 80),
-    (7, "is", "", "CORP\\cy.ho", "no", "standard", "all", "NWSLTR_no_email", "or", "", "", "", 70),
-    (8, "on the", "x", "CORP\\cy.ho", "yes", "standard", "Ct.gov", "NWSLTR_ctgov_only", "or",
+    (7, "is", "", "CORP\\cy.ho", "no", "standard", "all", "NEWS_no_email", "or", "", "", "", 70),
+    (8, "on the", "x", "CORP\\cy.ho", "yes", "standard", "Ct.gov", "NEWS_ctgov_only", "or",
      "", "", "", 70),
-    (9, "the", "it, that", "ana.lee", "yes", "cooccurence_0", "EMEA, PMC", "NWSLTR_adjacent",
+    (9, "the", "it, that", "ana.lee", "yes", "cooccurence_0", "EMEA, PMC", "NEWS_adjacent",
      "or", "", "", "", 70),
 ]
 ALERT_SCHEMA = T.StructType([
@@ -105,20 +107,26 @@ KNOWN_PAIR_SCHEMA = T.StructType([T.StructField("moa", T.StringType()),
                                   T.StructField("indication", T.StringType())])
 
 
+def _local(spark: SparkSession, rows: list, schema: T.StructType) -> DataFrame:
+    """Configuration rows as a local relation, whose size the optimizer knows."""
+    columns = {f.name: [r[i] for r in rows] for i, f in enumerate(schema.fields)}
+    return spark.createDataFrame(pa.Table.from_pydict(columns, schema=to_arrow_schema(schema)), schema)
+
+
 def alerts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ALERT_ROWS, ALERT_SCHEMA)
+    return _local(spark, ALERT_ROWS, ALERT_SCHEMA)
 
 
 def dictionary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DICTIONARY_ROWS, DICTIONARY_SCHEMA)
+    return _local(spark, DICTIONARY_ROWS, DICTIONARY_SCHEMA)
 
 
 def known_pairs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN_PAIR_ROWS, KNOWN_PAIR_SCHEMA)
+    return _local(spark, KNOWN_PAIR_ROWS, KNOWN_PAIR_SCHEMA)
 
 
 def _source_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SOURCE_PREFIXES, "source string, prefix string")
+    return _local(spark, SOURCE_PREFIXES, T.StructType([T.StructField("source", T.StringType()), T.StructField("prefix", T.StringType())]))
 
 
 def articles(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
