@@ -10,10 +10,11 @@ with probability 3e-6, one at 0.85 with 7e-9.
 Copies are folded first: documents with equal shingle sets (128-bit fingerprint and size)
 form a class, and only class representatives (smallest id) get buckets.  In a bucket each
 member is compared with the bucket's leader, not with all others.  Where the members of a
-bucket then still lie in several components, all pairs across these components that were
-not compared yet are compared in a second pass; pairs within a component can add nothing.
-So no link between different texts is lost for want of comparing, and a group of thousands
-of near copies costs a row per member.
+bucket then still lie in several components, a second pass compares all pairs across these
+components; pairs within a component can add nothing.  Such a bucket's members are gathered
+once (buckets with equal members count once) in blocks of ``BLOCK``, block against block; a
+pair is compared in the first bucket it shares, and only links are sent on.  So no link
+between different texts is lost for want of comparing, and no list of pairs is ever made.
 
 Comparisons are by full shingle sets, streamed per leader (members split over salted
 partitions).  Components are found by contraction rounds over the links, as joins with
@@ -37,6 +38,8 @@ from curasift.llm.common import SPACES, Words, column, cut_lineage, mix, signed,
 DOMAIN_BITS = 22
 #: Members of a leader compared in one partition group.
 MEMBERS_PER_TASK = 512
+#: Members of an open bucket in a block, and shingles compared at once.
+BLOCK, AT_ONCE = 2048, 1 << 20
 _SHORT = np.uint64(0xE7037ED1A0B428DB)
 _STEP = np.uint64(0x8EBC6AF09C88C6E3)
 _table: dict[tuple[int, int], np.ndarray] = {}
@@ -124,6 +127,53 @@ def _compare(size: int, percent: int) -> Callable:
     return run
 
 
+def _links_across(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """Links between rows of different components; rows: (rep, component, side, band, buckets, set)."""
+    rep, component, side, band = (np.array(x) for x in list(zip(*rows, strict=True))[:4])
+    buckets, sets = np.array([r[4] for r in rows], np.int64), [r[5] for r in rows]
+    n = np.array([len(s) for s in sets])
+    across = len(np.unique(side)) > 1
+    for x in range(len(rows) - 1):
+        ys = x + 1 + np.flatnonzero(component[x + 1:] != component[x])
+        if across:
+            ys = ys[side[ys] != side[x]]
+        ys = ys[100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x])]
+        ys = ys[(buckets[ys] == buckets[x]).argmax(axis=1) == band[x]]
+        cut = np.cumsum(n[ys]) // AT_ONCE
+        for part in np.split(ys, np.flatnonzero(np.diff(cut)) + 1) if len(ys) else []:
+            flat = np.concatenate([sets[y] for y in part])
+            place = np.minimum(np.searchsorted(sets[x], flat), n[x] - 1)
+            both = np.add.reduceat((sets[x][place] == flat).astype(np.int64), np.cumsum(n[part]) - n[part])
+            for y in part[100 * both >= percent * (n[part] + n[x] - both)]:
+                if component[y] != component[x]:
+                    component[component == component[y]] = component[x]
+                    yield int(rep[x]), int(rep[y])
+
+
+def _across(size: int, percent: int) -> Callable:
+    """Rows sorted by (bucket, i, j): links between the blocks i and j of a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            found = list(_links_across(rows, percent))
+            return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+        key, held = None, []
+        for batch in slices(batches):
+            sets = shingle_sets(column(batch, "text"), size)
+            columns = (column(batch, c).to_pylist() for c in ("bucket", "i", "j", "rep", "component", "side", "band", "buckets"))
+            for (bucket, i, j, *row), s in zip(zip(*columns, strict=True), sets, strict=True):
+                if key != (bucket, i, j):
+                    if held:
+                        yield out(held)
+                    key, held = (bucket, i, j), []
+                held.append((*row, s))
+        if held:
+            yield out(held)
+
+    return run
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (leader, member) that are similar enough, as (a, b).  ``texts`` has
     one row per representative."""
@@ -166,9 +216,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     members = cut_lineage(some.select("doc_id", "s1", "s2", "n_shingles").join(classes, ["s1", "s2", "n_shingles"]).select("doc_id", "rep", "n_shingles"))
     # a row whose id and set are the class's own; an id with several texts has several classes
     reps = members.where("doc_id = rep").select("doc_id", "n_shingles").distinct()
-    spread = some.join(reps, ["doc_id", "n_shingles"]).select(F.col("doc_id").alias("rep"), F.explode("buckets").alias("bucket")).distinct()
+    spread = some.join(reps, ["doc_id", "n_shingles"]).select(F.col("doc_id").alias("rep"), F.posexplode("buckets").alias("band", "bucket")).distinct()
     heads = spread.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader")
-    shared = cut_lineage(spread.join(heads, "bucket").select("bucket", "leader", "rep"))
+    shared = cut_lineage(spread.join(heads, "bucket").select("bucket", "band", "leader", "rep"))
     pairs = shared.where("leader <> rep").select("leader", F.col("rep").alias("member")).distinct()
     pairs = cut_lineage(pairs)
     texts = narrow.where("doc_id is not null").join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -176,14 +226,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     texts = texts.select("doc_id", "text")
     links = cut_lineage(_verified(texts, pairs, size, percent))
     labels = components(links)
-    placed = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    open_ = placed.join(split, "bucket")
-    left, right = (open_.select("bucket", F.col("rep").alias(f"{s}"), F.col("component").alias(f"c_{s}")) for s in ("leader", "member"))
-    more = left.join(right, "bucket").where("leader < member and c_leader <> c_member").select("leader", "member").distinct()
-    more = cut_lineage(more.join(pairs, ["leader", "member"], "left_anti"))
+    placed = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("component"))
+    h = F.xxhash64("rep")
+    ends = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("band").alias("band"),
+                                        F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 24)).alias("s")).where("lo < hi")
+    split = ends.groupBy("n", "x", "s").agg(F.min(F.struct("band", "bucket")).alias("m")).select("m.bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    side = F.pmod(h, F.col("blocks")).cast("int")
+    open_ = placed.join(split, "bucket").withColumn("side", side).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = open_.select("bucket", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "rep", "component", "side", "band")
+    whole = texts.join(some.join(reps, ["doc_id", "n_shingles"], "left_semi").select("doc_id", "buckets"), "doc_id").withColumnRenamed("doc_id", "rep")
+    together = open_.join(whole, "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+    more = cut_lineage(together.mapInArrow(_across(size, percent), "a long, b long"))
     if not more.isEmpty():
-        labels = components(links.unionByName(_verified(texts, more, size, percent)))
+        labels = components(links.unionByName(more))
     found = members.select("doc_id", "n_shingles", "rep").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.groupBy("doc_id", "n_shingles").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = feats.select("doc_id", "n_shingles").join(found, ["doc_id", "n_shingles"], "left")
