@@ -1,7 +1,8 @@
 """Toxicity as severity grades, by cumulative-link ordinal regression.
 
 Features are the distinct words of a text (letters and digits, A-Z lower-cased) and their
-first 4 and 5 bytes, which carry over to unseen endings.  Grades come
+first 4 and 5 bytes, which carry over to unseen endings; those are kept whose share of documents
+differs between the classes by ``SIGNIFICANT`` standard errors.  Grades come
 from the labels: unlabelled severity is graded from what sets toxic documents apart.  For the
 labelled rows, word statistics (documents with the word in either class, as one Spark
 aggregation) give the words that lean to the toxic class; a toxic document's grade is 1, 2 or 3
@@ -31,6 +32,11 @@ from curasift.llm.common import NON_ALNUM, Words, column, cut_lineage, mix, sign
 
 #: Most labelled rows to fit on, most words in the model, and grades above 0.
 SAMPLE = 20_000
+#: Standard errors by which a word's share must differ between the classes to be a feature; beyond
+#: what chance brings among some hundred thousand words.
+SIGNIFICANT = 5.0
+#: Least distance of two thresholds.
+LEAST_GAP = 0.01
 WORDS = 4_096
 GRADES = 3
 
@@ -102,7 +108,7 @@ def _design(known: np.ndarray):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_words: int = WORDS, steps: int = 300, penalty: float = 0.1) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_words: int = WORDS, steps: int = 400, penalty: float = 0.1) -> OrdinalModel:
     rows = _labelled(docs, labels, sample)
     sizes = {x.t: x.n for x in rows.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
@@ -113,12 +119,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_words: int =
     p1, p0 = F.col("c1") / F.lit(n1), F.col("c0") / F.lit(n0)
     p = (F.col("c1") + F.col("c0")) / F.lit(n1 + n0)
     z = (p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * F.lit(1 / n1 + 1 / n0))
-    top = counts.where("c0 + c1 >= 5").select("word", z.alias("z"), F.log((F.col("c1") + 0.5) / (n1 + 1) / ((F.col("c0") + 0.5) / (n0 + 1))).alias("lift"))
+    top = counts.select("word", z.alias("z")).where(F.abs("z") >= SIGNIFICANT)
     best = top.orderBy(F.abs("z").desc(), "word").limit(n_words).collect()
     hashes = np.array([x.word for x in best], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     known = hashes[order]
-    telling = (np.array([x.z for x in best]) > 6)[order] & (np.array([x.lift for x in best]) > 0.7)[order]
+    telling = np.array([x.z > 0 for x in best], bool)[order]
     data = rows.select("toxic", "text").mapInArrow(_design(known), "toxic int, words array<int>").toArrow()
     lists = data["words"].combine_chunks()
     word = lists.flatten().to_numpy()
@@ -139,7 +145,7 @@ def _regress(doc: np.ndarray, word: np.ndarray, grade: np.ndarray, n_words: int,
     m, v = np.zeros_like(x), np.zeros_like(x)
     for t in range(1, steps + 1):
         w, gaps = x[:n_words], np.exp(x[n_words + 1:])
-        theta = np.r_[x[n_words], x[n_words] + np.cumsum(gaps)]
+        theta = np.r_[x[n_words], x[n_words] + np.cumsum(LEAST_GAP + gaps)]
         s = np.bincount(doc, w[word], minlength=n)
         low = np.where(grade > 0, 1 / (1 + np.exp(np.clip(s - np.r_[0, theta][grade], -40, 40))), 0)
         high = np.where(grade < GRADES, 1 / (1 + np.exp(np.clip(s - np.r_[theta, 0][grade], -40, 40))), 1)
@@ -150,7 +156,7 @@ def _regress(doc: np.ndarray, word: np.ndarray, grade: np.ndarray, n_words: int,
         g = np.r_[np.bincount(word, d_s[doc], minlength=n_words) + penalty * w, d_theta.sum(), [d_theta[k + 1:].sum() * gaps[k] for k in range(GRADES - 1)]] / n
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x = x - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return x[:n_words], np.r_[x[n_words], x[n_words] + np.cumsum(np.exp(x[n_words + 1:]))]
+    return x[:n_words], np.r_[x[n_words], x[n_words] + np.cumsum(LEAST_GAP + np.exp(x[n_words + 1:]))]
 
 
 def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
