@@ -83,17 +83,29 @@ def highlight_keyword_subscriptions(text, kw, color: str = KEYWORD_COLOR) -> Col
     return tx.keep_sections(tx.mark_sections(highlight_keyword(text, kw, "yes", color, True)))
 
 
-def highlight_keyword_for_web(text, kw, cls) -> Column:
-    """HLT-4 (case-sensitive mode): class span, skipped when the first hit
-    follows '>'."""
-    t, k = _col(text), _col(kw)
-    return F.when(_unguarded(t, k), F.replace(t, k, web_span(k, cls))).otherwise(t)
+def _guarded_replace(text: Column, kw: Column, span, all_cases: bool) -> Column:
+    """Every occurrence of the keyword wrapped, unless the first follows '>';
+    with ``all_cases`` then its lower, upper and title case in turn, each on the
+    text as it then is (a variant equal to an earlier one finds it wrapped)."""
+    out = text
+    for form in (lambda k: k, F.lower, F.upper, py_title)[:4 if all_cases else 1]:
+        k = form(kw)
+        out = tx.let(out, _wrap(k, span))
+    return out
 
 
-def highlight_keyword_tag(text, kw, fill, border) -> Column:
-    """HLT-3 (case-sensitive mode): inline-styled span."""
-    t, k = _col(text), _col(kw)
-    return F.when(_unguarded(t, k), F.replace(t, k, tag_span(k, fill, border))).otherwise(t)
+def _wrap(k: Column, span):
+    return lambda t: F.when(_unguarded(t, k), F.replace(t, k, span(k))).otherwise(t)
+
+
+def highlight_keyword_for_web(text, kw, cls, all_cases: bool = False) -> Column:
+    """HLT-4: class span; ``all_cases`` is the mode that tries each case."""
+    return _guarded_replace(_col(text), _col(kw), lambda k: web_span(k, cls), all_cases)
+
+
+def highlight_keyword_tag(text, kw, fill, border, all_cases: bool = False) -> Column:
+    """HLT-3: inline-styled span; ``all_cases`` as in HLT-4."""
+    return _guarded_replace(_col(text), _col(kw), lambda k: tag_span(k, fill, border), all_cases)
 
 
 def highlight_keyword_list(text, kws) -> Column:

@@ -146,31 +146,34 @@ def _keyword_cols(df: DataFrame, keyword: Column) -> DataFrame:
                                         .otherwise(tx.mask_special("keyword", True))))
 
 
-def with_counts(hits: DataFrame, texts: DataFrame, keyword: Column) -> DataFrame:
-    """AGG-1 per hit from the per-document masked text."""
-    h = _keyword_cols(hits.join(texts.select("doc_key", "masked_lower"), "doc_key"), keyword)
-    cnt = F.when(F.col("keyword") == "", F.lit(0)).otherwise(tx.count_whole_word(F.col("masked_lower"), F.col("_kwl")))
-    return h.withColumn("keyword_count", cnt).drop("masked_lower", "_kwl")
+def with_counts(hits: DataFrame) -> DataFrame:
+    """AGG-1 per hit; ``hits`` has the document's ``masked_lower`` and ``_kwl``."""
+    return hits.withColumn("keyword_count", F.when(F.col("keyword") == "", F.lit(0))
+                           .otherwise(tx.count_whole_word(F.col("masked_lower"), F.col("_kwl"))))
 
 
-def with_snippets(hits: DataFrame, texts: DataFrame, keyword: Column) -> DataFrame:
-    """SNP-3 + HLT-1/2 per hit from the per-document sentences; an empty
-    keyword gives no snippet and the whole text as tagged text."""
+def with_snippets(hits: DataFrame, only: Column | None = None) -> DataFrame:
+    """SNP-3 + HLT-1/2 per hit (where ``only`` holds) from the document's
+    ``sentences``; an empty keyword gives no snippet and the whole text as
+    tagged text."""
+    only = F.lit(True) if only is None else only
     sub = F.col("document_type").isin(cl.SUBSCRIPTION_TYPES)
-    h = _keyword_cols(hits.join(texts.select("doc_key", "document_text", "sentences"), "doc_key"), keyword)
+    h = hits.withColumn("sentences", F.when(only, F.col("sentences")))
     h = sn.with_snippet_from_sentences(h, "sentences", "_kwl", sub, "snippet")
     h = h.withColumn("snippet", F.when(F.col("keyword") == "", F.lit("")).otherwise(F.col("snippet")))
     tagged = F.when(sub, hl.highlight_keyword_subscriptions("snippet", "keyword")) \
               .otherwise(hl.highlight_keyword("snippet", "keyword"))
-    return (h.withColumn("shorter_sentences", F.when(F.col("keyword") == "", F.col("document_text")).otherwise(tagged))
-             .drop("sentences", "_kwl"))
+    tagged = F.when(F.col("keyword") == "", F.col("document_text")).otherwise(tagged)
+    return h.withColumn("shorter_sentences", F.when(only, tagged)).drop("sentences")
 
 
-def enrich(hits: DataFrame, articles: DataFrame, keyword: Column) -> DataFrame:
-    """API-1 per-hit enrichment (document text, keyword count, snippet and
-    highlighted snippet) for every hit."""
-    texts = doc_texts(articles, hits)
-    return with_snippets(with_counts(hits, texts, keyword), texts, F.col("keyword"))
+def enrich(hits: DataFrame, articles: DataFrame, keyword: Column, only: Column | None = None) -> DataFrame:
+    """API-1 per-hit enrichment: keyword count for every hit; snippet,
+    highlighted snippet and document text where ``only`` holds (everywhere by
+    default).  The hits meet their document's texts in one join."""
+    h = _keyword_cols(hits.join(doc_texts(articles, hits), "doc_key"), keyword)
+    h = with_snippets(with_counts(h).drop("masked_lower"), only).drop("_kwl")
+    return h if only is None else h.withColumn("document_text", F.when(only, F.col("document_text")))
 
 
 def classify(df: DataFrame) -> DataFrame:
@@ -225,29 +228,29 @@ def metadata_flags(hits: DataFrame) -> DataFrame:
                  F.max((F.col("f") == "i").cast("int")).alias("i")))
 
 
-def metadata_pass(hits: DataFrame, literal_and: bool = False) -> DataFrame:
-    """Per (alert_id, doc_key): does the document pass the alert's journal /
-    author / institution filters?  Fuzzy ratios are computed once per distinct
-    (value, pattern) pair and joined back (equi-join), never per hit.
+def with_meta_pass(hits: DataFrame, literal_and: bool = False) -> DataFrame:
+    """``meta_pass`` on every hit row: does the document pass the alert's
+    journal / author / institution filters?  Fuzzy ratios are computed once per
+    distinct (value, pattern) pair and joined back (equi-join), never per hit.
 
     Alerts with no select pass everything.  PubMed-only: other documents
     never pass a set filter (FLT-11).  'and' intersects the three sets; by
     default an unset select does not take part (Q-6 fixed); literal_and=True
     reproduces the original (unset select = empty set = nothing passes)."""
-    base = hits.select("alert_id", "doc_key", "document_type", "journal_select", "author_select",
-                       "institution_select", "filter_type").distinct()
-    pub = F.col("document_type").isin(cl.PUBMED_TYPES)
     flags = metadata_flags(hits)
-    b = base.join(flags, ["alert_id", "doc_key"], "left").fillna(0, ["j", "a", "i"])
+    b = hits.join(flags, ["alert_id", "doc_key"], "left").fillna(0, ["j", "a", "i"])
     js, as_, is_ = (F.col("journal_select") != ""), (F.col("author_select") != ""), (F.col("institution_select") != "")
     j, a, i = (F.col("j") == 1), (F.col("a") == 1), (F.col("i") == 1)
-    if literal_and:
-        and_ok = j & a & i
-    else:
-        and_ok = (j | ~js) & (a | ~as_) & (i | ~is_) & (js | as_ | is_)
+    and_ok = (j & a & i) if literal_and else ((j | ~js) & (a | ~as_) & (i | ~is_))
     any_sel = js | as_ | is_
+    pub = F.col("document_type").isin(cl.PUBMED_TYPES)
     ok = F.when(~any_sel, F.lit(True)).when(F.col("filter_type") == "and", and_ok).otherwise(j | a | i)
-    return b.select("alert_id", "doc_key", (ok & (pub | ~any_sel)).alias("meta_pass"))
+    return b.withColumn("meta_pass", ok & (pub | ~any_sel)).drop("j", "a", "i")
+
+
+def metadata_pass(hits: DataFrame, literal_and: bool = False) -> DataFrame:
+    """(alert_id, doc_key, meta_pass) of the hits, once each."""
+    return with_meta_pass(hits, literal_and).select("alert_id", "doc_key", "meta_pass").distinct()
 
 
 # ---------------------------------------------------------------------------
@@ -273,19 +276,6 @@ def alert_hits(articles: DataFrame, alerts: DataFrame, from_date, to_date) -> Da
     return first_per_title(h, keys)
 
 
-def with_meta_pass(hits: DataFrame, literal_and: bool = False) -> DataFrame:
-    """``meta_pass`` on every hit row from the fuzzy flags (one left join)."""
-    flags = metadata_flags(hits)
-    b = hits.join(flags, ["alert_id", "doc_key"], "left").fillna(0, ["j", "a", "i"])
-    js, as_, is_ = (F.col("journal_select") != ""), (F.col("author_select") != ""), (F.col("institution_select") != "")
-    j, a, i = (F.col("j") == 1), (F.col("a") == 1), (F.col("i") == 1)
-    and_ok = (j & a & i) if literal_and else ((j | ~js) & (a | ~as_) & (i | ~is_))
-    any_sel = js | as_ | is_
-    pub = F.col("document_type").isin(cl.PUBMED_TYPES)
-    ok = F.when(~any_sel, F.lit(True)).when(F.col("filter_type") == "and", and_ok).otherwise(j | a | i)
-    return b.withColumn("meta_pass", ok & (pub | ~any_sel)).drop("j", "a", "i")
-
-
 def run_alerts(articles: DataFrame, alerts: DataFrame, from_date, to_date,
                link_base: str = REDIRECT_BASE, literal_and: bool = False,
                materialize: bool = True) -> DataFrame:
@@ -307,20 +297,8 @@ def run_alerts(articles: DataFrame, alerts: DataFrame, from_date, to_date,
     h = with_meta_pass(hits, literal_and)
     w = Window.partitionBy("alert_id", "doc_id")
     h = h.withColumn("_win", F.col("alias_seq") == F.min(F.when(F.col("meta_pass"), F.col("alias_seq"))).over(w))
-    texts = doc_texts(articles, hits)
-    h = _keyword_cols(h.join(texts, "doc_key"), F.col("keyword"))
-    h = h.withColumn("keyword_count", F.when(F.col("keyword") == "", F.lit(0))
-                     .otherwise(tx.count_whole_word(F.col("masked_lower"), F.col("_kwl"))))
-    sub = F.col("document_type").isin(cl.SUBSCRIPTION_TYPES)
     win = F.coalesce(F.col("_win"), F.lit(False))
-    h = h.withColumn("sentences", F.when(win, F.col("sentences")))
-    h = sn.with_snippet_from_sentences(h, "sentences", "_kwl", sub, "snippet")
-    h = h.withColumn("snippet", F.when(F.col("keyword") == "", F.lit("")).otherwise(F.col("snippet")))
-    tagged = F.when(sub, hl.highlight_keyword_subscriptions("snippet", "keyword")) \
-              .otherwise(hl.highlight_keyword("snippet", "keyword"))
-    h = (h.withColumn("shorter_sentences", F.when(win, F.when(F.col("keyword") == "", F.col("document_text"))
-                                                   .otherwise(tagged)))
-          .withColumn("document_text", F.when(win, F.col("document_text")))
+    h = (enrich(h, articles, F.col("keyword"), win)
           .withColumn("path", cl.redirect_path(F.col("doc_id"), link_base))
           .withColumn("topic_class", cl.topic_class("topic_class")))
     keep = ["alias_seq", "keyword", "keyword_count", "doc_key", "file_modified_date", "title",

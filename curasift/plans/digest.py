@@ -75,8 +75,9 @@ def digest_rows(results: DataFrame, user: str, internal: bool = False) -> DataFr
          .withColumn("sec_alias", F.col("_first.alias_seq")).withColumn("sec_doc", F.col("_first.doc_key")))
     link = cl.curation_link(F.col("path"), F.lit(user))
     title = tx.sanitize_title(F.col("title"))
-    td_kw = F.when(F.col("is_last"), F.lit(TD_KEYWORD_LAST)).otherwise(F.lit(TD_KEYWORD))
-    td_body = F.when(F.col("is_last"), F.lit(TD_BODY_LAST)).otherwise(F.lit(TD_BODY))
+    heavier = F.col("is_last") & F.lit(not internal)  # the internal table has one rule for all rows
+    td_kw = F.when(heavier, F.lit(TD_KEYWORD_LAST)).otherwise(F.lit(TD_KEYWORD))
+    td_body = F.when(heavier, F.lit(TD_BODY_LAST)).otherwise(F.lit(TD_BODY))
     cells = [td_kw, F.col("keyword"), F.lit(" ("), F.col("keyword_count").cast("string"), F.lit(")</td>"),
              td_body, F.lit("<b>"), tx.display_type(F.col("document_type")), F.lit('</b> | <a href="'), link,
              F.lit('">'), title, F.lit("</a><br><br>"), F.left(F.col("shorter_sentences"), F.lit(TEXT_CAP)),

@@ -562,6 +562,20 @@ def q_hlt_6(spark, sf):
             .select("doc_key", hl.highlight_tags(F.col("document_text"), F.col("tags")).alias("tagged_text")))
 
 
+def _inline_span_sql(e, t):
+    fill, border = (f"(case {t} " + " ".join(f"when {sq.q(k)} then {sq.q(v)}" for k, v in m.items()) + " end)" for m in (cl.TYPE_FILL, cl.TYPE_BORDER))
+    a, b, c = (sq.q(x) for x in hl.TAG_STYLE)
+    return f"{sq.q(hl.TAG_SPAN[0])} || {a} || {fill} || {b} || {border} || {c} || {sq.q(hl.TAG_SPAN[1])} || {e} || {sq.q(hl.TAG_SPAN[2])}"
+
+
+@register("hlt_6_highlight_tags_inline", _Q["hlt_6_highlight_tags"][1].replace(_web_span_sql('x.m', 'x.t'), _inline_span_sql('x.m', 'x.t')))
+def q_hlt_6_inline(spark, sf):
+    d = _tag_docs(spark, sf)
+    inp = tg.highlight_tags_input(tg.tag_entities(d, fx.dictionary(spark)))
+    return (d.join(inp, "doc_key", "left")
+            .select("doc_key", hl.highlight_tags(F.col("document_text"), F.col("tags"), for_web=False).alias("tagged_text")))
+
+
 @register("hlt_7_highlight_tag_lists", orc.tags_query(
     f"""select d.doc_key, case when h.tl is null then d.document_text else list_reduce(h.tl, lambda acc, x:
           case when not list_contains(acc.done, x.m) then
@@ -748,6 +762,19 @@ _docs_q("hlt_3_highlight_keyword_tag",
 _docs_q("hlt_4_highlight_keyword_for_web",
         f"case when {orc.unguarded('text', sq.q('The'))} then replace(text, 'The', {_web_span_sql(sq.q('The'), sq.q(_CO))}) else text end",
         lambda t: hl.highlight_keyword_for_web(t, F.lit("The"), F.lit(_CO)))
+def _all_cases_sql(kw, span):
+    out = "text"
+    for v in (kw, kw.lower(), kw.upper(), kw.title()):
+        out = f"(select case when {orc.unguarded('t', sq.q(v))} then replace(t, {sq.q(v)}, {span(sq.q(v))}) else t end from (select {out} as t))"
+    return out
+
+
+_docs_q("hlt_3_all_cases", _all_cases_sql("tHe", lambda v: _tag_span_sql(v, cl.TYPE_FILL[_CO], cl.TYPE_BORDER[_CO])),
+        lambda t: hl.highlight_keyword_tag(t, F.lit("tHe"), cl.type_fill(F.lit(_CO)), cl.type_border(F.lit(_CO)), True))
+_docs_q("hlt_4_all_cases", _all_cases_sql("tHe", lambda v: _web_span_sql(v, sq.q(_CO))),
+        lambda t: hl.highlight_keyword_for_web(t, F.lit("tHe"), F.lit(_CO), True))
+_docs_q("hlt_1_case_kept", f"replace({sq.mask_special('text', True)}, 'The', {orc.span(sq.q('The'))})",
+        lambda t: hl.highlight_keyword(t, F.lit("The"), "no"))
 _docs_q("hlt_2_highlight_subscriptions", orc.highlight_expr("text", "'the'", True),
         lambda t: hl.highlight_keyword_subscriptions(t, F.lit("the")))
 _docs_q("hlt_5_highlight_keyword_list",
@@ -1002,6 +1029,69 @@ def q_src_7(spark, sf):
     return lookups.document_view(a, fx.dictionary(spark), paths)
 
 
+# ---------------------------------------------------------------------------
+# API-1: one search with each tag mode
+# ---------------------------------------------------------------------------
+
+from curasift.operators import tagmodes as tm  # noqa: E402
+
+_API1 = "alert_id = 4"  # two phrases in three sources
+
+
+def _fold_sql(text: str, valid: bool, span) -> str:
+    guard = f"not list_contains(acc.done, x.m) and {orc.valid_expr('x.m', 'x.t')}" if valid else "not list_contains(acc.done, x.m)"
+    return (f"case when tl is null then {text} else list_reduce(tl, lambda acc, x: case when {guard} then "
+            f"{{'text': case when {orc.unguarded('acc.text', 'x.m')} then replace(acc.text, x.m, {span('x.m', 'x.t')}) else acc.text end, "
+            f"'done': list_append(acc.done, x.m)}} else acc end, {{'text': {text}, 'done': {_DONE0}}}).text end")
+
+
+def _api1_sql(mode: str) -> str:
+    lists = mode in ("web", "email")
+    span = _inline_span_sql if mode == "inline" else _web_span_sql
+    shown = mode in ("web", "web_new_pairs", "inline")
+    text = _fold_sql("kt", not lists, span) if shown else "kt"
+    short = _fold_sql("shorter_sentences", True, span) if mode in ("web_new_pairs", "inline") else "shorter_sentences"
+    tl = ("""select doc_key, flatten(list(list_transform(match_texts, lambda m: {'m': m, 't': type}) order by first)) as tl from parsed group by doc_key""" if lists else
+          """select doc_key, list({'m': match_text, 't': t} order by start, "end") as tl
+             from (select doc_key, start, "end", match_text, arg_min(type, entity_id) as t from tags group by all) group by doc_key""")
+    order = ("select doc_key, list(tag order by len(match_texts) desc, first) as eo from parsed group by doc_key" if lists else
+             """select doc_key, list(entity_id order by c desc, f, entity_id) as eo from (
+                  select doc_key, entity_id, count(*) filter (valid) as c, min(start) as f from tags group by all) group by doc_key""")
+    pairs = mode in ("web_new_pairs", "pairs")
+    extra = f""",
+{fx.dictionary_sql()},
+{fx.known_pairs_sql()},
+res as (select doc_key, alias_seq, document_type, keyword_count, document_text, shorter_sentences, sub,
+  case when sub then {orc.highlight_expr('document_text', 'kw', True)} else {orc.highlight_expr('document_text', 'kw', False)} end as kt from e2),
+tdocs as materialized (select distinct doc_key, document_text from res),
+{orc.ents_cte()},
+{orc.spans_ctes('tdocs', ['doc_key'], 'document_text', 'd')},
+tags as materialized (select l.doc_key, l.start, l."end", l.match_text, l.phrase, e.entity_id, e.type, e.label, {orc.valid_expr('l.match_text', 'e.type')} as valid
+  from d_long l join rel_ents e using (phrase)){orc.pairs_extra()},{_LISTS_SQL},
+tls as ({tl}), eos as ({order}),
+nps as (select doc_key, string_agg(x, ';' order by x) as np from (select distinct doc_key, moa || '|' || indication as x from new_pairs) group by doc_key),
+nms as (select doc_key, string_agg(x, ';' order by x) as nm from (select distinct doc_key, moa || '|' || array_to_string(indications, ',') as x from new_moas) group by doc_key)"""
+    return orc.alert_pipeline_sql(f"""select doc_key, alias_seq, keyword_count, {text} as tagged_document_text, {short} as shorter_sentences,
+  coalesce(array_to_string(eo, ';'), '') as entities_ordered, {"coalesce(np, '')" if pairs else "''"} as new_pairs, {"coalesce(nm, '')" if pairs else "''"} as new_moas
+from res left join tls using (doc_key) left join eos using (doc_key) left join nps using (doc_key) left join nms using (doc_key)""", _API1, extra=extra)
+
+
+def _api1_q(mode: str):
+    def q(spark, sf):
+        from curasift.session import cut_lineage
+        arts = _arts(spark, sf)
+        hits = cut_lineage(al.alert_hits(arts, lookups.alert_by_id(fx.alerts(spark), 4), FROM, TO))
+        found = cut_lineage(al.enrich(hits, arts, F.col("keyword")))
+        out = tm.tag_results(found, fx.dictionary(spark), fx.known_pairs(spark), mode)
+        return out.select("doc_key", "alias_seq", "keyword_count", "tagged_document_text", "shorter_sentences",
+                          *[F.array_join(c, ";").alias(c) for c in ("entities_ordered", "new_pairs", "new_moas")])
+    return q
+
+
+for _mode in tm.MODES[:-1]:
+    register(f"api_1_mode_{_mode}", _api1_sql(_mode))(_api1_q(_mode))
+
+
 # ---------------------------------------------------------------------------
 # QRY-4: a lone phrase with slop (head token and the rest within distance N)
 # ---------------------------------------------------------------------------
