@@ -1,8 +1,8 @@
 import hashlib
 
 import pytest
-from brute import SPACED, components, contamination, repeated_words
-from brute import SF_SMALL
+from brute import SF_SMALL, SPACED, components, contamination, repeated_words
+from llm_fixtures import edge, llm_spark, nothing  # noqa: F401  (fixtures)
 
 from curasift.llm import decontaminate as dc
 from curasift.llm import near_dup, substring_dedup

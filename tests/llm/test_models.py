@@ -1,8 +1,8 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import base_scores, text_statistics
-from brute import SF_SMALL
+from brute import SF_SMALL, base_scores, text_statistics
+from llm_fixtures import edge, llm_spark, nothing  # noqa: F401  (fixtures)
 
 from curasift.llm import lm_score, quality_rules, subword, toxicity
 

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from brute import SF_SMALL
 from pyspark.sql import functions as F
+from llm_fixtures import edge, llm_spark, nothing  # noqa: F401  (fixtures)
 
 from curasift.llm import chat_format, sharding, url_filter
 from curasift.llm import queries as Q

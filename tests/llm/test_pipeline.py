@@ -1,8 +1,8 @@
 import os
 
 import corpus_pipeline
-from brute import components, contamination, repeated_words
-from brute import SF_SMALL
+from brute import SF_SMALL, components, contamination, repeated_words
+from llm_fixtures import edge, llm_spark, nothing  # noqa: F401  (fixtures)
 
 
 def _rows(df):
