@@ -57,7 +57,6 @@ def test_two_entities_same_span_and_validity(spark):
     assert rows == [(0, "c1", "TNF", False), (0, "t1", "TNF", True),   # short upper-case: target only
                     (2, "c1", "tnf", False), (2, "t1", "tnf", False),  # lower case: never
                     (4, "t2", "ED", False)]                            # stop-listed alias
-    assert F is not None
 
 
 def test_sloppy_lone_phrase(spark):
