@@ -135,9 +135,8 @@ def articles(spark: SparkSession, sf_dir: str, documents: DataFrame | None = Non
     authors (``customer``), institutions (``supplier``), exclusion flag and
     topic class (``labels``).
 
-    The dimension joins hit at most 200 / 100 / 50 keys; they are left to the
-    optimizer (AQE turns them into broadcast joins once their filtered size is
-    known), never forced.  ``documents`` may be a streaming DataFrame (the
+    The documents' keys spread over the whole dimensions, which grow with the
+    data; the joins are left to the optimizer, never forced.  ``documents`` may be a streaming DataFrame (the
     dimension joins are then stream-static joins)."""
     d = (documents if documents is not None else read_table(spark, sf_dir, "documents")) \
         .select("doc_id", "text", "source")
@@ -146,23 +145,26 @@ def articles(spark: SparkSession, sf_dir: str, documents: DataFrame | None = Non
     # key cannot add rows, so the optimizer removes it from every branch that
     # uses none of its columns (search and text branches read only the key
     # and the text).
-    def dim(name, key, val, bound, new_key, new_val):
-        t = read_table(spark, sf_dir, name).where(F.col(key) < bound)
+    def dim(name, key, val, new_key, new_val):
+        t = read_table(spark, sf_dir, name)
         return t.groupBy(F.col(key).alias(new_key)).agg(F.min(val).alias(new_val))
-    part = dim("part", "p_partkey", "p_name", 200, "j_key", "journal_title")
-    a1 = dim("customer", "c_custkey", "c_name", 100, "a1_key", "author1")
-    a2 = dim("customer", "c_custkey", "c_name", 100, "a2_key", "author2")
-    sup = dim("supplier", "s_suppkey", "s_name", 50, "i_key", "institution")
-    lab = dim("labels", "doc_id", "toxic", 2 ** 62, "l_doc", "toxic")
+
+    def spread(over, name, key):  # over all keys of the dimension, 0 .. max
+        return over % read_table(spark, sf_dir, name).agg((F.max(key) + 1).alias("n")).scalar()
+    part = dim("part", "p_partkey", "p_name", "j_key", "journal_title")
+    a1 = dim("customer", "c_custkey", "c_name", "a1_key", "author1")
+    a2 = dim("customer", "c_custkey", "c_name", "a2_key", "author2")
+    sup = dim("supplier", "s_suppkey", "s_name", "i_key", "institution")
+    lab = dim("labels", "doc_id", "toxic", "l_doc", "toxic")
     src = F.broadcast(_source_map(spark))  # 10 fixed rows
 
     day = (F.col("doc_id") % N_DAYS).cast("int")
     base = F.to_date(F.lit(BASE_DATE))
     x = (d.join(src, "source", "left")
-         .withColumn("j_key", F.col("doc_id") % 200)
-         .withColumn("a1_key", F.col("doc_id") % 100)
-         .withColumn("a2_key", (F.col("doc_id") * 7 + 3) % 100)
-         .withColumn("i_key", F.col("doc_id") % 50)
+         .withColumn("j_key", spread(F.col("doc_id"), "part", "p_partkey"))
+         .withColumn("a1_key", spread(F.col("doc_id"), "customer", "c_custkey"))
+         .withColumn("a2_key", spread(F.col("doc_id") * 7 + 3, "customer", "c_custkey"))
+         .withColumn("i_key", spread(F.col("doc_id"), "supplier", "s_suppkey"))
          .join(part, "j_key", "left").join(a1, "a1_key", "left").join(a2, "a2_key", "left")
          .join(sup, "i_key", "left")
          .join(lab, F.col("doc_id") == F.col("l_doc"), "left"))
@@ -256,10 +258,10 @@ articles as (
   from (select *, cast(date '{BASE_DATE}' + cast(doc_id % {N_DAYS} as integer) - cast(doc_id % 7 as integer) as date) as pd
         from documents) d
   left join src s on d.source = s.source
-  left join (select * from part where p_partkey < 200) p on p.p_partkey = d.doc_id % 200
-  left join (select * from customer where c_custkey < 100) c1 on c1.c_custkey = d.doc_id % 100
-  left join (select * from customer where c_custkey < 100) c2 on c2.c_custkey = (d.doc_id * 7 + 3) % 100
-  left join (select * from supplier where s_suppkey < 50) su on su.s_suppkey = d.doc_id % 50
+  left join part p on p.p_partkey = d.doc_id % (select max(p_partkey) + 1 from part)
+  left join customer c1 on c1.c_custkey = d.doc_id % (select max(c_custkey) + 1 from customer)
+  left join customer c2 on c2.c_custkey = (d.doc_id * 7 + 3) % (select max(c_custkey) + 1 from customer)
+  left join supplier su on su.s_suppkey = d.doc_id % (select max(s_suppkey) + 1 from supplier)
   left join labels l on l.doc_id = d.doc_id
 )"""
 
