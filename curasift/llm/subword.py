@@ -418,7 +418,8 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: s
 
 
 def encoding_report(docs: DataFrame, vocabulary: Vocabulary, k: int = 2) -> DataFrame:
-    """Per sample: doc_id, rank, n_pieces, ids_sha256 (of the ids, comma-joined), log_prob,
+    """Per sample: doc_id, rank, n_pieces, ids_sha256 (of the ids as little-endian
+    32-bit numbers), log_prob,
     perturbed, inclusion, restored (decoding gives the text back)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = "doc_id long, rank int, n_pieces long, ids_sha256 string, log_prob double, perturbed double, inclusion double, restored boolean"
@@ -430,7 +431,7 @@ def encoding_report(docs: DataFrame, vocabulary: Vocabulary, k: int = 2) -> Data
             for doc, text, found in zip(ids, texts, sample_slice(column(batch, "text"), _keys(batch, "doc_id"), shared.value, k), strict=True):
                 for rank, s in enumerate(found, 1):
                     own = s.ids.tolist()
-                    rows.append((doc, rank, len(own), hashlib.sha256(",".join(map(str, own)).encode()).hexdigest(), s.log_prob, s.value, s.inclusion, shared.value.decode(own) == (text or "")))
+                    rows.append((doc, rank, len(own), hashlib.sha256(s.ids.astype("<i4").tobytes()).hexdigest(), s.log_prob, s.value, s.inclusion, shared.value.decode(own) == (text or "")))
             names = [x.split()[0] for x in schema.split(", ")]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
