@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from curasift.llm.common import NON_ALNUM, column, inside_windows, same_columns, slices, words
 
 #: Most words of a shard, distance of sampled suffix positions, most benchmark text in a block.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 500_000
 SAMPLE = 16
 BLOCK_BYTES = 16 << 20
 

@@ -40,6 +40,8 @@ from curasift.llm.common import column, mix, powers, slices, text_bytes
 #: Default vocabulary file, and the constant of the rank weights.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 OFFSET = 16
+#: Text bytes whose lattices are held at once.
+SLICE = 1 << 20
 _A, _B, _C = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _TABLE_BITS = 22
 
@@ -391,7 +393,7 @@ def sample_encodings(docs: DataFrame, vocabulary: Vocabulary, k: int = 2) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=SLICE):
             found = sample_slice(column(batch, "text"), _keys(batch, "doc_id"), shared.value, k)
             n = np.array([len(x) for x in found])
             flat = [s for x in found for s in x]
@@ -425,7 +427,7 @@ def encoding_report(docs: DataFrame, vocabulary: Vocabulary, k: int = 2) -> Data
     schema = "doc_id long, rank int, n_pieces long, ids_sha256 string, log_prob double, perturbed double, inclusion double, restored boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=SLICE):
             rows = []
             texts, ids = column(batch, "text").to_pylist(), column(batch, "doc_id").to_pylist()
             for doc, text, found in zip(ids, texts, sample_slice(column(batch, "text"), _keys(batch, "doc_id"), shared.value, k), strict=True):
