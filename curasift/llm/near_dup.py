@@ -61,7 +61,8 @@ def _shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     acc = h.copy()
     for j in range(1, size):
-        acc[:len(h) - j] = mix(acc[:len(h) - j] * _STEP + h[j:]) if len(h) > j else acc[:0]
+        m = max(0, len(h) - j)
+        acc[:m] = mix(acc[:m] * _STEP + h[j:])
     offsets = np.r_[0, np.cumsum(counts)]
     at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], counts) + np.repeat(found.offsets[:-1], counts)
     out = acc[at]

@@ -1,5 +1,6 @@
 import hashlib
 
+import pyarrow as pa
 import pytest
 from brute import SF_SMALL, SPACED, components, contamination, repeated_words
 from llm_fixtures import edge, llm_spark, nothing  # noqa: F401  (fixtures)
@@ -124,3 +125,21 @@ def test_near_duplicates_edges(edge, nothing):
     kept = near_dup.drop_near_duplicates(edge, 2)
     assert kept.columns == edge.columns and {r.doc_id for r in kept.collect()} == {None, 1, 2, 3, 4, 5, 8, 9, 10, 12, 13, 14}
     assert near_dup.near_duplicates(nothing, 2).count() == 0
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_shingles_of_slices_of_few_words(size):
+    """Slices that hold fewer words than a shingle."""
+    for n in range(7):
+        for texts in ([" ".join("abcdef"[:n])], [None, " ".join("ABCDEF"[:n]), ""]):
+            sets = near_dup.shingle_sets(pa.array(texts, pa.string()), size)
+            assert [len(s) for s in sets] == [max(n - size + 1, min(n, 1)) if t else 0 for t in texts]
+
+
+def test_near_duplicates_of_a_short_text_between_long_ones(llm_spark):
+    """Documents of over a slice make the short text a slice of its own."""
+    long = " ".join(f"w{i}" for i in range(400_000))
+    rows = [(1, long), (2, "two words"), (3, long + " end"), (4, "Two  words"), (5, "x y z")]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, 5).collect()}
+    assert len(long) > 2 << 20 and got == {1: 1, 2: 2, 3: 1, 4: 2, 5: 5}
