@@ -158,3 +158,33 @@ def test_round_trip_and_partitions(llm_spark, documents, edge, nothing, vocabula
     back = subword.decode(encoded, vocabulary)
     assert sorted((r.doc_id or 0, r.text) for r in back.collect()) == sorted((r.doc_id or 0, r.text or "") for r in edge.collect())
     assert subword.sample_encodings(nothing, vocabulary).count() == 0
+
+
+@pytest.mark.parametrize("least", [0, 1_500_000])
+def test_lm_rounds_cover_all_training_documents(llm_spark, documents, edge, monkeypatch, least):
+    """Once each in a large corpus, and in every round in a small one."""
+    monkeypatch.setattr(lm_score, "LEAST_WORDS", least)
+    docs = documents.unionByName(edge.select(documents.columns))
+    rounds = []
+    monkeypatch.setattr(lm_score, "_averaged", lambda part, model, number, rate: (rounds.append([(r.doc_id, r.text) for r in part.collect()]), model.weights)[1])
+    lm_score.fit(docs)
+    key = lambda t: (t[0] is not None, t[0] or 0, t[1] or "")
+    known = [(r.doc_id, r.text) for r in docs.where(~lm_score.held_out()).collect()]
+    assert len(rounds) == lm_score.ROUNDS and all(rounds)
+    assert sorted((x for part in rounds for x in part), key=key) == sorted(known * (lm_score.ROUNDS if least else 1), key=key)
+
+
+def test_lm_steps_cover_all_windows(monkeypatch):
+    r = np.random.default_rng(5)
+    bounds = np.r_[0, np.cumsum(r.integers(1, 60, 20_000))]
+    classes = r.integers(0, lm_score.HEAD, bounds[-1]).astype(np.int32)
+    model, seen = lm_score.Model(None, None, None, lm_score.initial(np.full(lm_score.CLASSES, 1 / lm_score.CLASSES))), set()
+
+    def inputs(bounds, classes, text, first):
+        seen.update(zip(text.tolist(), first.tolist()))
+        z = np.zeros((1, 1), np.int64)
+        return z, z, z == 0
+
+    monkeypatch.setattr(lm_score, "_inputs", inputs)
+    lm_score.train(model, bounds, classes, 0, lm_score.steps_over(bounds), 0.01)
+    assert seen == set(zip(*(x.tolist() for x in lm_score._windows(bounds))))
