@@ -67,7 +67,13 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 def stale_reply_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected sides from plain conversations: the rejected side answers last with
     the first assistant text of the conversation, or, if that is its only one, echoes the text
-    of its first turn.  ``pair_id`` is the conversation's id."""
+    of its first turn.  ``pair_id`` is the conversation's id.
+
+    The sides differ in the last assistant turn only.  A conversation without an assistant turn,
+    or whose last assistant text equals the stale one, has equal sides: a pair without a
+    preference.  ``format_preferences`` keeps it as a row with the whole conversation as the
+    prompt, and empty completions and masks; training on preferences has to leave out rows
+    whose ``chosen`` equals ``rejected``."""
     turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
     said = F.col("role") == "assistant"
     key = F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))

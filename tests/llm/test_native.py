@@ -103,3 +103,16 @@ def test_preferences(llm_spark):
     assert chat_format.format_preferences(a.limit(0), b.limit(0)).count() == 0
     turns = a.withColumnRenamed("pair_id", "conv_id")
     assert chat_format.format_preferences(*chat_format.stale_reply_pairs(turns)).count() == 4
+
+
+def test_pairs_without_a_preference(llm_spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (2, 0, "user", "q"), (2, 1, "assistant", "same"), (2, 2, "user", "r"), (2, 3, "assistant", "same"),
+            (3, 0, "user", "q"), (3, 1, "assistant", "old"), (3, 2, "assistant", "new")]
+    turns = llm_spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.pair_id: r for r in chat_format.format_preferences(*chat_format.stale_reply_pairs(turns)).collect()}
+    whole = lambda i: "".join(f"<|{r}|>\n{t}<|end|>\n" for c, _, r, t in rows if c == i)
+    for i, n in ((1, 2), (2, 4)):
+        assert got[i].n_common == n and got[i].prompt == whole(i)
+        assert got[i].chosen == got[i].rejected == got[i].chosen_mask == got[i].rejected_mask == ""
+    assert got[3].n_common == 2 and got[3].chosen == "<|assistant|>\nnew<|end|>\n" and got[3].rejected == "<|assistant|>\nold<|end|>\n"
+    assert got[3].chosen_mask == got[3].rejected_mask == "14-25"
