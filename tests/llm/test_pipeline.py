@@ -43,5 +43,5 @@ def test_stages_on_edges(llm_spark, edge, nothing):
 def test_registered(llm_spark):
     import __spark_entry__ as entry
     names = [q for q in entry.queries() if q.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and "pipeline" in entry.queries()
     assert os.path.exists(corpus_pipeline.__file__)
