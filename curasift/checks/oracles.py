@@ -246,6 +246,27 @@ alerts_in as (select * from alerts where {alerts_filter}),
 {select}"""
 
 
+def sloppy_sql(slop: int) -> str:
+    """QRY-4 by enumeration: places are chosen token by token, at different positions, while the
+    largest shift less the smallest stays within the slop."""
+    return f"""with recursive {fx.articles_sql()},
+{fx.alerts_sql()},
+{fx.sloppy_sql()},
+alerts_in as (select * from alerts),
+{params_cte()},
+ph as (select alert_id, alias_seq, string_split({sq.phrase_norm('keyword')}, ' ') as t, {slop} as slop from params where contains({sq.phrase_norm('keyword')}, ' ')
+  union all select phrase_id, 0, string_split({sq.phrase_norm('phrase')}, ' '), slop from sloppy),
+tok as materialized (select doc_key, unnest(t) as w, unnest(range(1, len(t) + 1)) as p from (select doc_key, {sq.tokens('content')} as t from articles
+  where file_modified_date between date '{RANGE[0]}' and date '{RANGE[1]}' and doc_id <> '' and content is not null and exclusion_flag is null)),
+chosen as (
+  select alert_id, alias_seq, t, slop, doc_key, 1 as k, p as lo, p as hi, [p] as used from ph join tok on tok.w = ph.t[1]
+  union
+  select alert_id, alias_seq, t, slop, c.doc_key, k + 1, least(lo, p - k), greatest(hi, p - k), list_append(used, p)
+  from chosen c join tok on c.doc_key = tok.doc_key and tok.w = t[k + 1]
+  where k < len(t) and not list_contains(used, p) and greatest(hi, p - k) - least(lo, p - k) <= slop)
+select distinct alert_id, alias_seq, doc_key from chosen where k = len(t)"""
+
+
 def curation_sql(alerts_filter: str = "email = 'yes'") -> str:
     sel = f"""select alert_title as query_context, keyword_list_label as keyword_counts,
   concat_ws(' | ', document_type, {short_title('title')}, shorter_sentences) as type_title_sentence,

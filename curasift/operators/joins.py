@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_BYTES = 32 << 20
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's own size estimate; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Broadcast ``df`` only when the optimizer's own size estimate is within
     the bound.  No job runs: an input of unknown or larger size keeps the plain
     join, which AQE may still convert from run-time sizes."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= max_bytes else df
+    return F.broadcast(df) if estimated_bytes(df) <= max_bytes else df

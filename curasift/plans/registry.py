@@ -1093,22 +1093,18 @@ for _mode in tm.MODES[:-1]:
 
 
 # ---------------------------------------------------------------------------
-# QRY-4: a lone phrase with slop (head token and the rest within distance N)
+# QRY-4: lone phrases with slop, over all tokens of the phrase
 # ---------------------------------------------------------------------------
 
 _SLOP = 2
+_SLOPPY = orc.sloppy_sql(_SLOP)
 
 
-@register("qry_4_sloppy_phrase", orc.alert_pipeline_sql(f"""select alert_id, alias_seq, doc_key from (
-    select p.alert_id, p.alias_seq, d.doc_key,
-      {orc.starts('d.toks', "split_part(p.ph, ' ', 1)")} as h,
-      {orc.starts('d.toks', "regexp_replace(p.ph, '^[^ ]+ ', '')")} as r
-    from (select alert_id, alias_seq, {sq.phrase_norm('keyword')} as ph from params) p, docs d
-    where contains(p.ph, ' '))
-  where len(list_filter(h, lambda a: len(list_filter(r, lambda b: abs(b - a - 1) <= {_SLOP})) > 0)) > 0""", "true"))
+@register("qry_4_sloppy_phrase", _SLOPPY)
 def q_qry_4(spark, sf):
-    p = al.expand_alerts(fx.alerts(spark))
-    p = (p.where(F.contains(tx.phrase_norm(F.col("keyword")), F.lit(" ")))
-          .select(*KEYS, F.col("keyword").alias("keyphrase1"), F.lit(None).cast("string").alias("keyphrase2"),
-                  F.lit(_SLOP).alias("keyphrase_distance")))
-    return search_hits(_docs(spark, sf).select("doc_key", "content"), p, KEYS)
+    """Every multi-word alias with slop 2, and the phrases of the fixture (two to four tokens,
+    some repeated) with their own."""
+    p = al.expand_alerts(fx.alerts(spark)).where(F.contains(tx.phrase_norm(F.col("keyword")), F.lit(" ")))
+    p = p.select(*KEYS, F.col("keyword").alias("keyphrase1"), F.lit(_SLOP).alias("keyphrase_distance")).unionByName(
+        fx.sloppy_phrases(spark).select(F.col("phrase_id").alias("alert_id"), F.lit(0).alias("alias_seq"), F.col("phrase").alias("keyphrase1"), F.col("slop").alias("keyphrase_distance")))
+    return search_hits(_docs(spark, sf).select("doc_key", "content"), p.withColumn("keyphrase2", F.lit(None).cast("string")), KEYS)

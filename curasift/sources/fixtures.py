@@ -76,6 +76,20 @@ ALERT_SCHEMA = T.StructType([
     T.StructField("filter_leeway", T.IntegerType()),
 ])
 
+#: Lone phrases with a slop of their own (QRY-4).
+SLOPPY_COLUMNS = ["phrase_id", "phrase", "slop"]
+SLOPPY_ROWS = [
+    (101, "of the", 1),
+    (102, "The road, the", 4),
+    (103, "with the and", 3),
+    (104, "the of the", 2),
+    (105, "the the", 0),
+    (106, "and the and the", 5),
+    (107, "that is on the", 6),
+    (108, "on", 3),
+]
+SLOPPY_SCHEMA = T.StructType([T.StructField("phrase_id", T.IntegerType()), T.StructField("phrase", T.StringType()), T.StructField("slop", T.IntegerType())])
+
 DICTIONARY_COLUMNS = ["alias", "entity_id", "type", "preferred_label", "skos_pref", "label", "skos_alt"]
 DICTIONARY_ROWS = [
     ("the", "company:The Co", "company_OME_txt_ss", None, None, "The Co", None),
@@ -117,6 +131,10 @@ def alerts(spark: SparkSession) -> DataFrame:
     return _local(spark, ALERT_ROWS, ALERT_SCHEMA)
 
 
+def sloppy_phrases(spark: SparkSession) -> DataFrame:
+    return _local(spark, SLOPPY_ROWS, SLOPPY_SCHEMA)
+
+
 def dictionary(spark: SparkSession) -> DataFrame:
     return _local(spark, DICTIONARY_ROWS, DICTIONARY_SCHEMA)
 
@@ -279,6 +297,10 @@ def alerts_sql() -> str:
     return values_cte("alerts", ALERT_COLUMNS, ALERT_ROWS)
 
 
+def sloppy_sql() -> str:
+    return values_cte("sloppy", SLOPPY_COLUMNS, SLOPPY_ROWS)
+
+
 def dictionary_sql() -> str:
     return values_cte("dictionary", DICTIONARY_COLUMNS, DICTIONARY_ROWS)
 
