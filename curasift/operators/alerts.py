@@ -188,27 +188,36 @@ def classify(df: DataFrame) -> DataFrame:
 # Metadata filters (JN-4..7, FLT-10/11, SET-1/2)
 # ---------------------------------------------------------------------------
 
+#: letter, alert column with the patterns, and the value column of each metadata filter.
+_FILTERS = (("j", "journal_select"), ("a", "author_select"), ("i", "institution_select"))
+
+
+def _named(items: Column, f: str, name: str) -> Column:
+    return F.transform(items, lambda x: F.struct(F.lit(f).alias("f"), x.alias(name)))
+
+
+def _metadata_values(hits: DataFrame) -> DataFrame:
+    """(alert_id, doc_key, f, value): the journal, author and institution values of each
+    PubMed hit."""
+    journal = F.array(F.coalesce("journal_title", "journal_name"))
+    values = {"j": journal, "a": F.col("authors"), "i": F.col("institutions")}
+    none = F.array().cast("array<string>")
+    listed = F.concat(*[_named(F.when(F.col(c) != "", values[f]).otherwise(none), f, "value") for f, c in _FILTERS])
+    base = hits.where(F.col("document_type").isin(cl.PUBMED_TYPES)).select("alert_id", "doc_key", "journal_title", "journal_name", "authors", "institutions", *[c for _, c in _FILTERS]).distinct()
+    return base.select("alert_id", "doc_key", F.explode(listed).alias("v")).select("alert_id", "doc_key", "v.f", "v.value").where(F.col("value").isNotNull())
+
+
+def _metadata_patterns(hits: DataFrame) -> DataFrame:
+    """(alert_id, f, pattern, filter_leeway) of the alerts that have hits."""
+    listed = F.concat(*[_named(_split_list(F.col(c)), f, "pattern") for f, c in _FILTERS])
+    base = hits.select("alert_id", "filter_leeway", *[c for _, c in _FILTERS]).distinct()
+    return base.select("alert_id", "filter_leeway", F.explode(listed).alias("p")).select("alert_id", "p.f", "p.pattern", "filter_leeway").distinct()
+
+
 def metadata_candidates(hits: DataFrame) -> DataFrame:
-    """JN-4/5/6 candidates: (alert_id, doc_key, filter_leeway, f, pattern,
-    value) -- each PubMed hit's journal / author / institution values against
-    its own alert's patterns (an explode of two short arrays, not a join)."""
-    base = hits.select("alert_id", "doc_key", "document_type", "journal_title", "journal_name",
-                       "authors", "institutions", "journal_select", "author_select",
-                       "institution_select", "filter_leeway").distinct()
-    journal = F.coalesce("journal_title", "journal_name")
-    cand = base.where(F.col("document_type").isin(cl.PUBMED_TYPES)).select(
-        "alert_id", "doc_key", "filter_leeway", "authors", "institutions",
-        F.explode(F.concat(
-            F.transform(_split_list(F.col("journal_select")),
-                        lambda p: F.struct(F.lit("j").alias("f"), p.alias("pattern"), F.array(journal).alias("vals"))),
-            F.transform(_split_list(F.col("author_select")),
-                        lambda p: F.struct(F.lit("a").alias("f"), p.alias("pattern"), F.col("authors").alias("vals"))),
-            F.transform(_split_list(F.col("institution_select")),
-                        lambda p: F.struct(F.lit("i").alias("f"), p.alias("pattern"), F.col("institutions").alias("vals"))),
-        )).alias("c"))
-    return cand.select("alert_id", "doc_key", "filter_leeway", F.col("c.f").alias("f"),
-                       F.col("c.pattern").alias("pattern"),
-                       F.explode("c.vals").alias("value")).where(F.col("value").isNotNull())
+    """All (alert_id, doc_key, filter_leeway, f, pattern, value): each PubMed hit's values
+    against its own alert's patterns."""
+    return _metadata_values(hits).join(broadcast_if_small(_metadata_patterns(hits)), ["alert_id", "f"]).select("alert_id", "doc_key", "filter_leeway", "f", "pattern", "value")
 
 
 def fuzzy_pairs(cands: DataFrame) -> DataFrame:
@@ -216,12 +225,31 @@ def fuzzy_pairs(cands: DataFrame) -> DataFrame:
     return cands.select("value", "pattern").distinct().withColumn("score", fuzzy.ratio("pattern", "value"))
 
 
+def possible_pairs(values: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(alert_id, f, value, pattern, filter_leeway): the pairs of an alert's values (alert_id, f, value) and
+    patterns (alert_id, f, pattern, filter_leeway) whose ratio can be above the leeway.  Exact:
+    both sides are blocked on the tokens of their prefixes, of which such pairs share one, then
+    lengths and common characters are compared; no other pair is scored."""
+    limits = patterns.groupBy("alert_id", "f", "filter_leeway").agg(F.lit(1).alias("_1")).drop("_1")
+    v = values.select("alert_id", "f", "value").distinct().withColumn("vt", fuzzy.character_tokens(F.col("value")))
+    v = v.join(broadcast_if_small(limits), ["alert_id", "f"])
+    v = v.withColumn("tok", F.explode(fuzzy.prefix_tokens(F.col("vt"), F.col("filter_leeway"))))
+    p = patterns.withColumn("pt", fuzzy.character_tokens(F.col("pattern")))
+    p = p.withColumn("tok", F.explode(fuzzy.prefix_tokens(F.col("pt"), F.col("filter_leeway"))))
+    both = v.join(broadcast_if_small(p), ["alert_id", "f", "filter_leeway", "tok"])
+    la, lb, leeway = F.size("pt"), F.size("vt"), F.col("filter_leeway")
+    fits = fuzzy.could_exceed(F.least(la, lb), la, lb, leeway) & fuzzy.could_exceed(F.size(F.array_intersect("pt", "vt")), la, lb, leeway)
+    return both.where(fits).select("alert_id", "f", "value", "pattern", "filter_leeway").distinct()
+
+
 def metadata_flags(hits: DataFrame) -> DataFrame:
     """JN-4/5/6: per (alert, doc) which of journal / author / institution
     filters matched (score > leeway, strict: FLT-10)."""
-    c = metadata_candidates(hits)
-    scored = c.join(fuzzy_pairs(c), ["value", "pattern"])
-    return (scored.where(F.col("score") > F.col("filter_leeway"))
+    values = _metadata_values(hits)
+    possible = possible_pairs(values, _metadata_patterns(hits))
+    matched = (possible.join(fuzzy_pairs(possible), ["value", "pattern"])
+               .where(F.col("score") > F.col("filter_leeway")).select("alert_id", "f", "value").distinct())
+    return (values.join(matched, ["alert_id", "f", "value"])
             .groupBy("alert_id", "doc_key")
             .agg(F.max((F.col("f") == "j").cast("int")).alias("j"),
                  F.max((F.col("f") == "a").cast("int")).alias("a"),
