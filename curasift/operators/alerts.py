@@ -21,7 +21,7 @@ from curasift.functions import highlight as hl
 from curasift.functions import snippets as sn
 from curasift.functions import text as tx
 from curasift.operators.joins import broadcast_if_small
-from curasift.operators.search import search_hits
+from curasift.operators.search import each_element, search_hits
 
 PARAM_COLUMNS = ["alert_id", "alias_seq", "search_type", "keyphrase1", "keyphrase2",
                  "keyphrase_distance", "keyword", "owner", "source_select", "alert_title",
@@ -233,9 +233,9 @@ def possible_pairs(values: DataFrame, patterns: DataFrame) -> DataFrame:
     limits = patterns.groupBy("alert_id", "f", "filter_leeway").agg(F.lit(1).alias("_1")).drop("_1")
     v = values.select("alert_id", "f", "value").distinct().withColumn("vt", fuzzy.character_tokens(F.col("value")))
     v = v.join(broadcast_if_small(limits), ["alert_id", "f"])
-    v = v.withColumn("tok", F.explode(fuzzy.prefix_tokens(F.col("vt"), F.col("filter_leeway"))))
+    v = each_element(v.withColumn("_t", fuzzy.prefix_tokens(F.col("vt"), F.col("filter_leeway"))), "_t", "_i", "tok").drop("_t", "_i")
     p = patterns.withColumn("pt", fuzzy.character_tokens(F.col("pattern")))
-    p = p.withColumn("tok", F.explode(fuzzy.prefix_tokens(F.col("pt"), F.col("filter_leeway"))))
+    p = each_element(p.withColumn("_t", fuzzy.prefix_tokens(F.col("pt"), F.col("filter_leeway"))), "_t", "_i", "tok").drop("_t", "_i")
     both = v.join(broadcast_if_small(p), ["alert_id", "f", "filter_leeway", "tok"])
     la, lb, leeway = F.size("pt"), F.size("vt"), F.col("filter_leeway")
     fits = fuzzy.could_exceed(F.least(la, lb), la, lb, leeway) & fuzzy.could_exceed(F.size(F.array_intersect("pt", "vt")), la, lb, leeway)

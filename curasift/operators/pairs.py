@@ -17,20 +17,24 @@ from pyspark.sql import functions as F
 
 from curasift.functions import text as tx
 from curasift.operators.joins import broadcast_if_small
+from curasift.operators.search import each_element
 from curasift.operators.tagging import longest_spans, raw_spans, tag_entities
 
 
 def sentence_entities(docs: DataFrame, dictionary: DataFrame, key: str = "doc_key",
                       text: str = "document_text", tags: DataFrame | None = None) -> DataFrame:
     """(key, sent_no, start, entity_id, kind) for target/indication keywords
-    found in the sentences of each document; ``tags`` are the documents' tags
-    where the caller has them."""
+    found in the sentences of each document that has valid tags of both kinds (no other can
+    have a pair); ``tags`` are the documents' tags where the caller has them."""
     tags = tag_entities(docs, dictionary, key, text) if tags is None else tags
     kw = (tags.where(F.col("valid") & (F.col("type").startswith("target") | F.col("type").startswith("indication")))
           .groupBy(key, "phrase")
           .agg(F.min_by(F.struct("entity_id", "type"), "entity_id").alias("e"))
           .select(key, "phrase", F.col("e.entity_id").alias("entity_id"), F.col("e.type").alias("type")))
-    sents = docs.select(key, F.posexplode(tx.text_to_sentences(F.col(text))).alias("sent_no", "sentence"))
+    # only a document with keywords of both kinds can have a pair
+    both = kw.groupBy(key).agg(F.max(F.col("type").startswith("target").cast("int")).alias("t"), F.max(F.col("type").startswith("indication").cast("int")).alias("i"))
+    docs = docs.join(both.where("t = 1 and i = 1"), key, "left_semi")
+    sents = each_element(docs.select(key, tx.text_to_sentences(F.col(text)).alias("_s")), "_s", "sent_no", "sentence").drop("_s")
     spans = raw_spans(sents, dictionary, [key, "sent_no"], "sentence").join(kw, [key, "phrase"])
     spans = longest_spans(spans, [key, "sent_no"])
     kind = F.when(F.col("type").contains("target"), "target").when(F.col("type").contains("indication"), "indication")

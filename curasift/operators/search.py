@@ -36,19 +36,26 @@ def phrase_table(phrases: DataFrame, col: str = "phrase") -> DataFrame:
     return p.select("phrase", F.split("phrase", " ").alias("ptoks"))
 
 
+def each_element(df: DataFrame, array: str, pos: str, element: str) -> DataFrame:
+    """One row per element of ``array``, which holds no nulls.  For an inner generator the
+    optimizer adds a filter on the array's size, which computes the array twice, so the outer
+    one is used and its rows for empty arrays go."""
+    return df.select("*", F.posexplode_outer(array).alias(pos, element)).where(F.col(element).isNotNull())
+
+
 def doc_tokens(docs: DataFrame, key="doc_key", text: str = "content",
                raw: bool = False) -> DataFrame:
     """(key..., pos, w[, rw]) for every token; only the key (and the token)
     is carried through the generator, never the text."""
     keys = [key] if isinstance(key, str) else list(key)
-    t = docs.select(*keys, F.posexplode(tx.raw_tokens(F.col(text))).alias("pos", "rw"))
+    t = each_element(docs.select(*keys, tx.raw_tokens(F.col(text)).alias("_t")), "_t", "pos", "rw").drop("_t")
     t = t.withColumn("w", F.lower("rw"))
     return t if raw else t.drop("rw")
 
 
 def token_frequencies(docs: DataFrame, text: str = "content") -> DataFrame:
     """(w, n): how often each token occurs in the corpus, counted map-side first."""
-    return docs.select(F.explode(tx.tokens(F.col(text))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return each_element(docs.select(tx.tokens(F.col(text)).alias("_t")), "_t", "_pos", "w").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
 def anchored(ptab: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
@@ -66,18 +73,15 @@ def anchored(ptab: DataFrame, frequencies: DataFrame | None = None) -> DataFrame
 
 def token_starts(docs: DataFrame, keys: list[str], text: str, back, longest, anchors: list[str] | None = None) -> DataFrame:
     """(key..., at, w, _g, _b): every token start, or those of ``anchors`` only, with the
-    tokens from ``back`` before it (fewer at the beginning: ``_b``) to ``longest`` from it on."""
-    toks = docs.select(*keys, tx.raw_tokens(F.col(text)).alias("_t"), F.lit(back).alias("_back") if isinstance(back, int) else back.alias("_back"),
-                       F.lit(longest).alias("_longest") if isinstance(longest, int) else longest.alias("_longest"))
-    places = F.when(F.size("_t") > 0, F.sequence(F.lit(0), F.size("_t") - 1))
+    tokens from ``back`` before it (fewer at the beginning: ``_b``) to ``longest`` from it on.
+    Starts that are no anchor end in the loop over the row's tokens; nothing is copied for them."""
+    back, longest = (F.lit(x) if isinstance(x, int) else x for x in (back, longest))
+    toks = each_element(docs.select(*keys, tx.raw_tokens(F.col(text)).alias("_t"), back.alias("_back"), longest.alias("_longest")), "_t", "at", "rw")
+    toks = toks.withColumn("w", F.lower("rw"))
     if anchors is not None:
-        toks = toks.withColumn("_places", places)
-        literal = ", ".join(f"'{w}'" for w in anchors) or "''"  # tokens are ASCII word characters
-        places = F.expr(f"filter(_places, i -> lower(_t[i]) in ({literal}))")
-    around = F.transform(places, lambda i: F.struct(
-        i.alias("at"), F.lower(F.get("_t", i)).alias("w"), F.least(i, F.col("_back")).alias("_b"),
-        F.slice("_t", F.greatest(i - F.col("_back"), F.lit(0)) + 1, F.least(i, F.col("_back")) + F.col("_longest")).alias("_g")))
-    return toks.select(*keys, F.explode(around).alias("_s")).select(*keys, "_s.*")
+        toks = toks.where(F.col("w").isin(anchors))
+    before = F.least("at", "_back")
+    return toks.select(*keys, "at", "w", before.alias("_b"), F.slice("_t", F.col("at") - before + 1, before + F.col("_longest")).alias("_g"))
 
 
 def salted(tokens: DataFrame, phrases: DataFrame, frequencies: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ from curasift.functions import text as tx
 from curasift.operators import alerts as al
 from curasift.operators import lookups
 from curasift.operators.joins import broadcast_if_small
-from curasift.operators.search import search_hits
+from curasift.operators.search import each_element, search_hits
 from curasift.plans import curation as cu
 from curasift.sources import fixtures as fx
 
@@ -254,7 +254,7 @@ _doc_q("agg_1_whole_word_count_the", lambda c: tx.count_whole_word(F.lower(c), F
 def q_txt_3(spark, sf):
     from curasift.sources.tables import read_table
     d = read_table(spark, sf, "documents")
-    return d.select("doc_id", F.posexplode(tx.split_sentences(F.col("text"), keep_tail=False)).alias("sent_no", "sentence"))
+    return each_element(d.select("doc_id", tx.split_sentences(F.col("text"), keep_tail=False).alias("_s")), "_s", "sent_no", "sentence").drop("_s")
 
 
 @register("txt_2_text_to_sentences", f"""select doc_id, generate_subscripts(s, 1) - 1 as sent_no, unnest(s) as sentence
@@ -262,7 +262,7 @@ def q_txt_3(spark, sf):
 def q_txt_2(spark, sf):
     from curasift.sources.tables import read_table
     d = read_table(spark, sf, "documents")
-    return d.select("doc_id", F.posexplode(tx.text_to_sentences(F.col("text"))).alias("sent_no", "sentence"))
+    return each_element(d.select("doc_id", tx.text_to_sentences(F.col("text")).alias("_s")), "_s", "sent_no", "sentence").drop("_s")
 
 
 # ---------------------------------------------------------------------------
