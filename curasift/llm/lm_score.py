@@ -489,7 +489,7 @@ def fit(docs: DataFrame, model_path: str = MODEL, rounds: int = ROUNDS) -> Score
     again = max(0.0, (min(1.0, LEAST_WORDS / max(1, whole.n)) * rounds - 1) / max(1, rounds - 1))
     u = lambda r: F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(r)), 11) * F.lit(2.0**-53)
     for r in range(rounds if whole.n else 0):
-        model.weights = _averaged(known.where((dealt(rounds) == r) | (u(r) < again)), model, r, 0.01 if r < rounds - 1 else 0.005)
+        model.weights = _averaged(known.where((dealt(rounds) == r) | (u(r) < again)), model, r, 0.005 if 0 < r == rounds - 1 else 0.01)
     return Scorer(model, counts, whole.n + ends, whole.v + (1 if ends else 0), ends)
 
 

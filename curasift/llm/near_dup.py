@@ -187,13 +187,27 @@ def _verified(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
     return together.mapInArrow(_compare(size, percent), "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, component (smallest node reachable) of all nodes of ``links`` (a, b)."""
+def components(links: DataFrame, rounds: list[int] | None = None) -> DataFrame:
+    """node, component (smallest node reachable) of all nodes of ``links`` (a, b).
+
+    In a round each node points to its smallest neighbour, or to itself if that is larger;
+    pointers are doubled until each points to the end of its path; then every path becomes one node.  A
+    node that keeps itself has no neighbour that does, so a round leaves half of a component's
+    nodes at most.  ``rounds``, if given, gets the number of doublings of each round."""
     edges = cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     labels = None
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("parent")))
+        doublings = 0
+        while True:
+            over = parent.select(F.col("node").alias("parent"), F.col("parent").alias("end"))
+            ends = cut_lineage(parent.join(over, "parent").select("node", F.col("end").alias("parent"), (F.col("end") != F.col("parent")).alias("moved")))
+            parent, doublings = ends.select("node", "parent"), doublings + 1
+            if ends.where("moved").isEmpty():
+                break
+        if rounds is not None:
+            rounds.append(doublings)
         if labels is None:
             labels = parent.select("node", F.col("parent").alias("component"))
         else:
@@ -230,12 +244,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     placed = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("component"))
     h = F.xxhash64("rep")
     ends = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("band").alias("band"),
-                                        F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 24)).alias("s")).where("lo < hi")
+                                        F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 40)).alias("s")).where("lo < hi")
     split = ends.groupBy("n", "x", "s").agg(F.min(F.struct("band", "bucket")).alias("m")).select("m.bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     side = F.pmod(h, F.col("blocks")).cast("int")
     open_ = placed.join(split, "bucket").withColumn("side", side).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.select("bucket", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "rep", "component", "side", "band")
-    whole = texts.join(some.join(reps, ["doc_id", "n_shingles"], "left_semi").select("doc_id", "buckets"), "doc_id").withColumnRenamed("doc_id", "rep")
+    whole = texts.join(some.join(reps, ["doc_id", "n_shingles"], "left_semi").select("doc_id", "buckets").distinct(), "doc_id").withColumnRenamed("doc_id", "rep")
     together = open_.join(whole, "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
     more = cut_lineage(together.mapInArrow(_across(size, percent), "a long, b long"))
     if not more.isEmpty():

@@ -17,7 +17,7 @@ def prose(seed: int, n: int) -> str:
 def edge_rows() -> list[tuple]:
     base = prose(1, 120)
     texts = {1: None, 2: "", 3: " \t\n ", 4: "One", 5: base, 6: base, 7: base + " tail words here", 8: prose(2, 30_000), 9: "x" * 50_000,
-             10: "a\x00b \u2581 \U0001F600 é", 11: base.upper(), 12: "idiot " + prose(3, 80), 13: "!!! ### $$$ " * 40, 14: prose(4, 20) + " " + " ".join(base.split()[10:80])}
+             10: "a\x00b \u2581 \U0001F600 é", 11: base.translate({c: c - 32 for c in range(0x61, 0x7B)}), 12: "idiot " + prose(3, 80), 13: "!!! ### $$$ " * 40, 14: prose(4, 20) + " " + " ".join(base.split()[10:80])}
     rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in texts.items()]
     rows += [(None, base, None, None, None), (None, None, None, None, None), (6, base, "en", "s", len(base)), (6, base, "en", "s", len(base))]
     return [(*r, "w", 7, "x", "y") for r in rows]

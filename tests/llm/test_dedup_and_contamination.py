@@ -116,6 +116,30 @@ def test_near_duplicate_chain_across_blocks(llm_spark, monkeypatch):
     assert {x.doc_id: x.component_id for x in near_dup.near_duplicates(docs, 1).collect()} == components(rows, 1)
 
 
+@pytest.mark.parametrize("n, shuffled", [(1000, False), (120, True)])
+def test_components_of_a_long_chain(llm_spark, n, shuffled):
+    """A chain takes a number of rounds in the logarithm of its length."""
+    import math
+    import random
+    ids = list(range(n))
+    if shuffled:
+        random.Random(1).shuffle(ids)
+    links = llm_spark.createDataFrame([*zip(ids, ids[1:], strict=False), (2000, 2001), (2001, 2000), (3000, 3000)], "a long, b long")
+    rounds = []
+    got = {r.node: r.component for r in near_dup.components(links, rounds).collect()}
+    assert got == {**dict.fromkeys(range(n), 0), 2000: 2000, 2001: 2000}
+    assert len(rounds) <= 2 * math.log2(n) and max(rounds) <= math.log2(n) + 2
+
+
+def test_near_duplicates_of_repeated_rows(llm_spark):
+    """An id that occurs very often is compared once for each of its rows, not for each pair of them."""
+    words = [f"w{i}" for i in range(100)]
+    near = [*words[:78], *(f"x{i}" for i in range(22))]
+    rows = [(1, " ".join(words))] + [(2, " ".join(near))] * 3000 + [(3, " ".join(words[:90] + near[90:]))]
+    got = near_dup.near_duplicates(llm_spark.createDataFrame(rows, "doc_id long, text string"), 1).groupBy("doc_id", "component_id").count().collect()
+    assert {(r.doc_id, r.component_id, r["count"]) for r in got} == {(i, c, n) for (i, c), n in zip(sorted(components([rows[0], rows[1], rows[-1]], 1).items()), (1, 3000, 1), strict=True)}
+
+
 def test_near_duplicates_edges(edge, nothing):
     rows = near_dup.near_duplicates(edge, 2).collect()
     assert len(rows) == edge.count()

@@ -55,6 +55,17 @@ def test_quality_rules(llm_spark, documents, labels, edge, nothing):
     assert quality_rules.judge(edge, []).where("kept = base_failed").count() == 0
 
 
+def test_quality_rules_filtered(llm_spark):
+    """A filter on the result computes no statistic twice, whatever a text's length."""
+    from llm_fixtures import prose
+    docs = llm_spark.createDataFrame([(1, prose(2, 30_000)), (2, "too few words"), (3, None)], "doc_id long, text string")
+    rules = [(quality_rules.Condition("repeat_share", True, 0.4), quality_rules.Condition("mean_word", False, 3.0)), (quality_rules.Condition("symbol_share", True, 0.2),)]
+    kept = quality_rules.judge(docs, rules).where("kept and n_words > 10")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array") <= quality_rules.judge(docs, rules)._jdf.queryExecution().optimizedPlan().toString().count("sort_array") <= 4
+    assert {r.doc_id for r in kept.collect()} <= {1} and quality_rules.judge(docs, rules).where("not kept").count() >= 2
+
+
 def test_lm_gradient():
     r = np.random.default_rng(0)
     flat = r.standard_normal(lm_score._SIZE) * 0.3
