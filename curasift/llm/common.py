@@ -7,6 +7,7 @@ character classes agree."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -56,8 +57,20 @@ def powers(which: int, n: int) -> np.ndarray:
     return have
 
 
+def release_memory() -> None:
+    """Give what this worker has freed back to the machine: workers are reused, and the next
+    task or stage may be another operator's."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in slices of at most ``max_bytes`` of text (one row at least)."""
+    release_memory()
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
         ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -67,6 +80,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int
             stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release_memory()
 
 
 @dataclass

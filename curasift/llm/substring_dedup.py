@@ -38,7 +38,7 @@ from curasift.llm.common import SPACES, column, inside_windows, mix, rolling, sa
 CELLS = 1 << 26
 SLICE_CELLS = 1 << 20
 #: Entries held in a task before they are sent on.
-FLUSH = 4_000_000
+FLUSH = 1_000_000
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
