@@ -199,33 +199,36 @@ def _slots(params: DataFrame, search_keys: list[str]) -> DataFrame:
         *search_keys, "keyphrase_distance", "later", "slot", "_s.phrase", "_s.shift")
 
 
-def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_key",
-               text: str = "content", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """QRY-6 / TOP-5: BM25 score of every matching document for every query
-    (query terms = distinct tokens of ``query``), top ``k`` per ``query_id``
-    by score desc, key asc.  Document frequencies and lengths come from the
-    whole ``docs`` table.
+def bm25_ranked(tf: DataFrame, stats: DataFrame, q: DataFrame, k: int, key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, key, score, rank <= ``k`` from the term counts ``tf`` (w, key, dl, tf) of the
+    queries' terms ``q`` (query_id, w) and the one-row ``stats`` (N, avgdl).
 
     The per-query cut is a window-group limit (rank <= k): Spark evaluates it
     with a partial top-k before the shuffle, so no query's group is collected
     whole."""
-    q = queries.select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("query")))).alias("w"))
-    qb = broadcast_if_small(q)
-    dl = docs.select(key, F.size(tx.tokens(F.col(text))).alias("dl"))
-    stats = dl.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
-    terms = broadcast_if_small(q.select("w").distinct())
-    tf = (doc_tokens(docs, key, text).join(terms, "w")
-          .groupBy(key, "w").agg(F.count(F.lit(1)).alias("tf")))
     df_ = tf.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     one = F.lit(1).alias("_one")
-    s = (tf.join(df_, "w").join(dl, key).select("*", one)
+    s = (tf.join(df_, "w").select("*", one)
          .join(F.broadcast(stats.select("*", one)), "_one")  # one-row corpus stats
          .withColumn("idf", F.log(F.lit(1.0) + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
          .withColumn("part", F.col("idf") * F.col("tf") * (k1 + 1)
                      / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))))
     # scores are rounded to 6 decimals before ranking so that equal scores
     # tie-break on the key whatever the order of the floating-point sum
-    scored = (s.join(qb, "w").groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score")))
+    scored = (s.join(broadcast_if_small(q), "w").groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score")))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
+
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_key",
+               text: str = "content", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """QRY-6 / TOP-5: BM25 score of every matching document for every query
+    (query terms = distinct tokens of ``query``), top ``k`` per ``query_id``
+    by score desc, key asc.  Document frequencies and lengths come from the
+    whole ``docs`` table.  For many searches over one corpus see ``postings``."""
+    q = queries.select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("query")))).alias("w"))
+    lists = docs.select(key, tx.tokens(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
+    stats = lists.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
+    tf = (each_element(lists, "_t", "_pos", "w").join(broadcast_if_small(q.select("w").distinct()), "w")
+          .groupBy(key, "dl", "w").agg(F.count(F.lit(1)).alias("tf")))
+    return bm25_ranked(tf, stats, q, k, key, k1, b)

@@ -14,10 +14,13 @@ from curasift.functions import classify as cl
 from curasift.functions import text as tx
 from curasift.operators import alerts as al
 from curasift.operators import lookups
+from curasift.operators import postings as po
 from curasift.operators.joins import broadcast_if_small
 from curasift.operators.search import each_element, search_hits
 from curasift.plans import curation as cu
+from curasift.sources import article_store as ar
 from curasift.sources import fixtures as fx
+from curasift.sources import known_store as ks
 
 FROM, TO = orc.RANGE
 KEYS = ["alert_id", "alias_seq"]
@@ -346,8 +349,22 @@ def q_fmt_1(spark, sf):
     """select file_modified_date, count(*) as n from articles
        where file_modified_date between date '2024-01-05' and date '2024-01-12' group by all"""))
 def q_flt_1(spark, sf):
-    a = _arts(spark, sf).where(al.in_date_range(F.col("file_modified_date"), "2024-01-05", "2024-01-12"))
-    return a.groupBy("file_modified_date").agg(F.count(F.lit(1)).alias("n"))
+    """Over the article store: only the folders of the range's days are read."""
+    path = _sink_path(spark, "articles")
+    ar.write_articles(_arts(spark, sf), path)
+    return ar.read_articles(spark, path, "2024-01-05", "2024-01-12").groupBy("file_modified_date").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("src_1_article_store", orc.articles_query(
+    """select doc_id, doc_key, file_modified_date, pub_date, journal_title, authors, institutions, topic_class, length(content) as n_chars
+       from articles where file_modified_date in (date '2024-01-03', date '2024-01-20')"""))
+def q_src_1_store(spark, sf):
+    """Two days, given as a table, of the article store kept as ORC."""
+    path = _sink_path(spark, "articles-orc")
+    ar.write_articles(_arts(spark, sf), path, "orc")
+    days = spark.sql("select explode(array(date '2024-01-03', date '2024-01-20')) as date")
+    a = ar.articles_of_days(spark, path, days, "orc")
+    return a.select("doc_id", "doc_key", "file_modified_date", "pub_date", "journal_title", "authors", "institutions", "topic_class", F.length("content").alias("n_chars"))
 
 
 @register("dat_1_lookback_window", orc.articles_query(
@@ -907,6 +924,16 @@ def q_qry_6(spark, sf):
     return r.select("query_id", "doc_key", "score", "rank")
 
 
+@register("qry_6_postings_top_k", _BM25_SQL)
+def q_qry_6_postings(spark, sf):
+    """As ``qry_6_bm25_top_k``, from a postings table of all documents."""
+    path = _sink_path(spark, "postings")
+    po.write_postings(_docs(spark, sf).select("doc_key", "content"), path)
+    p = al.expand_alerts(fx.alerts(spark))
+    qs = p.select((F.col("alert_id") * 100 + F.col("alias_seq")).alias("query_id"), F.concat_ws(" ", "keyphrase1", "keyphrase2").alias("query"))
+    return po.search_postings(spark, path, qs, 20).select("query_id", "doc_key", "score", "rank")
+
+
 # ---------------------------------------------------------------------------
 # Messages (MSG-1..3)
 # ---------------------------------------------------------------------------
@@ -984,6 +1011,27 @@ def q_snk_3(spark, sf):
         F.sum(occ("<tr>")).cast("long").alias("n_rows"), F.sum(occ("<table ")).cast("int").alias("n_tables"))
 
 
+_HALF = ("2024-01-15", "2024-01-16")  # the last day of the first period, the first of the second
+
+
+@register("src_6_new_pairs_of_two_periods", orc.tags_query(
+    f"""select 1 as version, doc_key, moa, indication from p1 where moa in (select moa from known_pairs) and (moa, indication) not in (select moa, indication from known_pairs)
+    union all select 2, doc_key, moa, indication from p2 where moa in (select moa from known2) and (moa, indication) not in (select moa, indication from known2)""",
+    _DAYS, extra=orc.pairs_extra() + f""",
+    p1 as (select distinct doc_key, moa, indication from spairs join tdocs using (doc_key) where date <= date '{_HALF[0]}'),
+    p2 as (select distinct doc_key, moa, indication from spairs join tdocs using (doc_key) where date >= date '{_HALF[1]}'),
+    known2 as (select moa, indication from known_pairs union select moa, indication from p1)"""))
+def q_src_6(spark, sf):
+    """Two periods in turn over the stored dictionary and the stored known pairs: the first one's
+    pairs are known in the second."""
+    path = _sink_path(spark, "known")
+    ks.write_dictionary(fx.dictionary(spark), f"{path}/dictionary")
+    ks.write_known_pairs(fx.known_pairs(spark), f"{path}/pairs")
+    found = [st.learn_pairs(spark, _arts(spark, sf), ks.read_dictionary(spark, f"{path}/dictionary"), f"{path}/pairs", v, a, b).withColumn("version", F.lit(v))
+             for v, (a, b) in enumerate(((FROM, _HALF[0]), (_HALF[1], TO)), 1)]
+    return found[0].unionByName(found[1]).select("version", "doc_key", "moa", "indication")
+
+
 # ---------------------------------------------------------------------------
 # Streaming variant (extension): watermarked daily source counts
 # ---------------------------------------------------------------------------

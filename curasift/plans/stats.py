@@ -3,7 +3,7 @@ in one plan (the reference ran one day per call)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curasift.functions import classify as cl
@@ -12,6 +12,7 @@ from curasift.operators import alerts as al
 from curasift.operators import pairs as pr
 from curasift.operators.tagging import tag_entities
 from curasift.session import cut_lineage
+from curasift.sources import known_store as ks
 
 LINK_FROM, LINK_TO = "alert_document", "curate_alert_document"
 
@@ -104,7 +105,27 @@ def daily_stats(days: DataFrame, articles: DataFrame, dictionary: DataFrame, kno
 
 
 def write_daily_stats(days: DataFrame, articles: DataFrame, dictionary: DataFrame, known: DataFrame, path: str) -> None:
-    """SNK-2: the statistics as JSON lines, partitioned by date."""
-    out = daily_stats(days, articles, dictionary, known)
-    out.withColumn("date_key", F.col("date").cast("string")).drop("date").write.mode("overwrite") \
-       .partitionBy("date_key").json(path)
+    """SNK-2: the statistics as JSON lines in one folder per date.  The dates written are
+    replaced, all others stay as they are; a date without a document has no statistics, and
+    none are written for it."""
+    out = daily_stats(days, articles, dictionary, known).withColumn("date_key", F.col("date").cast("string")).drop("date")
+    order = ["date_key", "key", "name", "path"]
+    (out.repartitionByRange(*order).sortWithinPartitions(*order)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_key").json(path))
+
+
+def period_pairs(articles: DataFrame, dictionary: DataFrame, from_date, to_date) -> DataFrame:
+    """JN-8 of a period's documents: (doc_key, sent_no, moa, indication), materialized."""
+    texts = with_texts(day_documents(articles, from_date, to_date), articles)
+    return cut_lineage(pr.sentence_pairs(pr.sentence_entities(texts, dictionary, tags=cut_lineage(day_tags(texts, dictionary)))))
+
+
+def learn_pairs(spark: SparkSession, articles: DataFrame, dictionary: DataFrame, store: str, version: int, from_date, to_date) -> DataFrame:
+    """SRC-6 over time: the new pairs of a period against the known pairs before ``version``
+    (doc_key, moa, indication); the period's pairs, those of new targets too, then
+    become known as ``version``."""
+    found = period_pairs(articles, dictionary, from_date, to_date)
+    known = ks.read_known_pairs(spark, store, version - 1)
+    fresh = cut_lineage(pr.new_pairs(found, known))
+    ks.merge_known_pairs(spark, store, found, version)
+    return fresh
