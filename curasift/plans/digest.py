@@ -1,10 +1,12 @@
 """HTML digest of alert results (AGG-13/14, FMT-3/4, TOP-4/6/7, SNK-3).
 
-The digest stays a DataFrame of rows -- one HTML table row per result, with
+A digest has a summary table (keyword, type and title of each result) and a document
+table (with snippet and entities as well); the internal ones add relevance, topic class and
+feedback links.  It stays a DataFrame of rows -- one HTML row for either table per result, with
 its section rank and order -- never one string per alert held in a single
 row: an alert can match a large share of the corpus.  The sink writes each
-alert's rows in order (range-partitioned by alert, sorted within), framed by
-the table head and tail.
+alert's two tables in order (range-partitioned by alert and order, sorted within), framed by
+the page's and the tables' heads and tails.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from curasift.functions import classify as cl
 from curasift.functions import text as tx
+from curasift.session import cut_lineage
 
 # ---------------------------------------------------------------------------
 # Cell styles of the digest table.
@@ -26,10 +29,23 @@ ENTITY_SPAN = ('<span style="background-color: rgb(', '); padding:0px; margin:0p
                'border-radius: 0.25em; border: 1px solid; border-color: rgb(', ');">', '</span>  ')
 GREEN, RED = "rgb(51, 204, 51)", "rgb(230, 46, 0)"
 TD_FLAG = '<td style="border-right:1px solid #000000;border-bottom:1px solid #000000;max-width:300px'
-TABLE_HEAD = ('<table style="border:2px solid #000000"><thead><th style="border-bottom:2px solid #000000;'
-              'max-width:150px">Keyword (count)</th><th style="border-bottom:2px solid #000000;max-width:400px">'
-              'Document Type | Title | Tagged Sentence</th></thead><tbody>')
+TD_FLAG_SUMMARY = '<td style="border-right:1px solid #000000;border-bottom:1px solid #000000;max-width:150px'
+TD_CORRECT = ('<td style="border-bottom:1px solid #000000; border-right: 1px solid #000000; border-left: 1px solid #000000; '
+              'max-width:150px"><a href =')
+TD_WRONG = '<td style="border-bottom:1px solid #000000;max-width:150px"><a href ='
+TABLE = '<table style="border:2px solid #000000">'
+TABLE_SUMMARY = '<table style="border:2px solid #000000;border-collapse:collapse;">'
+HEAD_KEYWORD = ('<thead><th style="border-bottom:2px solid #000000;max-width:150px">Keyword (count)</th>'
+                '<th style="border-bottom:2px solid #000000;max-width:400px">')
+HEAD_DOCUMENTS, HEAD_SUMMARY = "Document Type | Title | Tagged Sentence</th></thead>", "Document Type | Title </th></thead>"
+HEAD_RELEVANT = '<thead><th style="border-bottom:2px solid #000000;max-width:400px">Relevant? - IM</th></thead>'
+HEAD_RELEVANT_SUMMARY = '<thead><th style="border-bottom:2px solid #000000;max-width:500px">Relevant? - IM</th></thead>'
+HEAD_TOPIC = '<thead><th style="border-bottom:2px solid #000000;max-width:400px">LDA Class - YMR</th></thead>'
+HEAD_FEEDBACK = ('<thead><th style="border-bottom:2px solid #000000;max-width:150px">Correct?</th>'
+                 '<th style="border-bottom:2px solid #000000;max-width:400px">Wrong? </th></thead>')
 TABLE_TAIL = "</tbody></table>"
+PAGE_HEAD = ("<html><head></head><body><h4>Summary (", " results)</h4>")
+PAGE_MIDDLE, PAGE_TAIL = "<br><br><h4>Documents</h4>", "</body></html>"
 TEXT_CAP = 1000   # TOP-6
 TOP_ENTITIES = 5  # TOP-4
 # ---------------------------------------------------------------------------
@@ -52,15 +68,46 @@ def entity_spans(parsed: DataFrame, key: str = "doc_key") -> DataFrame:
             .select(key, F.array_join(F.transform("_s", lambda x: x["s"]), "").alias("entity_spans")))
 
 
+def table_heads(internal: bool = False) -> tuple[str, str]:
+    """The heads of the summary table and of the document table."""
+    if not internal:
+        return TABLE_SUMMARY + HEAD_KEYWORD + HEAD_SUMMARY + "<tbody>", TABLE + HEAD_KEYWORD + HEAD_DOCUMENTS + "<tbody>"
+    return (TABLE_SUMMARY + HEAD_RELEVANT_SUMMARY + HEAD_TOPIC + HEAD_KEYWORD + HEAD_SUMMARY + HEAD_FEEDBACK + "<tbody>",
+            TABLE + HEAD_RELEVANT + HEAD_TOPIC + HEAD_KEYWORD + HEAD_DOCUMENTS + HEAD_FEEDBACK + "<tbody>")
+
+
+def _marked(td: str, colour: str | None, text: Column) -> Column:
+    return F.concat(F.lit(td + (f";background-color: {colour}" if colour else "") + '"><b>'), text, F.lit("</b></td>"))
+
+
+def _flag(summary: bool) -> Column:
+    """The relevance cell."""
+    rel = F.col("relevant_check")
+    return (F.when(rel.contains("Relevant"), _marked(TD_FLAG_SUMMARY if summary else TD_FLAG, GREEN, rel))
+            .when(rel.contains("NR"), _marked(TD_FLAG, RED, rel)).otherwise(F.lit(TD_FLAG + ('"> </td>' if summary else '">  </td>'))))
+
+
+def _topic() -> Column:
+    """The topic class cell."""
+    lda = F.col("topic_class")
+    return (F.when(lda == "relevant", _marked(TD_FLAG, GREEN, lda)).when(lda == "not relevant", _marked(TD_FLAG, RED, lda))
+            .when(lda.isin("None", "Not Evaluated", ""), _marked(TD_FLAG, None, F.lit(" "))).otherwise(_marked(TD_FLAG, None, lda)))
+
+
+def _button(td: str, link: str, label: str) -> Column:
+    return F.concat(F.lit(td), F.col(link), F.lit(">"), F.when(F.col(link) != "", F.lit(label)).otherwise(F.lit("")), F.lit("</a></td>"))
+
+
 def digest_rows(results: DataFrame, user: str, internal: bool = False) -> DataFrame:
-    """FMT-3 (internal=False) / FMT-4 (True): one HTML row per alert result.
+    """FMT-3 (internal=False) / FMT-4 (True): the HTML rows of each alert result.
 
     ``results``: alert_id, doc_id, alias_seq, doc_key, keyword, keyword_count,
     document_type, title, path, shorter_sentences, entity_spans (nullable);
     internal also relevant_check, topic_class, correct_link, wrong_link.
     Output: alert_id, doc_id, the ordering key (section = TOP-7 rank,
     sec_alias / sec_doc = first appearance of the section, alias_seq,
-    doc_key), is_last (last row of its section: heavier rule), html.
+    doc_key), is_last (last row of its section: heavier rule), html (row of the document
+    table), summary_html (row of the summary table).
 
     No window over an alert: section bounds come from a small per
     (alert, type) aggregate (size-checked broadcast), and the order is a sort
@@ -80,24 +127,15 @@ def digest_rows(results: DataFrame, user: str, internal: bool = False) -> DataFr
     td_body = F.when(heavier, F.lit(TD_BODY_LAST)).otherwise(F.lit(TD_BODY))
     cells = [td_kw, F.col("keyword"), F.lit(" ("), F.col("keyword_count").cast("string"), F.lit(")</td>"),
              td_body, F.lit("<b>"), tx.display_type(F.col("document_type")), F.lit('</b> | <a href="'), link,
-             F.lit('">'), title, F.lit("</a><br><br>"), F.left(F.col("shorter_sentences"), F.lit(TEXT_CAP)),
-             F.lit("<br><br>"), F.coalesce(F.col("entity_spans"), F.lit(""))]
-    if internal:
-        rel = F.col("relevant_check")
-        flag = (F.when(rel.contains("Relevant"), F.concat(F.lit(TD_FLAG + ";background-color: " + GREEN + '"><b>'), rel, F.lit("</b></td>")))
-                .when(rel.contains("NR"), F.concat(F.lit(TD_FLAG + ";background-color: " + RED + '"><b>'), rel, F.lit("</b></td>")))
-                .otherwise(F.lit(TD_FLAG + '">  </td>')))
-        lda = F.col("topic_class")
-        lda_td = (F.when(lda == "relevant", F.concat(F.lit(TD_FLAG + ";background-color: " + GREEN + '"><b>'), lda, F.lit("</b></td>")))
-                  .when(lda == "not relevant", F.concat(F.lit(TD_FLAG + ";background-color: " + RED + '"><b>'), lda, F.lit("</b></td>")))
-                  .when(lda.isin("None", "Not Evaluated", ""), F.lit(TD_FLAG + '"><b> </b></td>'))
-                  .otherwise(F.concat(F.lit(TD_FLAG + '"><b>'), lda, F.lit("</b></td>"))))
-        btn = lambda c, label: F.concat(F.lit("<td><a href ="), F.col(c), F.lit(">"),
-                                        F.when(F.col(c) != "", F.lit(label)).otherwise(F.lit("")), F.lit("</a></td>"))
-        cells = [flag, lda_td] + cells + [btn("correct_link", "Correct"), btn("wrong_link", "Wrong")]
-    html = F.concat(F.lit("<tr>"), *cells, F.lit("</td></tr>"))
+             F.lit('">'), title, F.lit("</a>")]
+    more = [F.lit("<br><br>"), F.left(F.col("shorter_sentences"), F.lit(TEXT_CAP)), F.lit("<br><br>"), F.coalesce(F.col("entity_spans"), F.lit(""))]
+    feedback = [_button(TD_CORRECT, "correct_link", "Correct"), _button(TD_WRONG, "wrong_link", "Wrong")] if internal else []
+
+    def row(summary: bool) -> Column:
+        flags = [_flag(summary), _topic()] if internal else []
+        return F.concat(F.lit("<tr>"), *flags, *cells, *([] if summary else more), *feedback, F.lit("</td></tr>"))
     return r.select("alert_id", "doc_id", "section", "sec_alias", "sec_doc", "alias_seq", "doc_key", "is_last",
-                    html.alias("html"))
+                    row(False).alias("html"), row(True).alias("summary_html"))
 
 
 def section_counts(results: DataFrame) -> DataFrame:
@@ -115,21 +153,23 @@ def result_counts(results: DataFrame) -> DataFrame:
 ORDER_KEY = ["section", "sec_alias", "sec_doc", "alias_seq", "doc_key"]
 
 
-def write_digest(rows: DataFrame, path: str) -> None:
-    """SNK-3: per alert, the table head, the rows in digest order, the tail.
-    Rows are range-partitioned on (alert, order key) and sorted within
+def write_digest(rows: DataFrame, path: str, internal: bool = False) -> None:
+    """SNK-3: per alert the page with its number of results, the summary table and the document
+    table, each with its rows in digest order; a line per row (line breaks in titles become spaces).
+    Rows are range-partitioned on (alert, table, order key) and sorted within
     partitions: a large alert spans several ordered part files instead of one
     task, and no alert's digest is assembled in one row or on the driver."""
-    alerts = rows.select("alert_id").distinct()
-    frame = lambda sec, html: alerts.select("alert_id", F.lit(sec).alias("section"),
-                                            *[F.lit(0).cast("long").alias(c) for c in ORDER_KEY[1:]],
-                                            F.lit(html).alias("html"))
-    body = rows.select("alert_id", *ORDER_KEY, "html")
-    out = frame(-1, TABLE_HEAD).unionByName(body.withColumn("section", F.col("section").cast("int")), allowMissingColumns=True) \
-        .unionByName(frame(10 ** 6, TABLE_TAIL))
-    keys = ["alert", *ORDER_KEY]
+    rows = cut_lineage(rows.select("alert_id", *ORDER_KEY, "html", "summary_html"))  # read for counts, ranges and rows
+    summary, documents = table_heads(internal)
+    part = lambda n, html: F.struct(F.lit(n).alias("part"), html.alias("html"))
+    frames = rows.groupBy("alert_id").agg(F.count(F.lit(1)).cast("string").alias("n")).select(
+        "alert_id", F.lit(0).alias("section"), *[F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in ORDER_KEY[1:]],
+        F.explode(F.array(part(0, F.concat(F.lit(PAGE_HEAD[0]), F.col("n"), F.lit(PAGE_HEAD[1] + summary))),
+                          part(2, F.lit(TABLE_TAIL + PAGE_MIDDLE + documents)), part(4, F.lit(TABLE_TAIL + PAGE_TAIL)))).alias("p"))
+    body = rows.select("alert_id", F.col("section").cast("int").alias("section"), *ORDER_KEY[1:], F.explode(F.array(part(1, F.col("summary_html")), part(3, F.col("html")))).alias("p"))
+    keys = ["alert", "part", *ORDER_KEY]
     # sort on the partition column itself so the writer keeps the row order
-    (out.withColumn("alert", F.col("alert_id").cast("string"))
+    (frames.unionByName(body).select(F.col("alert_id").cast("string").alias("alert"), "p.part", *ORDER_KEY, F.regexp_replace("p.html", "[\r\n]+", " ").alias("html"))
         .repartitionByRange(*keys).sortWithinPartitions(*keys)
         .select("alert", "html")
         .write.mode("overwrite").partitionBy("alert").text(path))

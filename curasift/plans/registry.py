@@ -842,17 +842,64 @@ def q_agg_14(spark, sf):
     return dg.result_counts(_results(spark, sf))
 
 
-@register("fmt_3_digest_rows", None)
+_SPAN_SQL = (f"'{dg.ENTITY_SPAN[0]}' || {_fill_sql('type', cl.TYPE_FILL)} || '{dg.ENTITY_SPAN[1]}' || {_fill_sql('type', cl.TYPE_BORDER)} || "
+             f"'{dg.ENTITY_SPAN[2]}' || tag || ' : ' || len(match_texts) || '{dg.ENTITY_SPAN[3]}'")
+_TOP5_SQL = f"""select doc_key, string_agg({_SPAN_SQL}, '' order by rank) as entity_spans from (
+  select *, row_number() over (partition by doc_key order by len(match_texts) desc, first) as rank from parsed) where rank <= {dg.TOP_ENTITIES} group by doc_key"""
+
+
+def _digest_sql(select: str, internal: bool = False) -> str:
+    """The digest's rows in SQL: ``select`` reads them from ``digest``."""
+    bold = lambda colour, text: f"""'{dg.TD_FLAG}{f";background-color: {colour}" if colour else ""}"><b>' || {text} || '</b></td>'"""
+
+    def flag(wide: str, gap: str) -> str:
+        return f"""case when contains(relevant_check, 'Relevant') then '{wide};background-color: {dg.GREEN}"><b>' || relevant_check || '</b></td>'
+      when contains(relevant_check, 'NR') then {bold(dg.RED, 'relevant_check')} else '{dg.TD_FLAG}">{gap}</td>' end"""
+    topic = f"""case when topic = 'relevant' then {bold(dg.GREEN, 'topic')} when topic = 'not relevant' then {bold(dg.RED, 'topic')}
+      when topic in ('None', 'Not Evaluated', '') then {bold(None, "' '")} else {bold(None, 'topic')} end"""
+    last = "false" if internal else "is_last"
+    cell = lambda heavy, light: f"case when {last} then '{heavy}' else '{light}' end"
+    cells = f"""{cell(dg.TD_KEYWORD_LAST, dg.TD_KEYWORD)} || kw || ' (' || keyword_count || ')</td>' || {cell(dg.TD_BODY_LAST, dg.TD_BODY)} || '<b>' || {sq.display_type('document_type')}
+      || '</b> | <a href="' || {orc.curation_link(orc.redirect_path('doc_id'), "'ana.lee'")} || '">' || {sq.sanitize_title('title')} || '</a>'"""
+    more = f"'<br><br>' || left(shorter_sentences, {dg.TEXT_CAP}) || '<br><br>' || coalesce(entity_spans, '')"
+    button = lambda td, link, label: f"'{td}' || {link} || '>' || case when {link} <> '' then '{label}' else '' end || '</a></td>'"
+    feedback = f" || {button(dg.TD_CORRECT, 'correct_link', 'Correct')} || {button(dg.TD_WRONG, 'wrong_link', 'Wrong')}" if internal else ""
+    head = lambda wide, gap: f"{flag(wide, gap)} || {topic} || " if internal else ""
+    annotate = lambda kind: f"case when sc.id is not null then '{cu.ANNOTATE_BASE}/' || {orc.owner_name('k.owner')} || '/' || sc.id || '/{kind}' else '' end"
+    scored = f""", case when sc.score is null then 'No Eval' when sc.score > 0.5 then 'Relevant (' || printf('%.1f', round_even(100 * sc.score, 0)) || '%)'
+      else 'NR (' || printf('%.1f', round_even(100 * sc.score, 0)) || '%)' end as relevant_check, {annotate('correct')} as correct_link, {annotate('wrong')} as wrong_link""" if internal else ""
+    return orc.alert_pipeline_sql(select, extra=f""",
+{fx.dictionary_sql()},
+{fx.scores_sql()},
+kept as materialized (select * from {_MERGED_KEPT}),
+tdocs as materialized (select distinct doc_key, document_text from kept),
+{orc.ents_cte()},
+{orc.spans_ctes('tdocs', ['doc_key'], 'document_text', 'd')},
+tags as materialized (select l.doc_key, l.start, l."end", l.match_text, l.phrase, e.entity_id, e.type, e.label, {orc.valid_expr('l.match_text', 'e.type')} as valid
+  from d_long l join rel_ents e using (phrase)),{_LISTS_SQL},
+spans5 as ({_TOP5_SQL}),
+joined as (select k.*, entity_spans, coalesce(k.topic_class, 'Not Evaluated') as topic, coalesce({_RANK_SQL}, 99) as section,
+    min({{'a': alias_seq, 'd': k.doc_key}}) over s as f, max({{'a': alias_seq, 'd': k.doc_key}}) over s = {{'a': alias_seq, 'd': k.doc_key}} as is_last{scored}
+  from kept k left join spans5 using (doc_key) left join scores sc on sc.doc_key = k.doc_key window s as (partition by alert_id, document_type)),
+digest as (select alert_id, doc_id, section, f.a as sec_alias, f.d as sec_doc, alias_seq, doc_key, is_last,
+    '<tr>' || {head(dg.TD_FLAG, '  ')}{cells} || {more}{feedback} || '</td></tr>' as html,
+    '<tr>' || {head(dg.TD_FLAG_SUMMARY, ' ')}{cells}{feedback} || '</td></tr>' as summary_html from joined)""")
+
+
+_DIGEST_ROWS = "select alert_id, doc_id, section, sec_alias, sec_doc, alias_seq, doc_key, is_last, html, summary_html from digest"
+
+
+@register("fmt_3_digest_rows", _digest_sql(_DIGEST_ROWS))
 def q_fmt_3(spark, sf):
     return dg.digest_rows(_digest_input(spark, sf), "ana.lee")
 
 
-@register("fmt_4_digest_rows_internal", None)
+@register("fmt_4_digest_rows_internal", _digest_sql(_DIGEST_ROWS, True))
 def q_fmt_4(spark, sf):
     return dg.digest_rows(_digest_input(spark, sf, True), "ana.lee", internal=True)
 
 
-@register("top_4_top5_entity_spans", None)
+@register("top_4_top5_entity_spans", orc.tags_query(_TOP5_SQL, extra="," + _LISTS_SQL))
 def q_top_4(spark, sf):
     d = _tag_docs(spark, sf)
     return dg.entity_spans(tg.parse_tag_lists(tg.tag_lists(tg.tag_entities(d, fx.dictionary(spark)))))
@@ -1000,15 +1047,32 @@ def q_snk_2(spark, sf):
     return back.select("date_key", "key", "name", "path", "n")
 
 
-@register("snk_3_digest_text", orc.alert_pipeline_sql(
-    f"select alert_id as alert, count(*) as n_rows, 1 as n_tables from {_MERGED_KEPT} group by all"))
-def q_snk_3(spark, sf):
+def _pages_sql(internal: bool) -> str:
+    """Lines of all alerts' pages: their number, their characters, and a sum over their MD5."""
+    summary, documents = dg.table_heads(internal)
+    return f"""select alert_id as alert, count(*) as n_lines, sum(length(line))::bigint as n_chars, sum(('0x' || left(md5(line), 8))::bigint)::bigint as content from (
+  select alert_id, regexp_replace(unnest([html, summary_html]), '[\r\n]+', ' ', 'g') as line from digest
+  union all select alert_id, unnest(['{dg.PAGE_HEAD[0]}' || count(*) || '{dg.PAGE_HEAD[1]}{summary}', '{dg.TABLE_TAIL}{dg.PAGE_MIDDLE}{documents}', '{dg.TABLE_TAIL}{dg.PAGE_TAIL}'])
+    from digest group by alert_id) group by alert_id"""
+
+
+def _pages(spark, rows, internal):
     path = _sink_path(spark, "digest")
-    dg.write_digest(dg.digest_rows(_digest_input(spark, sf), "ana.lee"), path)
+    dg.write_digest(rows, path, internal)
     back = spark.read.text(path)
-    occ = lambda s: F.size(F.split(F.col("value"), s, -1)) - 1
     return back.groupBy(F.col("alert").cast("int").alias("alert")).agg(
-        F.sum(occ("<tr>")).cast("long").alias("n_rows"), F.sum(occ("<table ")).cast("int").alias("n_tables"))
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("value")).alias("n_chars"),
+        F.sum(F.conv(F.left(F.md5("value"), F.lit(8)), 16, 10).cast("long")).alias("content"))
+
+
+@register("snk_3_digest_text", _digest_sql(_pages_sql(False)))
+def q_snk_3(spark, sf):
+    return _pages(spark, q_fmt_3(spark, sf), False)
+
+
+@register("snk_3_digest_text_internal", _digest_sql(_pages_sql(True), True))
+def q_snk_3_internal(spark, sf):
+    return _pages(spark, q_fmt_4(spark, sf), True)
 
 
 _HALF = ("2024-01-15", "2024-01-16")  # the last day of the first period, the first of the second
