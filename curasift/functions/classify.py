@@ -191,10 +191,11 @@ def redirect_path(doc_id, base: str) -> Column:
     return F.concat(F.lit(base), p)
 
 
-def curation_link(path, user) -> Column:
-    """PRJ-5: spaces escaped, user substituted, curation view."""
+def curation_link(path, user, shown: str = "alert_document", curated: str = "curate_alert_document_v2") -> Column:
+    """PRJ-5: spaces escaped, user substituted, the path word of the document view replaced by
+    that of the curation view."""
     p = F.replace(_col(path), F.lit(" "), F.lit("%20"))
-    p = F.replace(p, F.lit("alert_document"), F.lit("curate_alert_document_v2"))
+    p = F.replace(p, F.lit(shown), F.lit(curated))
     return F.replace(p, F.lit("<user_name>"), _col(user))
 
 
