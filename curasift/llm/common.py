@@ -17,7 +17,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from curasift.session import cut_lineage  # noqa: F401  (checkpoint in the session's shared folder)
 
@@ -184,6 +185,19 @@ def same_columns(docs: DataFrame, frame: DataFrame) -> DataFrame:
     return frame.select(*[f"`{c}`" for c in docs.columns])
 
 
+def boxed(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and all others as one struct ``row``, so that no column of a
+    user can clash with an operator's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in keep]
+    return docs.select(*keep, F.struct(*rest or [F.lit(1)]).alias("row"))
+
+
+def unboxed(docs: DataFrame, frame: DataFrame, *keep: str, **changed: Column) -> DataFrame:
+    """``frame`` with the columns of ``docs`` again, some of them ``changed``."""
+    kept = {**{c: F.col(c) for c in keep}, **changed}
+    return frame.select(*[(kept[c] if c in kept else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the session's Python workers, once (as ``--py-files`` would do)."""
     sc = spark.sparkContext

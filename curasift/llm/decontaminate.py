@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curasift.llm.common import NON_ALNUM, column, inside_windows, same_columns, slices, words
+from curasift.llm.common import NON_ALNUM, boxed, column, inside_windows, slices, unboxed, words
 
 #: Most words of a shard, distance of sampled suffix positions, most benchmark text in a block.
 SHARD_WORDS = 500_000
@@ -267,21 +267,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, percen
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, percent: int = 5) -> DataFrame:
     """The rows and columns of ``docs`` without contaminated documents; from the others the
     merged hit spans are cut (with the space before them), and ``n_chars`` follows."""
-    out = scan(docs.withColumn("_text", F.col("text")), benchmark, width)
+    out = scan(boxed(docs, "text"), benchmark, width)
     hit = _n_hit().cast("long")
     out = out.where(~((hit > 0) & (100 * hit >= percent * F.col("_n"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             text = []
-            for t, h in zip(column(batch, "_text"), column(batch, "_hit").to_pylist(), strict=True):
+            for t, h in zip(column(batch, "text"), column(batch, "_hit").to_pylist(), strict=True):
                 text.append(t.as_py() if not h or not t.is_valid else _cut(t.as_buffer().to_pybytes(), np.frombuffer(h, np.int32).reshape(3, -1)))
-            yield batch.set_column(batch.schema.get_field_index("_text"), "_text", pa.array(text, pa.string()))
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(text, pa.string()))
 
     cut = out.mapInArrow(run, _nullable(out.schema))
+    changed = {}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.octet_length("_hit") > 0, F.length("_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return same_columns(docs, cut.withColumn("text", F.col("_text")))
+        before = F.col("row").getField("n_chars")
+        changed["n_chars"] = F.when(F.octet_length("_hit") > 0, F.length("text")).otherwise(before).cast(docs.schema["n_chars"].dataType)
+    return unboxed(docs, cut, "text", **changed)
 
 
 def _cut(text: bytes, hits: np.ndarray) -> str:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curasift.llm.common import SPACES, Words, column, cut_lineage, mix, signed, slices, words
+from curasift.llm.common import SPACES, Words, boxed, column, cut_lineage, mix, signed, slices, unboxed, words
 
 DOMAIN_BITS = 22
 #: Members of a leader compared in one partition group.
@@ -263,5 +263,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without those whose component has a smaller id."""
-    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    left = boxed(docs, "doc_id")
+    return unboxed(docs, left.join(gone, F.col("doc_id") == F.col("gone"), "left_anti"), "doc_id")

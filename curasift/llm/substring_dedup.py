@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curasift.llm.common import SPACES, column, inside_windows, mix, rolling, same_columns, signed, slices, words
+from curasift.llm.common import SPACES, boxed, column, inside_windows, mix, rolling, signed, slices, unboxed, words
 
 #: Cells of each of the two rows of the sketch, and of each slice in which it travels.
 CELLS = 1 << 26
@@ -241,17 +241,18 @@ def removal_report(docs: DataFrame, width: int = 50, cells: int = CELLS) -> Data
 def remove_repeats(docs: DataFrame, width: int = 50, cells: int = CELLS) -> DataFrame:
     """The rows and columns of ``docs``; texts that lose words become their kept words joined
     by one space (``n_chars``, if there, follows), other texts stay as they are."""
-    joined = _joined(docs, width, cells).withColumn("_kept", F.col("text"))
+    joined = _joined(boxed(docs, "doc_id", "text"), width, cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             text = []
             for i, (found, out) in enumerate(_each(batch, width)):
                 text.append(column(batch, "text")[i].as_py() if out is None else b" ".join(w for w, x in zip(found, out, strict=True) if not x).decode())
-            yield batch.set_column(batch.schema.get_field_index("_kept"), "_kept", pa.array(text, pa.string()))
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(text, pa.string()))
 
     cut = joined.mapInArrow(run, joined.schema)
-    lost = F.col("_starts").isNotNull()
+    changed = {}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(lost, F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return same_columns(docs, cut.withColumn("text", F.col("_kept")))
+        before = F.col("row").getField("n_chars")
+        changed["n_chars"] = F.when(F.col("_starts").isNotNull(), F.length("text")).otherwise(before).cast(docs.schema["n_chars"].dataType)
+    return unboxed(docs, cut, "doc_id", "text", **changed)

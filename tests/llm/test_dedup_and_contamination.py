@@ -167,3 +167,21 @@ def test_near_duplicates_of_a_short_text_between_long_ones(llm_spark):
     docs = llm_spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, 5).collect()}
     assert len(long) > 2 << 20 and got == {1: 1, 2: 2, 3: 1, 4: 2, 5: 5}
+
+
+def test_columns_named_like_the_operators_own(llm_spark):
+    """Extra columns keep their values whatever their names; only text and n_chars change."""
+    base, other = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(80))
+    names = ["_hit", "_n", "_items", "_text", "_kept", "_starts", "_packed", "_text_key", "_doc", "_key", "_gone", "gone", "row", "n_shingles", "a.b"]
+    rows = [(1, base, 5, *(f"{n}1" for n in names)), (2, other + " " + base, 6, *(f"{n}2" for n in names)), (3, base, None, *(f"{n}3" for n in names))]
+    docs = llm_spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "n_chars long", *(f"`{n}` string" for n in names)]))
+    items = llm_spark.createDataFrame([("i", " ".join(f"v{i}" for i in range(13)))], "item_id string, text string")
+    own = lambda df: {r.doc_id: tuple(r)[3:] for r in df.collect()}
+    want = {r[0]: r[3:] for r in rows}
+    cut = substring_dedup.remove_repeats(docs, 50)
+    assert cut.columns == docs.columns and own(cut) == want and {r.doc_id: (r.text, r.n_chars) for r in cut.collect()} == {1: (base, 5), 2: (other, len(other)), 3: ("", 0)}
+    clean = dc.decontaminate(docs, items, percent=50)
+    assert clean.columns == docs.columns and own(clean) == want
+    assert {r.doc_id: r.n_chars for r in clean.collect()}[2] == len(other + " " + base) - len(" ".join(f"v{i}" for i in range(13)))
+    left = near_dup.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and own(left) == {i: want[i] for i in (1, 2)}
