@@ -13,7 +13,8 @@ the inclusion score ``1 - exp(-exp(p - kappa))``, kappa being the value of the n
 
 No piece goes across the beginning of a run of spaces, or touches a byte that stands in no
 longer piece; so a text's lattice is a chain of small ones, which are built once for each
-distinct unit of a slice and walked by all its occurrences together.  All random numbers are
+distinct unit and walked by all its occurrences in a slice together.  A task keeps the lattices
+over its slices until they hold ``HELD`` steps, then begins anew.  All random numbers are
 hashes of the row key, the rank, the unit and the step: results don't depend on partitions.
 
 Encoding puts one space before the text and writes unknown characters as byte pieces, as the
@@ -27,7 +28,7 @@ are seeded alike; repeated rows get equal samples."""
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,8 +43,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 OFFSET = 16
 #: Text bytes whose lattices are held at once.
 SLICE = 1 << 20
+#: Steps of lattices (some 40 bytes each) beyond which a task lets all units go before its next slice.
+HELD = 1 << 22
 _A, _B, _C = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_TABLE_BITS = 22
+_TABLE_BITS = 20
 
 
 _MASK = (1 << 64) - 1
@@ -152,76 +155,124 @@ class Vocabulary:
 
 
 class Lattice:
-    """The lattices of distinct units: per node its steps, longest first."""
-
-    def __init__(self, vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, lens: np.ndarray):
+    """The lattices of distinct units, held over the slices of a task: per node its steps, longest
+    first.  Units are added as slices bring them; what a unit's lattice holds doesn't depend on the others."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.clear()
+        self.is_end, self.byte = np.zeros(0, bool), np.zeros(0, np.uint8)
+        self.first, self.after = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.source, self.target, self.piece = (np.zeros(0, np.int32) for _ in range(3))
+        self.step, self.sums = np.zeros(0), np.zeros(0)
+
+    def clear(self) -> None:
+        """Let all units go, but not the room they took."""
+        self.keys, self.heads = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hash and first node of each unit
+        self.nodes = self.steps = 0
+
+    def _append(self, at: int, **parts: np.ndarray) -> None:
+        for name, part in parts.items():
+            have = getattr(self, name)
+            if at + len(part) > len(have):
+                room = np.empty(max(at + len(part), at + at // 2), have.dtype)
+                room[:at] = have[:at]
+                setattr(self, name, room)
+                have = room
+            have[at:at + len(part)] = part
+
+    def units(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """The first node of each unit, given by its hash and its place in ``data``."""
+        if self.steps > HELD:
+            self.clear()
+        own, where, unit = np.unique(h, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, own)
+        new = np.ones(len(own), bool)
+        inside = np.flatnonzero(place < len(self.keys))
+        new[inside] = self.keys[place[inside]] != own[inside]
+        if new.any():
+            heads = self._build(data, starts[where[new]], lens[where[new]])
+            self.keys, self.heads = np.insert(self.keys, place[new], own[new]), np.insert(self.heads, place[new], heads)
+            place = place + np.cumsum(new) - new
+        return self.heads[place][unit]
+
+    def _build(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Add units; their first nodes."""
+        vocabulary = self.vocabulary
         total = int(lens.sum()) + len(lens)
-        self.first_node = np.cumsum(lens + 1) - (lens + 1)
-        place = np.arange(total) - np.repeat(self.first_node, lens + 1)
-        end = np.repeat(self.first_node + lens, lens + 1)
-        self.is_end = np.zeros(total, bool)
-        self.is_end[self.first_node + lens] = True
+        first_node = np.cumsum(lens + 1) - (lens + 1)
+        end = np.repeat(first_node + lens, lens + 1)
+        is_end = np.zeros(total, bool)
+        is_end[first_node + lens] = True
         byte = np.zeros(total, np.uint8)
-        byte[~self.is_end] = data[(place + np.repeat(starts, lens + 1))[~self.is_end]]
-        border = ((byte & 0xC0) != 0x80) | self.is_end
+        inner = np.flatnonzero(~is_end)
+        byte[inner] = data[inner + np.repeat(starts - first_node, lens)]
+        border = ((byte & 0xC0) != 0x80) | is_end
         table = powers(0, 64)
-        at = np.flatnonzero(border & ~self.is_end)
+        at = np.flatnonzero(border & ~is_end)
         lead = byte[at]
         width = np.where(lead < 0xC0, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
         known = np.zeros(total, bool)
         h = np.zeros(len(at), np.uint64)
-        active, wide = at, width
-        source, target, piece = [], [], []
+        active, wide, limit = at, width, end[at]
+        found = []  # by length: nodes where a step of that length begins, and its piece
         for n in range(1, vocabulary.longest + 1):
-            fits = active + n <= end[active]
-            active, wide, h = active[fits], wide[fits], h[fits]
+            fits = np.flatnonzero(active + n <= limit)
+            if len(fits) < len(active):
+                active, wide, h, limit = active[fits], wide[fits], h[fits], limit[fits]
             if not len(active):
                 break
             h = h + (byte[active + n - 1].astype(np.uint64) + np.uint64(1)) * table[n - 1]
             got = vocabulary.find(mix(h + np.uint64(n)))
-            some = got >= 0
-            active, wide, h, got = active[some], wide[some], h[some], got[some]
+            some = np.flatnonzero(got >= 0)
+            active, wide, h, limit, got = active[some], wide[some], h[some], limit[some], got[some]
             ids = vocabulary.ids[got]
-            edge = (ids >= 0) & border[active + n]
-            known[active[edge & (wide == n)]] = True
-            source.append(active[edge])
-            target.append(active[edge] + n)
-            piece.append(ids[edge])
+            edge = np.flatnonzero((ids >= 0) & border[active + n])
+            known[active[edge[wide[edge] == n]]] = True
+            found.append((n, active[edge], ids[edge]))
         lost = ~known[at]
-        source.append(at[lost])
-        target.append(at[lost] + width[lost])
-        piece.append(np.full(int(lost.sum()), -1))
-        source, target, piece = (np.concatenate(x) for x in (source, target, piece))
+        found += [(w, at[lost & (width == w)], -1) for w in np.unique(width[lost])]
+        found.sort(key=lambda x: -x[0])  # a node has one step of a length at most
+        count = np.zeros(total, np.int64)
+        for _, nodes, _ in found:
+            count[nodes] += 1
+        first = np.cumsum(count) - count
+        edges = int(count.sum())
+        source, target, piece = np.repeat(np.arange(total), count), np.zeros(edges, np.int64), np.full(edges, -1, np.int32)
+        filled = first.copy()
+        for n, nodes, ids in found:
+            place = filled[nodes]
+            target[place], piece[place] = nodes + n, ids
+            filled[nodes] += 1
         fallback = float(vocabulary.log_weight[-1]) - 1
         weight = np.where(piece >= 0, vocabulary.log_weight[piece], fallback * (target - source))
         # log mass of all ways from each node to its unit's end, nodes nearest to the end first
-        left = end[source] - source
-        order = np.argsort(left * total + source)
-        source, target, piece, weight, left = (x[order] for x in (source, target, piece, weight, left))
         mass = np.zeros(total)
-        groups = np.flatnonzero(np.r_[True, np.diff(left) > 0]) if len(left) else []
-        for a, b in zip(groups, [*groups[1:], len(left)], strict=True):
-            nodes = source[a:b]
-            cut = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
-            mass[nodes[cut]] = np.logaddexp.reduceat(weight[a:b] + mass[target[a:b]], cut)
+        left = end[at] - at
+        order = np.argsort(left, kind="stable")
+        for nodes in np.split(at[order], np.flatnonzero(np.diff(left[order])) + 1) if len(at) else []:
+            e, value = first[nodes], None
+            rest = np.arange(len(nodes))
+            value = weight[e] + mass[target[e]]
+            for j in range(1, int(count[nodes].max())):
+                rest = rest[count[nodes[rest]] > j]
+                e = first[nodes[rest]] + j
+                value[rest] = np.logaddexp(value[rest], weight[e] + mass[target[e]])
+            mass[nodes] = value
         step = np.minimum(weight + mass[target] - mass[source], 0.0)
-        order = np.argsort(source * 4096 + (4095 - (target - source)))  # long pieces first
-        self.source, self.target, self.piece, self.step = source[order], target[order], piece[order], step[order]
         # unknown characters of one byte are pieces; longer ones stay -1 until they are written
-        single = (self.piece < 0) & (self.target - self.source == 1)
-        self.piece[single] = vocabulary.byte_ids[byte[self.source[single]]]
-        with np.errstate(divide="ignore"):
-            self.others = np.log(-np.expm1(self.step))  # log probability of the steps not taken
-        self.byte = byte
-        new = np.r_[True, self.source[1:] != self.source[:-1]] if len(order) else np.zeros(0, bool)
-        heads = np.flatnonzero(new)
-        self.first, self.after = np.zeros(total, np.int64), np.zeros(total, np.int64)
-        self.first[self.source[heads]] = heads
-        self.after[self.source[heads]] = np.r_[heads[1:], len(order)] if len(heads) else heads
-        sums = np.cumsum(np.exp(self.step))
-        self.sums = sums - np.repeat(np.r_[0, sums[heads[1:] - 1]] if len(heads) else sums[:0], np.diff(np.r_[heads, len(order)]))
-        if len(heads):
-            self.sums[np.r_[heads[1:], len(order)] - 1] = 2.0  # the last step takes what is left
+        single = np.flatnonzero((piece < 0) & (target - source == 1))
+        piece[single] = vocabulary.byte_ids[byte[source[single]]]
+        sums, nodes = np.exp(step), at
+        for j in range(1, int(count.max(initial=0))):
+            nodes = nodes[count[nodes] > j]
+            sums[first[nodes] + j] += sums[first[nodes] + j - 1]
+        sums[first[at] + count[at] - 1] = 2.0  # the last step takes what is left
+        self._append(self.nodes, is_end=is_end, byte=byte, first=first + self.steps, after=first + count + self.steps)
+        self._append(self.steps, source=source + self.nodes, target=target + self.nodes, piece=piece, step=step, sums=sums)
+        heads = first_node + self.nodes
+        self.nodes, self.steps = self.nodes + total, self.steps + edges
+        return heads
 
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A random way to the end from each node: bounds of each walker's steps, all steps."""
@@ -283,20 +334,35 @@ class Sample:
 
 @dataclass
 class _Path:
+    """A way, and what it left out at each step: an open set of log mass m has a Gumbel variable g
+    of location m, and its value is g truncated at ``value``.  Truncating keeps the order."""
+
     steps: np.ndarray
-    units: np.ndarray    # the unit of each step
-    logs: np.ndarray     # conditional log probability of each step
+    unit_of: Callable[[int], int]    # the unit of a step
+    logs: np.ndarray                 # conditional log probability of each step
     value: float
-    open: np.ndarray     # value of the open set at each step
+    open: np.ndarray                 # g of the open set at each step
     taken: dict[int, list[int]] = field(default_factory=dict)  # steps already taken there
 
+    def top(self) -> float:
+        """The largest value of an open set."""
+        g = self.open.max(initial=-np.inf)
+        return float(-np.logaddexp(-self.value, -g)) if g > -np.inf else -np.inf
+
 
-def _open_values(logs: np.ndarray, others: np.ndarray, before: float, bound: float, state: np.uint64) -> np.ndarray:
-    """Gumbel values, below ``bound``, of what each step left out."""
+def _open_sets(logs: np.ndarray, before: float, state: np.uint64) -> np.ndarray:
+    """Gumbel variables of what each step left out; steps begin at log mass ``before``."""
     with np.errstate(divide="ignore", over="ignore"):
-        mass = before + np.cumsum(logs) - logs + others
-        e = np.log(-np.log(_uniform(state + np.arange(1, len(logs) + 1, dtype=np.uint64) * _B)))
-        return -np.logaddexp(-bound, e - mass)
+        mass = np.cumsum(logs)
+        mass -= logs
+        mass += before
+        mass += np.log(-np.expm1(logs))
+        e = _uniform(state + np.arange(1, len(logs) + 1, dtype=np.uint64) * _B)
+        np.log(e, out=e)
+        np.negative(e, out=e)
+        np.log(e, out=e)
+        mass -= e
+        return mass
 
 
 def _search(lattice: Lattice, fresh: list, nodes: np.ndarray, row: int, span: tuple[int, int], key: np.uint64, k: int) -> list[tuple[_Path, float]]:
@@ -304,18 +370,18 @@ def _search(lattice: Lattice, fresh: list, nodes: np.ndarray, row: int, span: tu
     a, b = span
     state = lambda rank, what: _state(int(key), rank, what)
 
-    def tail(rank: int, unit: int) -> tuple[np.ndarray, np.ndarray]:
+    def tail(rank: int, unit: int) -> tuple[np.ndarray, Callable[[int], int]]:
         bounds, steps = fresh[rank]
-        return steps[bounds[unit]:bounds[b]], np.repeat(np.arange(unit, b), np.diff(bounds[unit:b + 1]))
+        first = bounds[unit]
+        return steps[first:bounds[b]], lambda i: int(np.searchsorted(bounds, first + i, side="right")) - 1
 
     with np.errstate(over="ignore"):
         value = float(-np.log(-np.log(_number(state(0, 1)))))
-        steps, units = tail(0, a)
+        steps, unit_of = tail(0, a)
         logs = lattice.step[steps]
-        paths = [_Path(steps, units, logs, value, _open_values(logs, lattice.others[steps], 0.0, value, state(0, 2)))]
+        paths = [_Path(steps, unit_of, logs, value, _open_sets(logs, 0.0, state(0, 2)))]
         while True:
-            tops = [(float(p.open.max()), j) for j, p in enumerate(paths) if len(p.open)]
-            best, j = max(tops, default=(-np.inf, 0))
+            best, j = max((p.top(), j) for j, p in enumerate(paths))
             if len(paths) == k or best == -np.inf:
                 return [(p, best) for p in paths]
             rank, parent = len(paths), paths[j]
@@ -331,21 +397,27 @@ def _search(lattice: Lattice, fresh: list, nodes: np.ndarray, row: int, span: tu
             rest = others[others != step]
             mass = before + np.log(np.exp(lattice.step[rest]).sum()) if len(rest) else -np.inf
             e = np.log(-np.log(_number(state(rank, 4))))
-            parent.open[t] = -np.logaddexp(-best, e - mass) if mass > -np.inf else -np.inf
-            unit = int(parent.units[t])
+            # what is left of the set has a value below the one it had
+            parent.open[t] = -np.logaddexp(-parent.open[t], e - mass) if mass > -np.inf else -np.inf
+            unit = parent.unit_of(t)
             middle = [step, *lattice.way(int(lattice.target[step]), state(rank, 5))]
-            after, after_units = tail(rank, unit + 1)
+            after, after_unit = tail(rank, unit + 1)
             steps = np.concatenate([parent.steps[:t], middle, after])
-            units = np.concatenate([parent.units[:t], np.full(len(middle), unit), after_units])
             logs = lattice.step[steps]
+            # at the shared steps the parent's sets stand for both
             open_ = np.full(len(steps), -np.inf)
-            # at the shared step the parent's set stands for both
-            open_[t + 1:] = _open_values(logs[t + 1:], lattice.others[steps[t + 1:]], before + float(logs[t]), best, state(rank, 2))
-            paths.append(_Path(steps, units, logs, best, open_))
+            open_[t + 1:] = _open_sets(logs[t + 1:], before + float(logs[t]), state(rank, 2))
+            paths.append(_Path(steps, _units(parent, t, unit, len(middle), after_unit), logs, best, open_))
+
+
+def _units(parent: _Path, t: int, unit: int, middle: int, after: Callable[[int], int]) -> Callable[[int], int]:
+    """Units of a way that leaves its parent at step ``t`` for ``middle`` steps of ``unit``."""
+    return lambda i: parent.unit_of(i) if i < t else unit if i < t + middle else after(i - t - middle)
 
 
-def sample_slice(texts: pa.Array, keys: np.ndarray, vocabulary: Vocabulary, k: int) -> list[list[Sample]]:
-    """The samples of each text, best first."""
+def sample_slice(texts: pa.Array, keys: np.ndarray, vocabulary: Vocabulary, k: int, lattice: Lattice | None = None) -> list[list[Sample]]:
+    """The samples of each text, best first.  ``lattice`` holds units of earlier slices."""
+    lattice = lattice or Lattice(vocabulary)
     raw, bounds = text_bytes(texts)
     some = np.flatnonzero(np.diff(bounds) > 0)
     # every text after one space
@@ -365,9 +437,7 @@ def sample_slice(texts: pa.Array, keys: np.ndarray, vocabulary: Vocabulary, k: i
         inside = np.arange(len(data)) - np.repeat(starts, lens)
         table = powers(1, int(lens.max()))
         h = mix(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * table[inside], starts) + lens.astype(np.uint64))
-        _, where, unit = np.unique(h, return_index=True, return_inverse=True)
-        lattice = Lattice(vocabulary, data, starts[where], lens[where])
-        nodes = lattice.first_node[unit]
+        nodes = lattice.units(h, data, starts, lens)
         key = mix(keys[some].astype(np.int64).view(np.uint64) + _C)
         number = np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first))
         own = np.repeat(key, np.diff(first)) + (number + 1).astype(np.uint64) * _A
@@ -393,8 +463,9 @@ def sample_encodings(docs: DataFrame, vocabulary: Vocabulary, k: int = 2) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(shared.value)
         for batch in slices(batches, max_bytes=SLICE):
-            found = sample_slice(column(batch, "text"), _keys(batch, "doc_id"), shared.value, k)
+            found = sample_slice(column(batch, "text"), _keys(batch, "doc_id"), shared.value, k, lattice)
             n = np.array([len(x) for x in found])
             flat = [s for x in found for s in x]
             bounds = np.r_[0, np.cumsum([len(s.ids) for s in flat])].astype(np.int32)
@@ -427,10 +498,11 @@ def encoding_report(docs: DataFrame, vocabulary: Vocabulary, k: int = 2) -> Data
     schema = "doc_id long, rank int, n_pieces long, ids_sha256 string, log_prob double, perturbed double, inclusion double, restored boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(shared.value)
         for batch in slices(batches, max_bytes=SLICE):
             rows = []
             texts, ids = column(batch, "text").to_pylist(), column(batch, "doc_id").to_pylist()
-            for doc, text, found in zip(ids, texts, sample_slice(column(batch, "text"), _keys(batch, "doc_id"), shared.value, k), strict=True):
+            for doc, text, found in zip(ids, texts, sample_slice(column(batch, "text"), _keys(batch, "doc_id"), shared.value, k, lattice), strict=True):
                 for rank, s in enumerate(found, 1):
                     own = s.ids.tolist()
                     rows.append((doc, rank, len(own), hashlib.sha256(s.ids.astype("<i4").tobytes()).hexdigest(), s.log_prob, s.value, s.inclusion, shared.value.decode(own) == (text or "")))

@@ -159,6 +159,19 @@ def test_all_segmentations_of_a_short_text(vocabulary):
     assert [len(x) for x in found[1:]] == [1, 1] and not len(found[1][0].ids)
 
 
+def test_lattices_held_over_slices(vocabulary, monkeypatch):
+    """Samples don't depend on the units that a task has seen before, or let go."""
+    texts = [pa.array(x) for x in (["one two  two", "", "Straße ☃☃"], ["two three", None, "x" * 3000], ["one\x00 two ☃", "three  two"])]
+    draw = lambda i, lattice=None: [[(*s.ids, s.log_prob, s.value, s.inclusion) for s in found] for found in subword.sample_slice(texts[i], np.arange(len(texts[i])), vocabulary, 3, lattice)]
+    alone = [draw(i) for i in range(3)]
+    held = subword.Lattice(vocabulary)
+    assert [draw(i, held) for i in range(3)] == alone and len(held.keys) == len(set(held.keys))
+    assert (np.diff(held.heads[np.argsort(held.heads)]) > 0).all() and [draw(i, held) for i in (2, 0, 1)] == [alone[2], alone[0], alone[1]]
+    monkeypatch.setattr(subword, "HELD", 10)
+    few = subword.Lattice(vocabulary)
+    assert [draw(i, few) for i in (0, 1, 2, 1)] == [*alone, alone[1]]
+
+
 def test_round_trip_and_partitions(llm_spark, documents, edge, nothing, vocabulary):
     docs = documents.unionByName(edge.select(documents.columns))
     report = subword.encoding_report(docs, vocabulary, 3).cache()
