@@ -4,11 +4,13 @@ A text's segmentations into pieces of a public vocabulary form a lattice; a piec
 falls with its rank in the vocabulary (``1 / (rank + OFFSET)``), which makes the segmentations
 a distribution.  Sampling is Gumbel top-k without replacement: the best ``k`` of all
 segmentations by log probability plus a Gumbel variable, found top-down.  The root of the
-lattice carries its Gumbel value; at each node the step taken inherits the value, and all steps
-not taken are an open set with a smaller value, drawn from a truncated Gumbel distribution of
-the set's whole mass.  A best-first (A*) search opens the set with the largest value next,
-which yields the next best segmentation; the perturbed value is an exact bound, so nothing
-else is expanded.  The ``k`` results are distinct.  A segmentation with log probability p has
+lattice carries its Gumbel value, which its best segmentation inherits; all others, which leave
+that one at some step, are an open set with a smaller value, drawn from a Gumbel distribution of
+the set's whole mass, truncated at the value.  A best-first (A*) search opens the set with the
+largest value next: the step where its best segmentation leaves is drawn by mass and inherits the
+value; what leaves the new segmentation later, and what is left of the set, are open sets with
+smaller values.  The perturbed value is an exact bound, so nothing else is expanded.  The ``k``
+results are distinct.  A segmentation with log probability p has
 the inclusion score ``1 - exp(-exp(p - kappa))``, kappa being the value of the next one left.
 
 No piece goes across the beginning of a run of spaces, or touches a byte that stands in no
@@ -334,35 +336,34 @@ class Sample:
 
 @dataclass
 class _Path:
-    """A way, and what it left out at each step: an open set of log mass m has a Gumbel variable g
-    of location m, and its value is g truncated at ``value``.  Truncating keeps the order."""
+    """A way, and the open set of all ways that leave it at step ``since`` or later."""
 
     steps: np.ndarray
     unit_of: Callable[[int], int]    # the unit of a step
     logs: np.ndarray                 # conditional log probability of each step
     value: float
-    open: np.ndarray                 # g of the open set at each step
+    since: int
+    before: float                    # log probability of the steps before ``since``
+    open: float                      # value of the open set
+    left: np.ndarray | None = None   # log mass of what still leaves at each step, once opened
     taken: dict[int, list[int]] = field(default_factory=dict)  # steps already taken there
 
-    def top(self) -> float:
-        """The largest value of an open set."""
-        g = self.open.max(initial=-np.inf)
-        return float(-np.logaddexp(-self.value, -g)) if g > -np.inf else -np.inf
+    def masses(self) -> np.ndarray:
+        if self.left is None:
+            logs = self.logs[self.since:]
+            with np.errstate(divide="ignore"):
+                self.left = self.before + np.cumsum(logs) - logs + np.log(-np.expm1(logs))
+        return self.left
 
 
-def _open_sets(logs: np.ndarray, before: float, state: np.uint64) -> np.ndarray:
-    """Gumbel variables of what each step left out; steps begin at log mass ``before``."""
-    with np.errstate(divide="ignore", over="ignore"):
-        mass = np.cumsum(logs)
-        mass -= logs
-        mass += before
-        mass += np.log(-np.expm1(logs))
-        e = _uniform(state + np.arange(1, len(logs) + 1, dtype=np.uint64) * _B)
-        np.log(e, out=e)
-        np.negative(e, out=e)
-        np.log(e, out=e)
-        mass -= e
-        return mass
+def _below(bound: float, mass: float, state: np.uint64) -> float:
+    """A Gumbel variable of location ``mass``, truncated at ``bound``."""
+    return float(-np.logaddexp(-bound, np.log(-np.log(_number(state))) - mass)) if mass > -np.inf else -np.inf
+
+
+def _rest(log_prob: float) -> float:
+    """Log probability of all but a way of that log probability."""
+    return float(np.log(-np.expm1(log_prob))) if log_prob < 0 else -np.inf
 
 
 def _search(lattice: Lattice, fresh: list, nodes: np.ndarray, row: int, span: tuple[int, int], key: np.uint64, k: int) -> list[tuple[_Path, float]]:
@@ -379,13 +380,17 @@ def _search(lattice: Lattice, fresh: list, nodes: np.ndarray, row: int, span: tu
         value = float(-np.log(-np.log(_number(state(0, 1)))))
         steps, unit_of = tail(0, a)
         logs = lattice.step[steps]
-        paths = [_Path(steps, unit_of, logs, value, _open_sets(logs, 0.0, state(0, 2)))]
+        paths = [_Path(steps, unit_of, logs, value, 0, 0.0, _below(value, _rest(float(logs.sum())), state(0, 2)))]
         while True:
-            best, j = max((p.top(), j) for j, p in enumerate(paths))
+            best, j = max((p.open, j) for j, p in enumerate(paths))
             if len(paths) == k or best == -np.inf:
                 return [(p, best) for p in paths]
             rank, parent = len(paths), paths[j]
-            t = int(parent.open.argmax())
+            # the step where the next way leaves, by mass, and the step it takes instead
+            left = parent.masses()
+            sums = np.cumsum(np.exp(left - left.max()))
+            at = int(min(np.searchsorted(sums, _number(state(rank, 6)) * sums[-1], side="right"), np.searchsorted(sums, sums[-1])))
+            t = parent.since + at
             node = lattice.source[parent.steps[t]]
             gone = parent.taken.setdefault(t, [int(parent.steps[t])])
             others = np.array([e for e in range(lattice.first[node], lattice.after[node]) if e not in gone])
@@ -395,19 +400,18 @@ def _search(lattice: Lattice, fresh: list, nodes: np.ndarray, row: int, span: tu
             gone.append(step)
             before = float(parent.logs[:t].sum())
             rest = others[others != step]
-            mass = before + np.log(np.exp(lattice.step[rest]).sum()) if len(rest) else -np.inf
-            e = np.log(-np.log(_number(state(rank, 4))))
             # what is left of the set has a value below the one it had
-            parent.open[t] = -np.logaddexp(-parent.open[t], e - mass) if mass > -np.inf else -np.inf
+            left[at] = before + np.log(np.exp(lattice.step[rest]).sum()) if len(rest) else -np.inf
+            top = left.max()
+            parent.open = _below(best, float(top + np.log(np.exp(left - top).sum())) if top > -np.inf else -np.inf, state(rank, 4))
             unit = parent.unit_of(t)
             middle = [step, *lattice.way(int(lattice.target[step]), state(rank, 5))]
             after, after_unit = tail(rank, unit + 1)
             steps = np.concatenate([parent.steps[:t], middle, after])
             logs = lattice.step[steps]
-            # at the shared steps the parent's sets stand for both
-            open_ = np.full(len(steps), -np.inf)
-            open_[t + 1:] = _open_sets(logs[t + 1:], before + float(logs[t]), state(rank, 2))
-            paths.append(_Path(steps, _units(parent, t, unit, len(middle), after_unit), logs, best, open_))
+            before += float(logs[t])
+            open_ = _below(best, before + _rest(float(logs[t + 1:].sum())), state(rank, 2))
+            paths.append(_Path(steps, _units(parent, t, unit, len(middle), after_unit), logs, best, t + 1, before, open_))
 
 
 def _units(parent: _Path, t: int, unit: int, middle: int, after: Callable[[int], int]) -> Callable[[int], int]:
