@@ -84,6 +84,30 @@ def test_shards_of_a_hot_group(llm_spark):
     assert sizes.max() < 1.05 * sizes.mean() and sizes.min() > 0.95 * sizes.mean()
 
 
+def test_shards_of_equal_rows(llm_spark):
+    """Rows equal in text and id, with and without an id, hold two thirds of all bytes."""
+    docs = llm_spark.range(3000).selectExpr("case when id % 3 = 0 then id when id % 3 = 1 then 7 end doc_id", "case when id % 3 = 0 then concat('text ', id) else 'the same text' end text")
+    sizes = _check_shards(sharding.assign_shards(docs), docs).groupby("shard")["size"].sum()
+    assert len(sizes) == 8 and sizes.max() < 1.2 * sizes.min()
+
+
+def test_shards_of_few_large_records(llm_spark):
+    """Rounds end although single records are larger than a range."""
+    docs = llm_spark.range(400).selectExpr("id doc_id", "repeat(char(97 + id % 26), case when id % 50 = 0 then 200000 else 1 + id end) text")
+    sizes = _check_shards(sharding.assign_shards(docs), docs).groupby("shard")["size"].sum()
+    assert len(sizes) == 8 and sizes.max() < 2.2 * sizes.min()
+
+
+def test_written_shards_keep_rows(llm_spark, tmp_path):
+    """Repeated rows are written as often as they come, whatever their columns are called."""
+    docs = llm_spark.range(500).selectExpr("7L doc_id", "'the same text' text", "id shard", "id h", "id t", "id row")
+    sharding.write_shards(docs, str(tmp_path / "out"), 4)
+    got = llm_spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, got.select(docs.columns).collect())) == sorted(map(tuple, docs.collect()))
+    n = [r["count"] for r in got.groupBy("shard_").count().collect()]
+    assert len(n) == 4 and max(n) < 1.5 * min(n)
+
+
 def test_written_shards(llm_spark, edge, tmp_path):
     sharding.write_shards(edge.drop("shard"), str(tmp_path / "out"), 3)
     assert llm_spark.read.parquet(str(tmp_path / "out")).count() == edge.count()
