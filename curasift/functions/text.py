@@ -35,6 +35,11 @@ WANTED_SECTIONS = ['text:', 'content:', 'type:', 'date:', 'headline:', 'source:'
                    'company:', 'Text:', 'Content:', 'Type:', 'Date:', 'Headline:', 'Source:']
 # ---------------------------------------------------------------------------
 
+# The alternatives alone, for lookaround.
+_SPLIT_PREFIX = SPLIT_PREFIXES.removesuffix("[.]").strip("()")
+_SPLIT_SITE = SPLIT_WEBSITES.removeprefix("[.]").strip("()")
+_SPLIT_SUFFIX = SPLIT_SUFFIXES.strip("()")
+
 WORD_CHARS = "A-Za-z0-9_"
 # Whitespace as stripped at both ends (ASCII whitespace incl. vertical tab).
 _WS = "[ \\t\\n\\r\\f\\x0B]"
@@ -57,9 +62,13 @@ def clean_line_breaks(c) -> Column:
     ', then drop non-ASCII, in that order."""
     s = _col(c)
     s = F.replace(s, F.lit("\r\n"), F.lit(" "))
-    s = F.replace(s, F.lit("\n"), F.lit(" "))
+    return _clean_within_lines(F.replace(s, F.lit("\n"), F.lit(" ")))
+
+
+def _clean_within_lines(s: Column) -> Column:
+    """TXT-1 but for line breaks, which stay."""
     s = F.replace(s, F.lit("\t"), F.lit(" "))
-    s = F.regexp_replace(s, " +", " ")
+    s = F.regexp_replace(s, "  +", " ")
     s = F.replace(s, F.lit("\u2019"), F.lit("'"))
     return F.regexp_replace(s, "[^\\x00-\\x7F]", "")
 
@@ -93,52 +102,71 @@ def mask_special(c, colon_rule: bool = True) -> Column:
                           F.replace(m, F.lit(":"), F.lit(" "))).otherwise(m)
         s = let(s, colon)
     s = F.replace(s, F.lit("/"), F.lit(" "))
-    return F.regexp_replace(strip_ws(s), " +", " ")
+    return F.regexp_replace(strip_ws(s), "  +", " ")
 
 
-def split_sentences(c, keep_tail: bool = True) -> Column:
-    """TXT-3: abbreviation-protecting regex sentence splitter -> array<string>.
+def _sentence_parts(c) -> Column:
+    """The stripped pieces of a text between sentence ends, the last one being the
+    unterminated tail (maybe blank).
 
-    keep_tail=False is the literal behaviour (an unterminated tail is dropped);
-    keep_tail=True keeps a non-blank tail (quirk Q-1)."""
+    Each rule is a pass over the text as the rules before it left it.  Nearly all of them change a
+    full stop for what stands around it, so their patterns begin with the full stop and look
+    back: a text is scanned for one character, not tried at every letter."""
     t = F.concat(F.lit(" "), _col(c), F.lit("  "))
     t = F.replace(t, F.lit("\n"), F.lit(" "))
-    t = F.regexp_replace(t, SPLIT_PREFIXES, "$1<prd>")
-    t = F.regexp_replace(t, SPLIT_WEBSITES, "<prd>$1")
-    t = F.replace(t, F.lit("Ph.D."), F.lit("Ph<prd>D<prd>"))
+    # prefixes, websites and 'Ph.D.' (but for one that is part of a website)
+    t = F.regexp_replace(t, f"[.](?:(?<=(?:{_SPLIT_PREFIX}|Ph[.]D)[.])|(?={_SPLIT_SITE})|(?<=Ph[.])(?=D[.](?!{_SPLIT_SITE})))", "<prd>")
     starters = SPLIT_STARTERS.replace("\\s", SPACE_CLASS)
     t = F.regexp_replace(t, SPACE_CLASS + SPLIT_ALPHA + "[.] ", " $1<prd> ")
-    t = F.regexp_replace(t, SPLIT_ACRONYMS + " " + starters, "$1<stop> $2")
-    t = F.regexp_replace(t, SPLIT_ALPHA + "[.]" + SPLIT_ALPHA + "[.]" + SPLIT_ALPHA + "[.]",
-                         "$1<prd>$2<prd>$3<prd>")
-    t = F.regexp_replace(t, SPLIT_ALPHA + "[.]" + SPLIT_ALPHA + "[.]", "$1<prd>$2<prd>")
+
+    def acronyms(t):
+        t = F.regexp_replace(t, f"[.] (?<=[A-Z][.][A-Z][.] )(?={starters})", ".<stop> ")
+        t = F.regexp_replace(t, f"[.]{SPLIT_ALPHA}[.]{SPLIT_ALPHA}[.](?<=[A-Za-z][.].[.].[.])", "<prd>$1<prd>$2<prd>")
+        return F.regexp_replace(t, f"[.]{SPLIT_ALPHA}[.](?<=[A-Za-z][.].[.])", "<prd>$1<prd>")
+    t = let(t, lambda t: F.when(t.rlike("[.][A-Za-z][.]"), acronyms(t)).otherwise(t))
     t = F.regexp_replace(t, " " + SPLIT_SUFFIXES + "[.] " + starters, " $1<stop> $2")
-    t = F.regexp_replace(t, " " + SPLIT_SUFFIXES + "[.]", " $1<prd>")
-    t = F.regexp_replace(t, " " + SPLIT_ALPHA + "[.]", " $1<prd>")
-    t = F.replace(t, F.lit(".\u201d"), F.lit("\u201d."))
-    t = F.replace(t, F.lit('."'), F.lit('".'))
-    t = F.replace(t, F.lit('!"'), F.lit('"!'))
-    t = F.replace(t, F.lit('?"'), F.lit('"?'))
-    t = F.replace(t, F.lit("."), F.lit(".<stop>"))
-    t = F.replace(t, F.lit("?"), F.lit("?<stop>"))
-    t = F.replace(t, F.lit("!"), F.lit("!<stop>"))
+    # suffixes and single letters
+    t = F.regexp_replace(t, f"[.](?<= (?:{_SPLIT_SUFFIX}|[A-Za-z])[.])", "<prd>")
+
+    def quotes(t):
+        t = F.replace(t, F.lit(".\u201d"), F.lit("\u201d."))
+        t = F.replace(t, F.lit('."'), F.lit('".'))
+        t = F.replace(t, F.lit('!"'), F.lit('"!'))
+        return F.replace(t, F.lit('?"'), F.lit('"?'))
+    t = let(t, lambda t: F.when(F.contains(t, F.lit('"')) | F.contains(t, F.lit("\u201d")), quotes(t)).otherwise(t))
+    t = F.regexp_replace(t, "([.?!])", "$1<stop>")
     t = F.replace(t, F.lit("<prd>"), F.lit("."))
-    parts = F.transform(F.split(t, "<stop>", -1), strip_ws)
+    return F.transform(F.split(t, "<stop>", -1), strip_ws)
+
+
+def split_sentences(c, keep_tail: bool = True) -> Column:
+    """TXT-3: abbreviation-protecting regex sentence splitter -> array<string>.
+
+    keep_tail=False is the literal behaviour (an unterminated tail is dropped);
+    keep_tail=True keeps a non-blank tail (quirk Q-1)."""
+    parts = _sentence_parts(c)
     if keep_tail:
         # every piece but the last ends with a terminator, so only the last
         # (the unterminated tail) can be blank
-        return F.filter(parts, lambda x: x != "")
+        return F.array_remove(parts, "")
     return let(parts, lambda ps: F.slice(ps, 1, F.size(ps) - 1))
 
 
+def _clean_sentences(sentences: Column) -> Column:
+    """TXT-1 on all sentences at once: they hold no line feeds, so they are the
+    lines of one text."""
+    return _clean_within_lines(F.array_join(sentences, "\n"))
+
+
 def text_to_sentences(c) -> Column:
     """TXT-2: split (tail kept, Q-1) then TXT-1 on every sentence."""
-    return F.transform(split_sentences(c, keep_tail=True), clean_line_breaks)
+    return let(split_sentences(c, keep_tail=True), lambda ps: F.when(F.size(ps) == 0, ps)
+               .otherwise(F.split(_clean_sentences(ps), "\n", -1)))
 
 
 def document_text(c) -> Column:
     """TXT-4: cleaned sentences re-joined with one space."""
-    return F.array_join(text_to_sentences(c), " ")
+    return F.replace(_clean_sentences(split_sentences(c, keep_tail=True)), F.lit("\n"), F.lit(" "))
 
 
 def mark_sections(c, headers=None) -> Column:

@@ -67,3 +67,22 @@ def test_snippet_soft_cap(spark):
     assert out.count("beta") == 2          # the third piece starts after 500 characters
     assert len(pieces) == 2
     assert len(out) - len(" beta " + "x" * 295 + ".") < 500   # kept length minus last piece < cap
+
+
+def test_splitter_scans_for_full_stops(spark):
+    """No rule of the splitter tries a group of letters at every place, and no sentence is cleaned on its own."""
+    df = spark.createDataFrame([("x",)], "s string").select(tx.document_text(F.col("s")).alias("v"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert "regexp_replace(" in plan and "([A-Za-z])[.]([A-Za-z])[.]," not in plan and "(Mr|St|Mrs|Ms|Dr)[.]," not in plan
+    assert plan.count("x7F") == 1
+
+
+def test_splitter_rules_as_passes(spark):
+    split = lambda s: one(spark, tx.split_sentences(F.col("s")), s=s)
+    assert split("U.S.A. However it b. c. d.") == ["U.S.A.", "However it b. c. d."]
+    assert split('He said "no." Then') == ['He said "no".', "Then"]
+    assert split("Mrs. A. at x.com now. B") == ["Mrs. A. at x.com now.", "B"]
+    assert split("") == [] and split("\u00e9") == ["\u00e9"] and split(None) is None
+    # spaces collapse before characters outside ASCII go
+    assert one(spark, tx.text_to_sentences(F.col("s")), s="\u00e9 \u00e9! b\tc") == [" !", "b c"]
+    assert one(spark, tx.document_text(F.col("s")), s="\u00e9! b\tc") == "! b c"
