@@ -121,16 +121,27 @@ def phrase_occurrences(docs: DataFrame, phrases: DataFrame, key="doc_key",
     return occ.select(*keys, "phrase", "n", start, *([span.alias("match_text")] if with_text else []))
 
 
-def least_span(events: Column, later: Column) -> Column:
+def _closest(events: Column) -> Column:
+    """The smallest distance between places of two slots, which may share a position: that of
+    two neighbours in the sorted places."""
+    def gap(places):
+        before = lambda i: F.get(places, i - 1)
+        return F.array_min(F.transform(places, lambda e, i: F.when((i > 0) & (before(i)["slot"] != e["slot"]), e["d"] - before(i)["d"])))
+    return tx.let(events, gap)
+
+
+def least_span(events: Column, later: Column, within: Column | None = None) -> Column:
     """The smallest ``max - min`` over all choices of one place per slot, no two slots at one
-    position: a merge of the slots' sorted lists.
+    position: a merge of the slots' sorted lists.  With ``within``, a span above it may be
+    given as NULL.
 
     ``events``: array<struct<d, slot>>, ``d`` a place of a slot less the slot's offset, in any
     order; ``later``: for each slot the next slot of the same token, or -1.  The
     sorted events are folded once, keeping the last places of each slot (as many as slots
     share a token).  At each event, taken as the largest place, each slot takes its largest
     place so far, from the last slot to the first, those of one token in strictly falling positions; no
-    other choice has a larger least place.  NULL if a slot has no place."""
+    other choice has a larger least place.  NULL if a slot has no place.  Two slots that
+    share no token are the two nearest neighbours."""
     held = F.size(F.filter(later, lambda x: x >= 0)) + 1
 
     def step(state, e):
@@ -144,10 +155,15 @@ def least_span(events: Column, later: Column) -> Column:
                 return F.concat(F.array(F.get(F.filter(F.get(seen, i), lambda d: d < below), F.lit(0))), chosen)
             chosen = F.aggregate(F.sequence(F.size(later) - 1, F.lit(0), F.lit(-1)), F.array().cast("array<int>"), take)
             return tx.let(chosen, lambda c: F.when(F.forall(c, lambda d: d.isNotNull()), e["d"] - F.array_min(c)))
-        return tx.let(seen, lambda s: F.struct(s.alias("seen"), F.least(state["best"], span(s)).alias("best")))
+        def last(s):  # no slot's place can be after its last one
+            return F.forall(s, lambda places: F.coalesce(F.get(places, F.lit(0)) >= e["d"] - within, F.lit(False)))
+        closer = span if within is None else lambda s: F.when(last(s), span(s))
+        return tx.let(seen, lambda s: F.struct(s.alias("seen"), F.least(state["best"], closer(s)).alias("best")))
 
     start = F.struct(F.transform(later, lambda _: F.array().cast("array<int>")).alias("seen"), F.lit(None).cast("int").alias("best"))
-    return F.aggregate(F.array_sort(events), start, step, lambda state: state["best"])
+    ordered = F.sort_array(events)
+    return F.when((F.size(later) == 2) & F.forall(later, lambda x: x < 0), _closest(ordered)).otherwise(
+        F.aggregate(ordered, start, step, lambda state: state["best"]))
 
 
 def search_hits(docs: DataFrame, params: DataFrame, search_keys: list[str],
@@ -174,7 +190,7 @@ def search_hits(docs: DataFrame, params: DataFrame, search_keys: list[str],
               F.collect_list(F.when(F.col("keyphrase_distance").isNotNull(),
                                     F.struct((F.col("start") + F.col("shift")).alias("d"), "slot"))).alias("_events")))
     later, dist = F.col("_p.later"), F.col("_p.keyphrase_distance")
-    near = F.when(dist.isNull() | (F.size(later) == 1), F.lit(True)).otherwise(least_span(F.col("_events"), later) <= dist)
+    near = F.when(dist.isNull() | (F.size(later) == 1), F.lit(True)).otherwise(least_span(F.col("_events"), later, dist) <= dist)
     return g.where((F.col("_found") == F.size(later)) & near).select(key, *search_keys)
 
 

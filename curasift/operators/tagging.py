@@ -78,7 +78,7 @@ def entity_summary(tags: DataFrame, key: str = "doc_key") -> DataFrame:
     """AGG-2: per (doc, entity): type, match texts / validity / offsets in text
     order, tag_count, tag_count_cleaned, first position."""
     return (tags.groupBy(key, "entity_id", "type", "label")
-            .agg(F.array_sort(F.collect_list(F.struct("start", "end", "match_text", "valid"))).alias("_t"),
+            .agg(F.sort_array(F.collect_list(F.struct("start", "end", "match_text", "valid"))).alias("_t"),
                  F.count(F.lit(1)).alias("tag_count"),
                  F.count_if(F.col("valid")).alias("tag_count_cleaned"),
                  F.min("start").alias("first_start"))
@@ -98,7 +98,7 @@ def ordered_entities(summary: DataFrame, by: str = "tag_count_cleaned", key: str
     """TOP-1/TOP-2: entity ids of a document by ``by`` desc, ties by first
     appearance then id."""
     return (summary.groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct((-F.col(by)).alias("o"), "first_start", "entity_id")))
+            .agg(F.sort_array(F.collect_list(F.struct((-F.col(by)).alias("o"), "first_start", "entity_id")))
                  .alias("_e"))
             .select(key, F.transform("_e", lambda x: x["entity_id"]).alias("entities_ordered")))
 
@@ -108,7 +108,7 @@ def tag_lists(tags: DataFrame, key: str = "doc_key") -> DataFrame:
     overall type, as the index stores them (SET-4 input)."""
     t = tags.withColumn("_kind", cl.overall_tag_type(F.array("type")))
     g = t.groupBy(key).agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("_kind") == kind,
+        F.sort_array(F.collect_list(F.when(F.col("_kind") == kind,
                                            F.struct("start", "entity_id", "match_text")))).alias(col)
         for kind, col in TYPE_LISTS])
     return g.select(key, *[F.transform(col, lambda x: F.concat(x["entity_id"], F.lit("\t"), x["match_text"])).alias(col)
@@ -132,7 +132,7 @@ def parse_tag_lists(df: DataFrame, key: str = "doc_key") -> DataFrame:
     g = (x.groupBy(key, "tag")
          .agg(F.min_by("type", F.struct("list_no", "pos")).alias("type"),
               F.min(F.struct("list_no", "pos")).alias("first"),
-              F.array_sort(F.collect_list(F.struct("list_no", "pos", "match_text"))).alias("_m")))
+              F.sort_array(F.collect_list(F.struct("list_no", "pos", "match_text"))).alias("_m")))
     g = g.select(key, "tag", "type", "first", F.transform("_m", lambda m: m["match_text"]).alias("match_texts"))
     w = Window.partitionBy(key).orderBy(F.size("match_texts").desc(), F.col("first"))
     return g.withColumn("rank", F.row_number().over(w))
@@ -143,7 +143,7 @@ def highlight_list_input(parsed: DataFrame, key: str = "doc_key") -> DataFrame:
     entities in first-appearance order."""
     e = parsed.select(key, "first", F.transform("match_texts", lambda m, i: F.struct(
         i.alias("i"), m.alias("match_text"), F.col("type").alias("type"))).alias("ms"))
-    g = e.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("first", "ms"))).alias("_e"))
+    g = e.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("first", "ms"))).alias("_e"))
     return g.select(key, F.flatten(F.transform("_e", lambda x: F.transform(
         x["ms"], lambda m: F.struct(m["match_text"].alias("match_text"), m["type"].alias("type"))))).alias("tag_list"))
 
@@ -153,6 +153,6 @@ def highlight_tags_input(tags: DataFrame, key: str = "doc_key") -> DataFrame:
     tag in text order."""
     first = (tags.groupBy(key, "start", "end", "match_text")
              .agg(F.min_by("type", "entity_id").alias("type")))
-    g = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "match_text", "type"))).alias("_t"))
+    g = first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "match_text", "type"))).alias("_t"))
     return g.select(key, F.transform("_t", lambda t: F.struct(t["match_text"].alias("match_text"),
                                                              t["type"].alias("type"))).alias("tags"))
