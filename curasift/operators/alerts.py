@@ -332,14 +332,16 @@ def run_alerts(articles: DataFrame, alerts: DataFrame, from_date, to_date,
     keep = ["alias_seq", "keyword", "keyword_count", "doc_key", "file_modified_date", "title",
             "document_text", "document_type", "detailed_type", "snippet", "shorter_sentences",
             "topic_class", "path", "alert_title", "owner", "filter_type"]
+    # the winner column by column: a column that the caller doesn't read is not made or shuffled
+    # (an aggregate of one struct would hold them all)
     g = (h.groupBy("alert_id", "doc_id")
-         .agg(F.min_by(F.struct(*keep), F.when(win, F.col("alias_seq"))).alias("r"),
+         .agg(*[F.min_by(c, F.when(win, F.col("alias_seq"))).alias(c) for c in keep],
               F.max(F.col("meta_pass").cast("int")).alias("_any"),
               F.sort_array(F.collect_list(F.struct((-F.col("keyword_count")).alias("neg"), "alias_seq",
                                                    F.col("keyword").alias("kw"),
                                                    F.col("keyword_count").alias("n")))).alias("_kws")))
     return (g.where(F.col("_any") == 1)
-             .select("alert_id", "doc_id", "r.*",
+             .select("alert_id", "doc_id", *keep,
                      F.transform("_kws", lambda s: F.struct(s["kw"].alias("kw"), s["n"].alias("n")))
                      .alias("keyword_list")))
 

@@ -18,6 +18,7 @@ from curasift.operators import postings as po
 from curasift.operators.joins import broadcast_if_small
 from curasift.operators.search import each_element, search_hits
 from curasift.plans import curation as cu
+from curasift.session import cut_lineage
 from curasift.sources import article_store as ar
 from curasift.sources import fixtures as fx
 from curasift.sources import known_store as ks
@@ -816,7 +817,8 @@ def _results(spark, sf):
 
 
 def _digest_input(spark, sf, internal=False):
-    r = _results(spark, sf)
+    # read for the texts to tag, for the sections' bounds and for the rows
+    r = cut_lineage(_results(spark, sf))
     docs = r.select("doc_key", "document_text").distinct()
     parsed = tg.parse_tag_lists(tg.tag_lists(tg.tag_entities(docs, fx.dictionary(spark))))
     r = r.join(dg.entity_spans(parsed), "doc_key", "left")

@@ -69,3 +69,23 @@ def test_alert_merge_of_a_search(spark):
     a = fx.articles(spark, SF_SMALL)
     got = al.run_alerts(a, fx.alerts(spark).where(F.col("alert_id") == 4), "2024-01-01", "2024-01-30").collect()
     assert got and all(r.keyword in ("this is", "it is") and r.snippet and r.document_text for r in got)
+
+
+def test_columns_nobody_reads_are_not_made(spark):
+    """A caller that reads only keys of the results makes no snippet and no document text; one that
+    reads them gets the winner's."""
+    r = al.run_alerts(fx.articles(spark, SF_SMALL), fx.alerts(spark).where(F.col("email") == "yes"), "2024-01-01", "2024-01-30")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan(r.select("alert_id", "doc_id", "alias_seq"))
+    assert "regexp_replace" in plan(r.select("shorter_sentences"))
+    assert r.where("alias_seq is null or keyword is null or document_text is null or snippet is null").count() == 0
+
+
+def test_text_is_made_for_the_days_documents_only(spark):
+    from curasift.plans import stats as st
+    days = spark.createDataFrame([(2, "2024-01-03")], "doc_key long, date string")
+    articles = spark.createDataFrame([(1, "One. two"), (2, "Dr. A went.\nB. (x)")], "doc_key long, content string")
+    texts = st.with_texts(days, articles)
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan[plan.index("Join"):]
+    assert [tuple(r) for r in texts.collect()] == [(2, "2024-01-03", "Dr. A went. B. (x)")]
