@@ -33,9 +33,9 @@ def day_documents(articles: DataFrame, from_date, to_date) -> DataFrame:
 
 
 def with_texts(days: DataFrame, articles: DataFrame) -> DataFrame:
-    """The days' documents with their document text."""
-    texts = articles.select("doc_key", tx.document_text(F.col("content")).alias("document_text"))
-    return days.select("doc_key", "date").join(texts, "doc_key")
+    """The days' documents with their document text, which is made for them only."""
+    found = days.select("doc_key", "date").join(articles.select("doc_key", "content"), "doc_key")
+    return found.select("doc_key", "date", tx.document_text(F.col("content")).alias("document_text"))
 
 
 def article_counts(days: DataFrame) -> DataFrame:
