@@ -26,6 +26,7 @@ null component and are kept; repeated rows get the same component."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curasift.llm.common import SPACES, Words, boxed, column, cut_lineage, mix, signed, slices, unboxed, words
+from curasift.llm.common import SLICE_BYTES, SPACES, Words, boxed, column, cut_lineage, mix, signed, slices, unboxed, words
 
 DOMAIN_BITS = 22
 #: Members of a leader compared in one partition group.
@@ -107,12 +108,36 @@ def _features(size: int, bands: int, rows: int) -> Callable:
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text compressed; texts are shuffled so."""
+    for batch in slices(batches):
+        texts = column(batch, "text").cast(pa.binary()).to_pylist()
+        yield pa.RecordBatch.from_pydict({"doc_id": column(batch, "doc_id"), "text": pa.array([None if t is None else zlib.compress(t, 1) for t in texts], pa.binary())})
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows with their texts as they were, in batches of at most ``max_bytes`` of text (one row at least)."""
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        start, held, size = 0, [], 0
+        for packed in batch.column(at):
+            text = None if not packed.is_valid else zlib.decompress(packed.as_py())
+            n = len(text or b"")
+            if held and size + n > max_bytes:
+                yield batch.slice(start, len(held)).set_column(at, "text", pa.array(held, pa.binary()).cast(pa.string()))
+                start, held, size = start + len(held), [], 0
+            held.append(text)
+            size += n
+        if held:
+            yield batch.slice(start, len(held)).set_column(at, "text", pa.array(held, pa.binary()).cast(pa.string()))
+
+
 def _compare(size: int, percent: int) -> Callable:
     """Rows sorted by (leader, salt, role); each leader's text comes before its members'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, None
-        for batch in slices(batches):
+        for batch in slices(_unpacked(batches)):
             sets = shingle_sets(column(batch, "text"), size)
             a, b = [], []
             for leader, salt, role, member, s in zip(*(column(batch, c).to_pylist() for c in ("leader", "salt", "role", "member")), sets, strict=True):
@@ -160,7 +185,7 @@ def _across(size: int, percent: int) -> Callable:
             return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
         key, held = None, []
-        for batch in slices(batches):
+        for batch in slices(_unpacked(batches)):
             sets = shingle_sets(column(batch, "text"), size)
             columns = (column(batch, c).to_pylist() for c in ("bucket", "i", "j", "rep", "component", "side", "band", "buckets"))
             for (bucket, i, j, *row), s in zip(zip(*columns, strict=True), sets, strict=True):
@@ -177,7 +202,7 @@ def _across(size: int, percent: int) -> Callable:
 
 def _verified(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (leader, member) that are similar enough, as (a, b).  ``texts`` has
-    one row per representative."""
+    one row per representative, its text packed."""
     salts = F.greatest(F.lit(1), F.ceil(F.col("n") / MEMBERS_PER_TASK)).cast("int")
     many = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).select("leader", salts.alias("salts"))
     dealt = pairs.join(many, "leader").select("leader", F.pmod(F.xxhash64("member"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"), "member")
@@ -236,7 +261,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     shared = cut_lineage(spread.join(heads, "bucket").select("bucket", "band", "leader", "rep"))
     pairs = shared.where("leader <> rep").select("leader", F.col("rep").alias("member")).distinct()
     pairs = cut_lineage(pairs)
-    texts = narrow.where("doc_id is not null").join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    packed = narrow.where("doc_id is not null").mapInArrow(_packed, "doc_id long, text binary")
+    texts = packed.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     # rows that repeat an id: the text is the one whose set is compared, so each of them is
     texts = texts.select("doc_id", "text")
     links = cut_lineage(_verified(texts, pairs, size, percent))

@@ -185,3 +185,13 @@ def test_columns_named_like_the_operators_own(llm_spark):
     assert {r.doc_id: r.n_chars for r in clean.collect()}[2] == len(other + " " + base) - len(" ".join(f"v{i}" for i in range(13)))
     left = near_dup.drop_near_duplicates(docs)
     assert left.columns == docs.columns and own(left) == {i: want[i] for i in (1, 2)}
+
+
+def test_near_duplicate_texts_are_shuffled_packed():
+    import pyarrow as pa
+    texts = ["word " * 5000, None, "", "\u00e9\u6587 a", "x" * 70, "word " * 3000]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(6), pa.int64()), "text": pa.array(texts)})
+    packed = list(near_dup._packed(iter([batch])))
+    assert sum(len(t or b"") for b in packed for t in b.column(1).to_pylist()) < 1000
+    back = list(near_dup._unpacked(iter(packed), 16_000))
+    assert len(back) == 3 and [x for b in back for x in zip(*(c.to_pylist() for c in b.columns), strict=True)] == list(enumerate(texts))
