@@ -193,5 +193,5 @@ def test_near_duplicate_texts_are_shuffled_packed():
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(6), pa.int64()), "text": pa.array(texts)})
     packed = list(near_dup._packed(iter([batch])))
     assert sum(len(t or b"") for b in packed for t in b.column(1).to_pylist()) < 1000
-    back = list(near_dup._unpacked(iter(packed), 16_000))
+    back = list(near_dup._unpacked(iter(packed), 15_000))
     assert len(back) == 3 and [x for b in back for x in zip(*(c.to_pylist() for c in b.columns), strict=True)] == list(enumerate(texts))
