@@ -43,10 +43,10 @@ from curasift.llm.common import column, mix, powers, slices, text_bytes
 #: Default vocabulary file, and the constant of the rank weights.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 OFFSET = 16
-#: Text bytes whose lattices are held at once.
-SLICE = 1 << 20
-#: Steps of lattices (some 40 bytes each) beyond which a task lets all units go before its next slice.
-HELD = 1 << 22
+#: Text bytes sampled at once.
+SLICE = 1 << 19
+#: Steps of lattices (some 35 bytes each) beyond which a task lets all units go before its next slice.
+HELD = 1 << 21
 _A, _B, _C = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _TABLE_BITS = 20
 
@@ -164,7 +164,7 @@ class Lattice:
         self.vocabulary = vocabulary
         self.clear()
         self.is_end, self.byte = np.zeros(0, bool), np.zeros(0, np.uint8)
-        self.first, self.after = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.first, self.after = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.source, self.target, self.piece = (np.zeros(0, np.int32) for _ in range(3))
         self.step, self.sums = np.zeros(0), np.zeros(0)
 
@@ -177,7 +177,7 @@ class Lattice:
         for name, part in parts.items():
             have = getattr(self, name)
             if at + len(part) > len(have):
-                room = np.empty(max(at + len(part), at + at // 2), have.dtype)
+                room = np.empty(max(at + len(part), at + at // 4), have.dtype)
                 room[:at] = have[:at]
                 setattr(self, name, room)
                 have = room

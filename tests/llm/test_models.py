@@ -5,6 +5,7 @@ from brute import SF_SMALL, base_scores, text_statistics
 from llm_fixtures import edge, llm_spark, nothing  # noqa: F401  (fixtures)
 
 from curasift.llm import lm_score, quality_rules, subword, toxicity
+from curasift.llm.common import column, slices
 
 SF = "/root/testdata/sf0.01"
 
@@ -159,6 +160,19 @@ def test_all_segmentations_of_a_short_text(vocabulary):
     assert [len(x) for x in found[1:]] == [1, 1] and not len(found[1][0].ids)
 
 
+def test_held_lattices_stay_small(vocabulary):
+    """What a worker holds over its slices, however many distinct units they bring."""
+    rng, lattice, most = np.random.default_rng(5), subword.Lattice(vocabulary), 0
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz      "))
+    texts = ["".join(letters[rng.integers(0, 32, 1 << 16)]) for _ in range(56)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts), "doc_id": pa.array(range(len(texts)))})
+    for part in slices(iter([batch]), max_bytes=subword.SLICE):
+        found = subword.sample_slice(column(part, "text"), np.arange(part.num_rows), vocabulary, 1, lattice)
+        assert len(found) == part.num_rows
+        most = max(most, sum(x.nbytes for x in vars(lattice).values() if isinstance(x, np.ndarray)))
+    assert 0 < most < 120 << 20
+
+
 def test_lattices_held_over_slices(vocabulary, monkeypatch):
     """Samples don't depend on the units that a task has seen before, or let go."""
     texts = [pa.array(x) for x in (["one two  two", "", "Straße ☃☃"], ["two three", None, "x" * 3000], ["one\x00 two ☃", "three  two"])]
