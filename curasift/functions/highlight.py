@@ -150,7 +150,7 @@ def highlight_tags_from_list(text, tags) -> Column:
         done = F.array_contains(acc["done"], x["match_text"])
         new = highlight_keyword_for_web(acc["text"], x["match_text"], x["type"])
         return F.struct(F.when(~done, new).otherwise(acc["text"]).alias("text"),
-                        F.concat(acc["done"], F.array(x["match_text"])).alias("done"))
+                        F.when(done, acc["done"]).otherwise(F.concat(acc["done"], F.array(x["match_text"]))).alias("done"))
     init = F.struct(_col(text).alias("text"),
                     F.array(*[F.lit(s) for s in ALREADY_TAGGED]).alias("done"))
     return F.aggregate(F.coalesce(_col(tags), F.array().cast("array<struct<match_text:string,type:string>>")),

@@ -15,7 +15,7 @@ from curasift.functions import text as tx
 from curasift.operators import alerts as al
 from curasift.operators import lookups
 from curasift.operators import postings as po
-from curasift.operators.joins import broadcast_if_small
+from curasift.operators.joins import broadcast_if_small, dealt_by_key
 from curasift.operators.search import each_element, search_hits
 from curasift.plans import curation as cu
 from curasift.session import cut_lineage
@@ -563,6 +563,16 @@ def _web_span_sql(m, t):
 _DONE0 = "[" + ", ".join(sq.q(s) for s in hl.ALREADY_TAGGED) + "]"
 
 
+def _highlighted(spark, sf, listed, tagged):
+    """doc_key, tagged_text: the texts are made once, for the tags and for the highlighting; a
+    document without a key has no tags."""
+    texts = _tag_docs(spark, sf)
+    d = dealt_by_key(texts, "doc_key")
+    inp = listed(tg.tag_entities(d, fx.dictionary(spark)))
+    return (d.join(inp, "doc_key", "left").select("doc_key", tagged.alias("tagged_text"))
+            .union(texts.where(F.col("doc_key").isNull()).select("doc_key", F.col("document_text").alias("tagged_text"))))
+
+
 @register("hlt_6_highlight_tags", orc.tags_query(
     f"""select d.doc_key, case when h.tl is null then d.document_text else list_reduce(h.tl, lambda acc, x:
           case when not list_contains(acc.done, x.m) and {orc.valid_expr('x.m', 'x.t')} then
@@ -574,10 +584,7 @@ _DONE0 = "[" + ", ".join(sq.q(s) for s in hl.ALREADY_TAGGED) + "]"
           from (select doc_key, start, "end", match_text, arg_min(type, entity_id) as t from tags group by all)
           group by doc_key) h using (doc_key)"""))
 def q_hlt_6(spark, sf):
-    d = _tag_docs(spark, sf)
-    inp = tg.highlight_tags_input(tg.tag_entities(d, fx.dictionary(spark)))
-    return (d.join(inp, "doc_key", "left")
-            .select("doc_key", hl.highlight_tags(F.col("document_text"), F.col("tags")).alias("tagged_text")))
+    return _highlighted(spark, sf, tg.highlight_tags_input, hl.highlight_tags(F.col("document_text"), F.col("tags")))
 
 
 def _inline_span_sql(e, t):
@@ -588,10 +595,7 @@ def _inline_span_sql(e, t):
 
 @register("hlt_6_highlight_tags_inline", _Q["hlt_6_highlight_tags"][1].replace(_web_span_sql('x.m', 'x.t'), _inline_span_sql('x.m', 'x.t')))
 def q_hlt_6_inline(spark, sf):
-    d = _tag_docs(spark, sf)
-    inp = tg.highlight_tags_input(tg.tag_entities(d, fx.dictionary(spark)))
-    return (d.join(inp, "doc_key", "left")
-            .select("doc_key", hl.highlight_tags(F.col("document_text"), F.col("tags"), for_web=False).alias("tagged_text")))
+    return _highlighted(spark, sf, tg.highlight_tags_input, hl.highlight_tags(F.col("document_text"), F.col("tags"), for_web=False))
 
 
 @register("hlt_7_highlight_tag_lists", orc.tags_query(
@@ -604,11 +608,8 @@ def q_hlt_6_inline(spark, sf):
           select doc_key, flatten(list(list_transform(match_texts, lambda m: {{'m': m, 't': type}}) order by first)) as tl
           from parsed group by doc_key) h using (doc_key)""", extra="," + _LISTS_SQL))
 def q_hlt_7(spark, sf):
-    d = _tag_docs(spark, sf)
-    p = tg.parse_tag_lists(tg.tag_lists(tg.tag_entities(d, fx.dictionary(spark))))
-    inp = tg.highlight_list_input(p)
-    return (d.join(inp, "doc_key", "left")
-            .select("doc_key", hl.highlight_tags_from_list(F.col("document_text"), F.col("tag_list")).alias("tagged_text")))
+    return _highlighted(spark, sf, lambda tags: tg.highlight_list_input(tg.parse_tag_lists(tg.tag_lists(tags))),
+                        hl.highlight_tags_from_list(F.col("document_text"), F.col("tag_list")))
 
 
 # ---------------------------------------------------------------------------
