@@ -63,3 +63,28 @@ def test_sloppy_lone_phrase(spark):
     # QRY-4: head token and the rest of the phrase within the slop
     assert _hits(spark, [(1, 0, "alpha beta", None, 1)]) == [(1, 1)]
     assert _hits(spark, [(1, 0, "alpha beta", None, 2)]) == [(1, 1), (1, 2), (1, 3)]
+
+
+def test_texts_are_made_once_for_tags_and_text(spark):
+    """The pairs and the highlighting read one exchange of the documents' texts."""
+    from curasift.plans import registry
+
+    for name in ("jn_8_sentence_pairs", "jn_9_new_targets", "jn_10_new_pairs", "hlt_6_highlight_tags", "hlt_6_highlight_tags_inline", "hlt_7_highlight_tag_lists"):
+        df = registry.queries()[name](spark, "/root/testdata/sf0.001")
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "REPARTITION_BY_COL" in plan and any("ReusedExchange [doc_key" in x for x in plan.splitlines()), name
+        # after the texts nothing else is dealt by the document
+        assert not any("Exchange hashpartitioning(doc_key" in x and "ENSURE_REQUIREMENTS" in x for x in plan.splitlines()), name
+
+
+def test_highlighted_texts_are_held_once(spark):
+    """HLT-7's fold holds each match text once, however often it is listed; a null ends it."""
+    from curasift.functions.highlight import highlight_tags_from_list
+
+    tags = [("a", "x"), ("b", "y"), ("a", "y"), (None, "x"), ("b", "x"), ("c", "x")]
+    schema = "text string, tags array<struct<match_text:string,type:string>>"
+    df = spark.createDataFrame([("a b c a", tags), ("c", tags[:3] * 500 + tags[-1:])], schema).repartition(1)
+    got = [r[0] for r in df.select(highlight_tags_from_list(df.text, df.tags)).collect()]
+    assert "<span class='tag_span x'>a</span>" in got[0] and "<span class='tag_span y'>b</span>" in got[0] and got[0].count("<span") == 3
+    assert got[1] == "<span class='tag_span x'>c</span>"
