@@ -17,7 +17,7 @@ Training is model averaging: in each round every partition starts from the same
 Adam steps on the windows of the round's training documents, and the weights are averaged by
 tokens in Spark (two levels).  A hash deals the training documents over the rounds, so the
 rounds together train on all windows of all training documents, whatever the size of the
-corpus.  Where a round's share would be under ``LEAST_WORDS``, documents of other rounds are
+corpus; training windows don't overlap, so a round takes each of its tokens once.  Where a round's share would be under ``LEAST_WORDS``, documents of other rounds are
 repeated in it.  Word and piece counts are taken over all training documents.
 
 The baseline (add-one word unigrams) needs each word's count.  The ``HOT`` most frequent words
@@ -49,7 +49,7 @@ HEAD = CLASSES - TAIL - 2
 END, BEGIN = HEAD + TAIL, HEAD + TAIL + 1
 WIDTH, HIDDEN, WINDOW, STRIDE = 32, 64, 32, 24
 #: Rounds, words of a round up to which documents are repeated, windows of a step, least steps of a fit.
-ROUNDS, LEAST_WORDS, BATCH, LEAST_STEPS = 3, 1_500_000, 96, 120
+ROUNDS, LEAST_WORDS, BATCH, LEAST_STEPS = 3, 1_500_000, 64, 120
 #: Words whose counts are broadcast; distinct words held in a task.
 HOT, FLUSH = 1 << 18, 2_000_000
 _SHAPES = {"e": (CLASSES, WIDTH), "p": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH),
@@ -57,6 +57,7 @@ _SHAPES = {"e": (CLASSES, WIDTH), "p": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k"
            "s": (WIDTH, GROUPS), "sb": (GROUPS,), "u": (GROUPS, WIDTH, MEMBERS), "b": (GROUPS, MEMBERS)}
 _SIZE = sum(math.prod(s) for s in _SHAPES.values())
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+_PAST = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 _SCALE = np.float32(1 / math.sqrt(WIDTH))
 
 
@@ -156,85 +157,112 @@ def initial(rates: np.ndarray) -> np.ndarray:
     return flat
 
 
-def _times(h: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """``h @ m`` as one product of two matrices."""
-    return (h.reshape(-1, h.shape[-1]) @ m).reshape(*h.shape[:-1], m.shape[1])
+def _mixed(w: dict[str, np.ndarray]) -> np.ndarray:
+    """What a place asks by, ``q @ k.T`` (scaled), beside what it gives, ``v @ o``: one product
+    for both, and the keys are the inputs themselves."""
+    return np.concatenate([w["q"] @ w["k"].T * w["q"].dtype.type(_SCALE), w["v"] @ w["o"]], axis=1)
 
 
-def _attention(q: np.ndarray, k: np.ndarray, first: int = 0) -> np.ndarray:
+def _sums(a: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, kept as an axis of one."""
+    return (a.reshape(-1, a.shape[-1]) @ np.ones(a.shape[-1], a.dtype)).reshape(*a.shape[:-1], 1)
+
+
+def _attention(asks: np.ndarray, keys: np.ndarray, first: int = 0) -> np.ndarray:
     """Attention of the places from ``first`` on to themselves and those before."""
-    a = q @ k.transpose(0, 2, 1)
-    a *= _SCALE
-    a += _MASK[first:k.shape[1], :k.shape[1]]
-    if a.max(initial=0) > 60:  # else exp can't overflow
+    a = asks @ keys.transpose(0, 2, 1)
+    n = np.arange(a.shape[1])
+    if a.max(initial=0) > 60 or a[:, n, n + first].min(initial=0) < -60:  # else exp is safe
+        a += _MASK[first:keys.shape[1], :keys.shape[1]]
         a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a *= 1 / a.sum(axis=2, keepdims=True)
+        np.exp(a, out=a)
+    else:
+        np.exp(a, out=a)
+        a *= _PAST[first:keys.shape[1], :keys.shape[1]]
+    a *= 1 / _sums(a)
     return a
 
 
+def _embedded(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    h0 = w["e"].take(x.ravel(), axis=0).reshape(*x.shape, WIDTH)
+    h0 += w["p"][:x.shape[1]]
+    return h0
+
+
 def forward(w: dict[str, np.ndarray], x: np.ndarray, rows: np.ndarray | None = None) -> tuple:
     """What stands before the output at every place of the windows (or at ``rows``), and
     what the gradient needs."""
-    h0 = w["e"][x] + w["p"][:x.shape[1]]
-    q, k, v = (_times(h0, w[name]) for name in "qkv")
-    a = _attention(q, k)
-    c = a @ v
-    h1 = (h0 + _times(c, w["o"])).reshape(-1, WIDTH)
+    h0, mixed = _embedded(w, x), _mixed(w)
+    t = (h0.reshape(-1, WIDTH) @ mixed).reshape(*x.shape, 2 * WIDTH)
+    a = _attention(t[..., :WIDTH], h0)
+    h1 = a @ t[..., WIDTH:]
+    h1 += h0
+    h1 = h1.reshape(-1, WIDTH)
     if rows is not None:
-        h1 = h1[rows]
-    z = np.maximum(h1 @ w["w1"] + w["b1"], 0)
-    return h1 + z @ w["w2"], (h0, q, k, v, a, c, h1, z)
+        h1 = h1.take(rows, axis=0)
+    z = h1 @ w["w1"]
+    z += w["b1"]
+    np.maximum(z, 0, out=z)
+    return h1 + z @ w["w2"], (h0, mixed, t, a, h1, z)
 
 
-def hidden(w: dict[str, np.ndarray], x: np.ndarray, first: int) -> np.ndarray:
+def hidden(w: dict[str, np.ndarray], x: np.ndarray, first: int, mixed: np.ndarray | None = None) -> np.ndarray:
     """``forward`` for the places from ``first`` on of each window, all that scoring needs."""
-    h0 = w["e"].take(x.ravel(), axis=0).reshape(*x.shape, WIDTH)
-    h0 += w["p"][:x.shape[1]]
-    asks = np.ascontiguousarray(h0[:, first:])
-    c = _attention(_times(asks, w["q"]), _times(h0, w["k"]), first) @ _times(h0, w["v"])
-    h1 = asks.reshape(-1, WIDTH)
-    h1 += c.reshape(-1, WIDTH) @ w["o"]
+    h0, mixed = _embedded(w, x), _mixed(w) if mixed is None else mixed
+    h1 = np.ascontiguousarray(h0[:, first:])
+    asks = (h1.reshape(-1, WIDTH) @ mixed[:, :WIDTH]).reshape(h1.shape)
+    gives = (h0.reshape(-1, WIDTH) @ mixed[:, WIDTH:]).reshape(h0.shape)
+    c = _attention(asks, h0, first) @ gives
+    c += h1
+    h1 = c.reshape(-1, WIDTH)
     z = h1 @ w["w1"]
     z += w["b1"]
     np.maximum(z, 0, out=z)
     return h1 + z @ w["w2"]
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+def _safe(logits: np.ndarray) -> np.ndarray:
+    """The logits, moved where exp could overflow or vanish."""
+    if logits.max(initial=0) > 60 or logits.min(initial=0) < -60:
+        logits -= logits.max(axis=1, keepdims=True)
     return logits
 
 
-def _grouped(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Groups of classes, and the places of the targets in each."""
-    group = target // MEMBERS
-    order = np.argsort(group, kind="stable")
-    ends = np.cumsum(np.bincount(group, minlength=GROUPS))
-    for g, (i, j) in enumerate(zip(np.r_[0, ends[:-1]], ends, strict=True)):
-        if i < j:
-            yield g, order[i:j]
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    np.exp(_safe(logits), out=logits)
+    logits *= 1 / _sums(logits)
+    return logits
 
 
 def _picked(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log softmax of each row at its target."""
-    logits -= logits.max(axis=1, keepdims=True)
-    own = logits[np.arange(len(logits)), target]
+    own = _safe(logits)[np.arange(len(logits)), target]
     np.exp(logits, out=logits)
-    return own - np.log(logits.sum(axis=1))
+    return own - np.log(_sums(logits).ravel())
+
+
+def _member_logits(w: dict[str, np.ndarray], h2: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Logits of each row within the group of its target, and the rows of each group; targets ascend."""
+    ends = np.searchsorted(target, np.arange(1, GROUPS + 1) * MEMBERS).tolist()
+    spans = [(g, i, j) for g, (i, j) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if i < j]
+    logits = np.empty((len(h2), MEMBERS), h2.dtype)
+    for g, i, j in spans:
+        np.matmul(h2[i:j], w["u"][g], out=logits[i:j])
+        logits[i:j] += w["b"][g]
+    return logits, spans
+
+
+def _ascending(target: np.ndarray) -> np.ndarray:
+    """The order of the classes (few, so a sort of short numbers)."""
+    return np.argsort(target.astype(np.uint16), kind="stable")
 
 
 def log_likelihood(w: dict[str, np.ndarray], h2: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log probability of each target class."""
-    order = np.argsort(target, kind="stable")
-    h2, target = h2[order], target[order]
+    order = _ascending(target)
+    h2, target = h2.take(order, axis=0), target[order]
     logs = _picked(h2 @ w["s"] + w["sb"], target // MEMBERS)
-    ends = np.searchsorted(target, np.arange(1, GROUPS + 1) * MEMBERS)
-    for g, (i, j) in enumerate(zip(np.r_[0, ends[:-1]], ends, strict=True)):
-        if i < j:
-            logs[i:j] += _picked(h2[i:j] @ w["u"][g] + w["b"][g], target[i:j] % MEMBERS)
+    logs += _picked(_member_logits(w, h2, target)[0], target % MEMBERS)
     out = np.empty_like(logs)
     out[order] = logs
     return out
@@ -243,57 +271,67 @@ def log_likelihood(w: dict[str, np.ndarray], h2: np.ndarray, target: np.ndarray)
 def _gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, live: np.ndarray) -> tuple[float, np.ndarray]:
     """Summed loss, and the gradient of the mean loss."""
     on = np.flatnonzero(live.ravel())
-    h2, (h0, q, k, v, a, c, h1, z) = forward(w, x, on)
     target = y.ravel()[on]
+    order = _ascending(target)
+    on, target = on[order], target[order]
+    h2, (h0, mixed, t, a, h1, z) = forward(w, x, on)
     flat = np.zeros(_SIZE, w["e"].dtype)
     g = _params(flat)
     share = w["e"].dtype.type(1 / max(1, len(on)))
-    p = _softmax(h2 @ w["s"] + w["sb"])
-    at = np.arange(len(on))
-    loss = -float(np.log(p[at, target // MEMBERS]).sum())
-    p[at, target // MEMBERS] -= 1
-    p *= share
-    g["s"][:], g["sb"][:] = h2.T @ p, p.sum(axis=0)
-    d2 = p @ w["s"].T
-    for group, own in _grouped(target):
-        p = _softmax(h2[own] @ w["u"][group] + w["b"][group])
-        at = np.arange(len(own))
-        loss -= float(np.log(p[at, target[own] % MEMBERS]).sum())
-        p[at, target[own] % MEMBERS] -= 1
+    at, loss = np.arange(len(on)), 0.0
+    logits, spans = _member_logits(w, h2, target)
+    outer, inner = _softmax(h2 @ w["s"] + w["sb"]), _softmax(logits)
+    for p, own in ((outer, target // MEMBERS), (inner, target % MEMBERS)):
+        hit = p[at, own]
+        loss -= float(np.log(hit).sum())
+        p[at, own] = hit - 1
         p *= share
-        g["u"][group], g["b"][group] = h2[own].T @ p, p.sum(axis=0)
-        d2[own] += p @ w["u"][group].T
+    g["s"][:], g["sb"][:] = h2.T @ outer, outer.sum(axis=0)
+    d2 = np.empty_like(h2)
+    for group, i, j in spans:
+        p = inner[i:j]
+        np.matmul(h2[i:j].T, p, out=g["u"][group])
+        np.matmul(p, w["u"][group].T, out=d2[i:j])
+    if spans:
+        g["b"][[x[0] for x in spans]] = np.add.reduceat(inner, [x[1] for x in spans], axis=0)
+    d2 += outer @ w["s"].T
     g["w2"][:] = z.T @ d2
-    dz = (d2 @ w["w2"].T) * (z > 0)
+    dz = d2 @ w["w2"].T
+    dz *= z > 0
     g["w1"][:], g["b1"][:] = h1.T @ dz, dz.sum(axis=0)
-    d1 = np.zeros((x.size, WIDTH), d2.dtype)
-    d1[on] = d2 + dz @ w["w1"].T
+    d2 += dz @ w["w1"].T
+    d1 = (np.empty if len(on) == x.size else np.zeros)((x.size, WIDTH), d2.dtype)
+    d1[on] = d2
     d1 = d1.reshape(h0.shape)
-    g["o"][:] = c.reshape(-1, WIDTH).T @ d1.reshape(-1, WIDTH)
-    dc = _times(d1, w["o"].T)
-    da = dc @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * _SCALE
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    d0 = d1 + _times(dq, w["q"].T) + _times(dk, w["k"].T) + _times(dv, w["v"].T)
-    flat0 = h0.reshape(-1, WIDTH)
-    for name, d in (("q", dq), ("k", dk), ("v", dv)):
-        g[name][:] = flat0.T @ d.reshape(-1, WIDTH)
-    g["p"][:x.shape[1]] = d0.sum(axis=0)
-    order = np.argsort(x.ravel(), kind="stable")
+    # a place's asking and giving, and what it is as a key
+    ds = d1 @ t[..., WIDTH:].transpose(0, 2, 1)
+    ds *= a
+    ds -= a * _sums(ds)
+    dt = np.empty_like(t)
+    np.matmul(ds, h0, out=dt[..., :WIDTH])
+    np.matmul(a.transpose(0, 2, 1), d1, out=dt[..., WIDTH:])
+    d1 += ds.transpose(0, 2, 1) @ t[..., :WIDTH]
+    d0, dt = d1.reshape(-1, WIDTH), dt.reshape(-1, 2 * WIDTH)
+    d0 += dt @ mixed.T
+    dm = h0.reshape(-1, WIDTH).T @ dt
+    asked, given = dm[:, :WIDTH] * _SCALE, dm[:, WIDTH:]
+    g["q"][:], g["k"][:] = asked @ w["k"], asked.T @ w["q"]
+    g["v"][:], g["o"][:] = given @ w["o"].T, w["v"].T @ given
+    g["p"][:x.shape[1]] = d1.sum(axis=0)
+    order = _ascending(x.ravel())
     sorted_x = x.ravel()[order]
-    cut = np.flatnonzero(np.r_[True, sorted_x[1:] != sorted_x[:-1]])
-    g["e"][sorted_x[cut]] = np.add.reduceat(d0.reshape(-1, WIDTH)[order], cut, axis=0)
+    first = np.flatnonzero(np.r_[True, sorted_x[1:] != sorted_x[:-1]])
+    g["e"][sorted_x[first]] = np.add.reduceat(d0.take(order, axis=0), first, axis=0)
     return loss, flat
 
 
-def _windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _windows(bounds: np.ndarray, stride: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Text and first input of each window."""
     n = np.diff(bounds)
-    many = 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE))
+    many = 1 + np.maximum(0, -(-(n - WINDOW) // stride))
     text = np.repeat(np.arange(len(n)), many)
     number = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    return text, number * STRIDE
+    return text, number * stride
 
 
 def _inputs(bounds: np.ndarray, classes: np.ndarray, text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -311,12 +349,13 @@ def log_probabilities(model: Model, bounds: np.ndarray, classes: np.ndarray, bat
     """Log probability (base e) of the class of each token, each scored once.  First windows
     score all their inputs, later ones the last ``STRIDE``."""
     w = _params(model.weights)
+    mixed = _mixed(w)
     out = np.zeros(len(classes))
     # the input of each token is the token before; what lies beyond a text's end is not scored,
     # and what comes later is masked for what is
     before = np.r_[np.int32(BEGIN), classes[:-1]]
     before[bounds[:-1]] = BEGIN
-    text, start = _windows(bounds)
+    text, start = _windows(bounds, STRIDE)
     start, end = bounds[:-1][text] + start, bounds[1:][text]
     fresh = np.r_[True, text[1:] != text[:-1]]
     for which, first in ((np.flatnonzero(fresh), 0), (np.flatnonzero(~fresh), WINDOW - STRIDE)):
@@ -327,7 +366,8 @@ def log_probabilities(model: Model, bounds: np.ndarray, classes: np.ndarray, bat
             live = (at < end[own][:, None])[:, first:].ravel()
             np.minimum(at, len(classes) - 1, out=at)
             place = at[:, first:].ravel()[live]
-            out[place] = log_likelihood(w, hidden(w, before[at], first)[live], classes[place])
+            h2 = hidden(w, before[at], first, mixed)
+            out[place] = log_likelihood(w, h2 if live.all() else h2[live], classes[place])
     return out
 
 
@@ -348,8 +388,18 @@ def train(model: Model, bounds: np.ndarray, classes: np.ndarray, seed: int, step
         own = order[a:a + BATCH]
         x, y, live = _inputs(bounds, classes, text[own], first[own])
         _, g = _gradient(_params(flat), x, y, live)
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        flat -= np.float32(rate * min(1, t / 10) * (1 - 0.9 * t / steps)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + np.float32(1e-6))
+        m *= np.float32(0.9)
+        m += np.float32(0.1) * g
+        v *= np.float32(0.99)
+        g *= g
+        g *= np.float32(0.01)
+        v += g
+        np.multiply(v, np.float32(1 / (1 - 0.99**t)), out=g)
+        np.sqrt(g, out=g)
+        g += np.float32(1e-6)
+        np.divide(m, g, out=g)
+        g *= np.float32(rate * min(1, t / 10) * (1 - 0.9 * t / steps) / (1 - 0.9**t))
+        flat -= g
         done += int(live.sum())
     return flat, done
 

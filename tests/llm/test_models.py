@@ -226,3 +226,30 @@ def test_lm_steps_cover_all_windows(monkeypatch):
     monkeypatch.setattr(lm_score, "_inputs", inputs)
     lm_score.train(model, bounds, classes, 0, lm_score.steps_over(bounds), 0.01)
     assert seen == set(zip(*(x.tolist() for x in lm_score._windows(bounds))))
+
+
+def test_lm_pass_trains_on_each_token_once():
+    r = np.random.default_rng(6)
+    bounds = np.r_[0, np.cumsum(r.integers(1, 150, 1_000))]
+    classes = r.integers(0, lm_score.HEAD, bounds[-1]).astype(np.int32)
+    model = lm_score.Model(None, None, None, lm_score.initial(np.full(lm_score.CLASSES, 1 / lm_score.CLASSES)))
+    steps = -(-len(lm_score._windows(bounds)[0]) // lm_score.BATCH)
+    weights, trained = lm_score.train(model, bounds, classes, 0, steps, 0.01)
+    assert trained == bounds[-1] and np.isfinite(weights).all()
+
+
+def test_lm_extreme_scores():
+    """Attention and softmax where exp would overflow or vanish."""
+    r = np.random.default_rng(7)
+    asks, keys = (r.standard_normal((2, lm_score.WINDOW, lm_score.WIDTH)) for _ in range(2))
+    for scale in (1, 40):
+        a = asks @ keys.transpose(0, 2, 1) * scale - 100 * (scale - 1)
+        a = np.where(np.tril(np.ones(a.shape[1:], bool)), a, -np.inf)
+        want = np.exp(a - a.max(axis=2, keepdims=True))
+        want /= want.sum(axis=2, keepdims=True)
+        moved = np.concatenate([asks * scale, np.full((*asks.shape[:2], 1), -100.0 * (scale - 1))], axis=2)
+        got = lm_score._attention(moved, np.concatenate([keys, np.ones((*keys.shape[:2], 1))], axis=2))
+        assert np.allclose(got, want, atol=1e-6)
+        logits = r.standard_normal((50, 32)) * scale - 100 * (scale - 1)
+        want = np.exp(logits - logits.max(axis=1, keepdims=True))
+        assert np.allclose(lm_score._softmax(logits.copy()), want / want.sum(axis=1, keepdims=True))
