@@ -82,6 +82,8 @@ class Vocabulary:
     alone: np.ndarray              # bytes that stand in no piece of several characters
     longest: int
     _tables: tuple | None = field(default=None, repr=False)
+    _short: tuple | None = field(default=None, repr=False)
+    _names: np.ndarray | None = field(default=None, repr=False)
 
     @staticmethod
     def load(path: str = MODEL) -> Vocabulary:
@@ -148,14 +150,29 @@ class Vocabulary:
                 break
         return out
 
+    def short(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``keys`` of all beginnings of one and of two bytes, -1 for those that are none."""
+        if self._short is None:
+            byte, table = np.arange(1, 257).astype(np.uint64), powers(0, 64)
+            pairs = (byte[:, None] * table[0] + byte * table[1]).ravel()
+            self._short = self.find(mix(byte * table[0] + np.uint64(1))), self.find(mix(pairs + np.uint64(2)))
+        return self._short
+
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_tables": None}
+        return self.__dict__ | {"_tables": None, "_short": None, "_names": None}
 
     def decode(self, ids: Sequence[int]) -> str:
-        raw = b"".join([self.pieces[i] for i in ids])
+        if self._names is None:
+            self._names = np.array(self.pieces, object)
+        raw = b"".join(self._names[np.asarray(ids, np.intp)].tolist())
         return raw[1:].decode() if raw[:1] == b" " else raw.decode()
 
 
+def _ascending(x: np.ndarray) -> np.ndarray:
+    """The stable order of numbers from 0 on; short ones sort by their digits."""
+    return np.argsort(x.astype(np.uint16) if x.max(initial=0) < 1 << 16 else x, kind="stable")
+
+
 class Lattice:
     """The lattices of distinct units, held over the slices of a task: per node its steps, longest
     first.  Units are added as slices bring them; what a unit's lattice holds doesn't depend on the others."""
@@ -187,7 +204,11 @@ class Lattice:
         """The first node of each unit, given by its hash and its place in ``data``."""
         if self.steps > HELD:
             self.clear()
-        own, where, unit = np.unique(h, return_index=True, return_inverse=True)
+        order = np.argsort(h)
+        ranked = h[order]
+        new = np.r_[True, ranked[1:] != ranked[:-1]]
+        own, where, unit = ranked[new], order[new], np.empty(len(h), np.int64)  # any occurrence will do
+        unit[order] = np.cumsum(new) - 1
         place = np.searchsorted(self.keys, own)
         new = np.ones(len(own), bool)
         inside = np.flatnonzero(place < len(self.keys))
@@ -215,7 +236,8 @@ class Lattice:
         lead = byte[at]
         width = np.where(lead < 0xC0, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
         known = np.zeros(total, bool)
-        h = np.zeros(len(at), np.uint64)
+        one, two = vocabulary.short()
+        h = np.zeros(len(at), np.uint64)  # of the first bytes, from the second on
         active, wide, limit = at, width, end[at]
         found = []  # by length: nodes where a step of that length begins, and its piece
         for n in range(1, vocabulary.longest + 1):
@@ -224,10 +246,17 @@ class Lattice:
                 active, wide, h, limit = active[fits], wide[fits], h[fits], limit[fits]
             if not len(active):
                 break
-            h = h + (byte[active + n - 1].astype(np.uint64) + np.uint64(1)) * table[n - 1]
-            got = vocabulary.find(mix(h + np.uint64(n)))
+            if n == 1:
+                got = one[byte[active]]
+            elif n == 2:
+                got = two[byte[active].astype(np.intp) << 8 | byte[active + 1]]
+            else:
+                h = h + (byte[active + n - 1].astype(np.uint64) + np.uint64(1)) * table[n - 1]
+                got = vocabulary.find(mix(h + np.uint64(n)))
             some = np.flatnonzero(got >= 0)
             active, wide, h, limit, got = active[some], wide[some], h[some], limit[some], got[some]
+            if n == 2:
+                h = (byte[active].astype(np.uint64) + np.uint64(1)) * table[0] + (byte[active + 1].astype(np.uint64) + np.uint64(1)) * table[1]
             ids = vocabulary.ids[got]
             edge = np.flatnonzero((ids >= 0) & border[active + n])
             known[active[edge[wide[edge] == n]]] = True
@@ -235,9 +264,7 @@ class Lattice:
         lost = ~known[at]
         found += [(w, at[lost & (width == w)], -1) for w in np.unique(width[lost])]
         found.sort(key=lambda x: -x[0])  # a node has one step of a length at most
-        count = np.zeros(total, np.int64)
-        for _, nodes, _ in found:
-            count[nodes] += 1
+        count = np.bincount(np.concatenate([x[1] for x in found]) if found else at, minlength=total)
         first = np.cumsum(count) - count
         edges = int(count.sum())
         source, target, piece = np.repeat(np.arange(total), count), np.zeros(edges, np.int64), np.full(edges, -1, np.int32)
@@ -247,28 +274,32 @@ class Lattice:
             target[place], piece[place] = nodes + n, ids
             filled[nodes] += 1
         fallback = float(vocabulary.log_weight[-1]) - 1
-        weight = np.where(piece >= 0, vocabulary.log_weight[piece], fallback * (target - source))
+        weight, lost = vocabulary.log_weight[piece], np.flatnonzero(piece < 0)
+        weight[lost] = fallback * (target[lost] - source[lost])
         # log mass of all ways from each node to its unit's end, nodes nearest to the end first
         mass = np.zeros(total)
-        left = end[at] - at
-        order = np.argsort(left, kind="stable")
-        for nodes in np.split(at[order], np.flatnonzero(np.diff(left[order])) + 1) if len(at) else []:
-            e, value = first[nodes], None
-            rest = np.arange(len(nodes))
+        left, many = end[at] - at, count[at]
+        most = int(many.max(initial=0))
+        order = _ascending(left * (most + 1) + most - many)  # at one distance, those with most steps first
+        near, starts, many = first[at[order]], at[order], many[order]
+        cuts = np.r_[0, np.flatnonzero(np.diff(left[order])) + 1, len(at)].tolist() if len(at) else []
+        for a, b in zip(cuts, cuts[1:]):
+            e, fewer = near[a:b], -many[a:b]
             value = weight[e] + mass[target[e]]
-            for j in range(1, int(count[nodes].max())):
-                rest = rest[count[nodes[rest]] > j]
-                e = first[nodes[rest]] + j
-                value[rest] = np.logaddexp(value[rest], weight[e] + mass[target[e]])
-            mass[nodes] = value
-        step = np.minimum(weight + mass[target] - mass[source], 0.0)
+            for j in range(1, int(many[a])):
+                n = int(np.searchsorted(fewer, -j))  # those with more than j steps
+                more = e[:n] + j
+                np.logaddexp(value[:n], weight[more] + mass[target[more]], out=value[:n])
+            mass[starts[a:b]] = value
+        step = np.minimum(weight + mass[target] - np.repeat(mass, count), 0.0)
         # unknown characters of one byte are pieces; longer ones stay -1 until they are written
-        single = np.flatnonzero((piece < 0) & (target - source == 1))
+        single = lost[target[lost] - source[lost] == 1]
         piece[single] = vocabulary.byte_ids[byte[source[single]]]
-        sums, nodes = np.exp(step), at
-        for j in range(1, int(count.max(initial=0))):
-            nodes = nodes[count[nodes] > j]
-            sums[first[nodes] + j] += sums[first[nodes] + j - 1]
+        sums, order = np.exp(step), _ascending(most - many)
+        near, fewer = near[order], -many[order]
+        for j in range(1, most):
+            e = near[:int(np.searchsorted(fewer, -j))] + j
+            sums[e] += sums[e - 1]
         sums[first[at] + count[at] - 1] = 2.0  # the last step takes what is left
         self._append(self.nodes, is_end=is_end, byte=byte, first=first + self.steps, after=first + count + self.steps)
         self._append(self.steps, source=source + self.nodes, target=target + self.nodes, piece=piece, step=step, sums=sums)
@@ -282,18 +313,19 @@ class Lattice:
         taken, count, t = [], np.zeros(len(nodes), np.int64), 0
         with np.errstate(over="ignore"):
             while len(active):
-                u = _uniform(seeds[active] + np.uint64(t + 1) * _C)
+                u = _uniform(seeds + np.uint64(t + 1) * _C)
                 e = self.first[node]
                 more = np.flatnonzero(self.sums[e] <= u)
                 while len(more):
                     e[more] += 1
                     more = more[self.sums[e[more]] <= u[more]]
                 taken.append((active, e))
-                count[active] += 1
-                node = self.target[e]
-                alive = ~self.is_end[node]
-                active, node = active[alive], node[alive]
                 t += 1
+                node = self.target[e]
+                over = self.is_end[node]
+                count[active[over]] = t
+                alive = np.flatnonzero(~over)
+                active, node, seeds = active[alive], node[alive], seeds[alive]
         bounds = np.r_[0, np.cumsum(count)]
         steps = np.zeros(bounds[-1], np.int64)
         for t, (active, e) in enumerate(taken):
@@ -318,7 +350,7 @@ class Lattice:
         piece = self.piece[steps]
         lost = np.flatnonzero(piece < 0)
         if not len(lost):
-            return piece.astype(np.int32)
+            return piece.astype(np.int32, copy=False)
         out, at = [], 0
         for i in lost:
             out += [piece[at:i], vocabulary.byte_ids[self.byte[self.source[steps[i]]:self.target[steps[i]]]]]
@@ -408,7 +440,7 @@ def _search(lattice: Lattice, fresh: list, nodes: np.ndarray, row: int, span: tu
             middle = [step, *lattice.way(int(lattice.target[step]), state(rank, 5))]
             after, after_unit = tail(rank, unit + 1)
             steps = np.concatenate([parent.steps[:t], middle, after])
-            logs = lattice.step[steps]
+            logs = np.concatenate([parent.logs[:t], lattice.step[steps[t:]]])
             before += float(logs[t])
             open_ = _below(best, before + _rest(float(logs[t + 1:].sum())), state(rank, 2))
             paths.append(_Path(steps, _units(parent, t, unit, len(middle), after_unit), logs, best, t + 1, before, open_))
@@ -427,7 +459,9 @@ def sample_slice(texts: pa.Array, keys: np.ndarray, vocabulary: Vocabulary, k: i
     # every text after one space
     out_bounds = np.r_[0, np.cumsum(np.diff(bounds)[some] + 1)]
     data = np.full(out_bounds[-1], 0x20, np.uint8)
-    data[np.delete(np.arange(len(data)), out_bounds[:-1])] = raw
+    own = np.ones(len(data), bool)
+    own[out_bounds[:-1]] = False
+    data[own] = raw
     results: list[list[Sample]] = [[Sample(np.zeros(0, np.int32), 0.0, 0.0)] for _ in range(len(texts))]
     if not len(data):
         return results
@@ -508,8 +542,7 @@ def encoding_report(docs: DataFrame, vocabulary: Vocabulary, k: int = 2) -> Data
             texts, ids = column(batch, "text").to_pylist(), column(batch, "doc_id").to_pylist()
             for doc, text, found in zip(ids, texts, sample_slice(column(batch, "text"), _keys(batch, "doc_id"), shared.value, k, lattice), strict=True):
                 for rank, s in enumerate(found, 1):
-                    own = s.ids.tolist()
-                    rows.append((doc, rank, len(own), hashlib.sha256(s.ids.astype("<i4").tobytes()).hexdigest(), s.log_prob, s.value, s.inclusion, shared.value.decode(own) == (text or "")))
+                    rows.append((doc, rank, len(s.ids), hashlib.sha256(s.ids.astype("<i4").tobytes()).hexdigest(), s.log_prob, s.value, s.inclusion, shared.value.decode(s.ids) == (text or "")))
             names = [x.split()[0] for x in schema.split(", ")]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)

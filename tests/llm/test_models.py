@@ -253,3 +253,12 @@ def test_lm_extreme_scores():
         logits = r.standard_normal((50, 32)) * scale - 100 * (scale - 1)
         want = np.exp(logits - logits.max(axis=1, keepdims=True))
         assert np.allclose(lm_score._softmax(logits.copy()), want / want.sum(axis=1, keepdims=True))
+
+
+def test_short_beginnings_are_not_searched_for(vocabulary, monkeypatch):
+    one, two = vocabulary.short()
+    begin = {raw[:n] for i, raw in enumerate(vocabulary.pieces) if i not in set(vocabulary.byte_ids.tolist()) for n in (1, 2) if len(raw) >= n}
+    assert {bytes([i]) for i in np.flatnonzero(one >= 0)} | {bytes(divmod(int(i), 256)) for i in np.flatnonzero(two >= 0)} == begin
+    monkeypatch.setattr(subword.Vocabulary, "find", lambda *_: pytest.fail("searched"))
+    found = subword.sample_slice(pa.array(["a b \x00 c"]), np.array([1]), vocabulary, 2)
+    assert [vocabulary.decode(s.ids) for s in found[0]] == ["a b \x00 c"] * 2
