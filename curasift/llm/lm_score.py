@@ -52,6 +52,8 @@ WIDTH, HIDDEN, WINDOW, STRIDE = 32, 64, 32, 24
 ROUNDS, LEAST_WORDS, BATCH, LEAST_STEPS = 3, 1_500_000, 64, 120
 #: Words whose counts are broadcast; distinct words held in a task.
 HOT, FLUSH = 1 << 18, 2_000_000
+#: Rows of one product of a sum of products.
+ROWS = 256
 _SHAPES = {"e": (CLASSES, WIDTH), "p": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH),
            "w1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, WIDTH),
            "s": (WIDTH, GROUPS), "sb": (GROUPS,), "u": (GROUPS, WIDTH, MEMBERS), "b": (GROUPS, MEMBERS)}
@@ -63,6 +65,18 @@ _SCALE = np.float32(1 / math.sqrt(WIDTH))
 
 # ---------------------------------------------------------------- subword ids
 
+def distinct(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the distinct words, ascending, a place of each, and which of them each word
+    is; any place will do, so the sort need not be stable."""
+    h = found.hashes()
+    order = np.argsort(h)
+    h = h[order]
+    new = np.r_[True, h[1:] != h[:-1]][:len(h)]
+    unit = np.empty(len(h), np.int64)
+    unit[order] = np.cumsum(new) - 1
+    return h[new], order[new], unit
+
+
 def longest_match(vocabulary: Vocabulary, found: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bounds and piece ids of the chosen words, each after a space, by longest match."""
     starts, lens = found.starts[which], found.ends[which] - found.starts[which] + 1
@@ -72,23 +86,26 @@ def longest_match(vocabulary: Vocabulary, found: Words, which: np.ndarray) -> tu
     byte = found.data[np.maximum(np.repeat(starts, lens) + inside - 1, 0)] if total else np.zeros(0, np.uint8)
     byte[first] = 0x20
     border = np.r_[(byte & 0xC0) != 0x80, True]
+    value = byte.astype(np.uint64) + np.uint64(1)
     table = powers(0, 64)
     at, end, owner = first.copy(), first + lens, np.arange(len(which))
     taken, step, count = [], 0, np.zeros(len(which), np.int64)
     while len(at):
         best, size = np.full(len(at), -1), np.ones(len(at), np.int64)
-        active, h = np.arange(len(at)), np.zeros(len(at), np.uint64)
+        # the places where a piece may still go on: their numbers, what comes next and what is left
+        active, go, left, h = np.arange(len(at)), at, end - at, np.zeros(len(at), np.uint64)
         for n in range(1, vocabulary.longest + 1):
-            fits = at[active] + n <= end[active]
-            active, h = active[fits], h[fits]
-            if not len(active):
+            on = np.flatnonzero(left >= n)
+            if not len(on):
                 break
-            h = h + (byte[at[active] + n - 1].astype(np.uint64) + np.uint64(1)) * table[n - 1]
+            if len(on) < len(active):
+                active, go, left, h = active[on], go[on], left[on], h[on]
+            h = h + value[go] * table[n - 1]
             got = vocabulary.find(mix(h + np.uint64(n)))
-            some = got >= 0
-            active, h, got = active[some], h[some], got[some]
-            ids = vocabulary.ids[got]
-            whole = (ids >= 0) & border[at[active] + n]
+            on = np.flatnonzero(got >= 0)
+            active, go, left, h = active[on], go[on] + 1, left[on], h[on]
+            ids = vocabulary.ids[got[on]]
+            whole = np.flatnonzero((ids >= 0) & border[go])
             best[active[whole]], size[active[whole]] = ids[whole], n
         lost = best < 0  # an unknown character goes byte by byte
         best[lost] = vocabulary.byte_ids[byte[at[lost]]]
@@ -120,19 +137,19 @@ class Model:
     share: np.ndarray        # log probability of a piece within its class
     weights: np.ndarray      # all parameters
 
-    def sequences(self, found: Words, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bounds, classes and within-class log probabilities of each text's pieces and end."""
-        _, where, unit = np.unique(found.hashes(), return_index=True, return_inverse=True)
+    def sequences(self, found: Words, texts: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bounds, classes and within-class log probabilities of each text's pieces and end;
+        ``known``: a place of each distinct word, and which of them each word is."""
+        where, unit = known or distinct(found)[1:]
         bounds, ids = longest_match(self.vocabulary, found, where)
         n = np.diff(bounds)[unit]
         place = _expand(bounds, unit)
-        flat = ids[place]
         ends = np.r_[0, np.cumsum(n)][found.offsets[1:]] if len(unit) else np.zeros(texts, np.int64)
         out_bounds = np.r_[0, ends + np.arange(1, texts + 1)]
         classes, share = np.full(out_bounds[-1], END, np.int32), np.zeros(out_bounds[-1])
         piece = np.ones(out_bounds[-1], bool)
         piece[out_bounds[1:] - 1] = False
-        classes[piece], share[piece] = self.class_of[flat], self.share[flat]
+        classes[piece], share[piece] = self.class_of[ids][place], self.share[ids][place]
         return out_bounds, classes, share
 
 
@@ -168,6 +185,20 @@ def _sums(a: np.ndarray) -> np.ndarray:
     return (a.reshape(-1, a.shape[-1]) @ np.ones(a.shape[-1], a.dtype)).reshape(*a.shape[:-1], 1)
 
 
+def _crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a.T @ b`` over many rows: small products of ``ROWS`` rows, which need no packing, and their sum."""
+    whole = len(a) - len(a) % ROWS
+    out = a[whole:].T @ b[whole:]
+    if whole:
+        out += (a[:whole].reshape(-1, ROWS, a.shape[1]).transpose(0, 2, 1) @ b[:whole].reshape(-1, ROWS, b.shape[1])).sum(axis=0)
+    return out
+
+
+def _total(a: np.ndarray) -> np.ndarray:
+    """Sums over the rows."""
+    return np.ones(len(a), a.dtype) @ a
+
+
 def _attention(asks: np.ndarray, keys: np.ndarray, first: int = 0) -> np.ndarray:
     """Attention of the places from ``first`` on to themselves and those before."""
     a = asks @ keys.transpose(0, 2, 1)
@@ -286,7 +317,7 @@ def _gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, live: np.n
         loss -= float(np.log(hit).sum())
         p[at, own] = hit - 1
         p *= share
-    g["s"][:], g["sb"][:] = h2.T @ outer, outer.sum(axis=0)
+    g["s"][:], g["sb"][:] = _crossed(h2, outer), _total(outer)
     d2 = np.empty_like(h2)
     for group, i, j in spans:
         p = inner[i:j]
@@ -295,10 +326,10 @@ def _gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, live: np.n
     if spans:
         g["b"][[x[0] for x in spans]] = np.add.reduceat(inner, [x[1] for x in spans], axis=0)
     d2 += outer @ w["s"].T
-    g["w2"][:] = z.T @ d2
+    g["w2"][:] = _crossed(z, d2)
     dz = d2 @ w["w2"].T
     dz *= z > 0
-    g["w1"][:], g["b1"][:] = h1.T @ dz, dz.sum(axis=0)
+    g["w1"][:], g["b1"][:] = _crossed(h1, dz), _total(dz)
     d2 += dz @ w["w1"].T
     d1 = (np.empty if len(on) == x.size else np.zeros)((x.size, WIDTH), d2.dtype)
     d1[on] = d2
@@ -313,7 +344,7 @@ def _gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, live: np.n
     d1 += ds.transpose(0, 2, 1) @ t[..., :WIDTH]
     d0, dt = d1.reshape(-1, WIDTH), dt.reshape(-1, 2 * WIDTH)
     d0 += dt @ mixed.T
-    dm = h0.reshape(-1, WIDTH).T @ dt
+    dm = _crossed(h0.reshape(-1, WIDTH), dt)
     asked, given = dm[:, :WIDTH] * _SCALE, dm[:, WIDTH:]
     g["q"][:], g["k"][:] = asked @ w["k"], asked.T @ w["q"]
     g["v"][:], g["o"][:] = given @ w["o"].T, w["v"].T @ given
@@ -436,7 +467,8 @@ def _counts(shared):
             found = _split(batch)
             if not len(found.starts):
                 continue
-            h, where, n = np.unique(found.hashes(), return_index=True, return_counts=True)
+            h, where, unit = distinct(found)
+            n = np.bincount(unit)
             bounds, ids = longest_match(shared.value, found, where)
             pieces = np.bincount(ids, np.repeat(n, np.diff(bounds)), len(shared.value.pieces)).astype(np.int64)
             some = np.flatnonzero(pieces)
@@ -558,23 +590,25 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
         words_, n_ = hot_shared.value
         for batch in slices(batches):
             found, rows = _split(batch), batch.num_rows
-            h, doc = found.hashes(), found.docs()
+            h, where, unit = distinct(found)
+            doc = found.docs()
             place = np.minimum(np.searchsorted(words_, h), max(0, len(words_) - 1))
-            hit = words_[place] == h if len(words_) else np.zeros(len(h), bool)
-            base = np.bincount(doc[hit], np.log10(n_[place[hit]] + 1.0) - floor, rows) + end_score
+            hot_ = words_[place] == h if len(words_) else np.zeros(len(h), bool)
+            own = np.zeros(len(h))
+            own[hot_] = np.log10(n_[place[hot_]] + 1.0) - floor
+            hit = hot_[unit]
+            base = np.bincount(doc[hit], own[unit[hit]], rows) + end_score
             known = np.bincount(doc[hit], minlength=rows) + (ends > 0)
-            rare, at = h[~hit], doc[~hit]
-            order = np.lexsort((rare, at))
-            rare, at = rare[order], at[order]
-            cut = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (at[1:] != at[:-1])]) if len(rare) else np.zeros(0, np.int64)
-            lists = np.searchsorted(at[cut], np.arange(rows + 1)).astype(np.int32)
-            times = np.diff(np.r_[cut, len(rare)])
-            bounds, classes, share = scorer_model().sequences(found, rows)
+            # by text, then by word: the distinct words ascend
+            pair, times = np.unique(doc[~hit] * max(1, len(h)) + unit[~hit], return_counts=True)
+            at, rare = np.divmod(pair, max(1, len(h)))
+            lists = np.searchsorted(at, np.arange(rows + 1)).astype(np.int32)
+            bounds, classes, share = scorer_model().sequences(found, rows, (where, unit))
             logs = log_probabilities(scorer_model(), bounds, classes) + share
             yield pa.RecordBatch.from_pydict({
                 "doc_id": column(batch, "doc_id"), "held_out": column(batch, "held_out"), "n_tokens": pa.array(np.diff(found.offsets) + 1),
                 "known": pa.array(known.astype(np.int64)), "base": pa.array(base), "score": pa.array(np.add.reduceat(logs, bounds[:-1]) / math.log(10)),
-                "rare": pa.ListArray.from_arrays(pa.array(lists), pa.array(signed(rare[cut]))), "times": pa.ListArray.from_arrays(pa.array(lists), pa.array(times.astype(np.int32)))})
+                "rare": pa.ListArray.from_arrays(pa.array(lists), pa.array(signed(h[rare]))), "times": pa.ListArray.from_arrays(pa.array(lists), pa.array(times.astype(np.int32)))})
 
     def scorer_model() -> Model:
         return shared.value

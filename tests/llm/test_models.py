@@ -262,3 +262,26 @@ def test_short_beginnings_are_not_searched_for(vocabulary, monkeypatch):
     monkeypatch.setattr(subword.Vocabulary, "find", lambda *_: pytest.fail("searched"))
     found = subword.sample_slice(pa.array(["a b \x00 c"]), np.array([1]), vocabulary, 2)
     assert [vocabulary.decode(s.ids) for s in found[0]] == ["a b \x00 c"] * 2
+
+
+@pytest.mark.parametrize("rows", [0, 1, 255, 256, 257, 2_000])
+def test_lm_products_over_rows(rows):
+    r = np.random.default_rng(8)
+    a, b = r.standard_normal((rows, 32)), r.standard_normal((rows, 64))
+    assert np.allclose(lm_score._crossed(a, b), a.T @ b)
+    assert np.allclose(lm_score._total(b), b.sum(axis=0))
+
+
+def test_lm_sequences_of_known_distinct_words():
+    """Scoring looks for the distinct words of a slice once, for its counts and its pieces."""
+    vocabulary = subword.Vocabulary.load(subword.MODEL)
+    r = np.random.default_rng(9)
+    size = len(vocabulary.pieces)
+    model = lm_score.Model(vocabulary, r.integers(0, lm_score.HEAD, size).astype(np.int32), r.standard_normal(size), None)
+    for texts in (["the cat and the hat, The END", None, "", "the été été", "\x00 \U0001f600"], [None, ""]):
+        found = lm_score.words(pa.array(texts, pa.string()), lm_score.SPACES, lower=True)
+        h, where, unit = lm_score.distinct(found)
+        want_h, want_unit = np.unique(found.hashes(), return_inverse=True)
+        assert np.array_equal(h, want_h) and np.array_equal(unit, want_unit) and np.array_equal(found.hashes()[where], h)
+        got, want = model.sequences(found, len(texts), (where, unit)), model.sequences(found, len(texts))
+        assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True)) and len(got[0]) == len(texts) + 1
