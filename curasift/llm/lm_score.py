@@ -52,8 +52,6 @@ WIDTH, HIDDEN, WINDOW, STRIDE = 32, 64, 32, 24
 ROUNDS, LEAST_WORDS, BATCH, LEAST_STEPS = 3, 1_500_000, 64, 120
 #: Words whose counts are broadcast; distinct words held in a task.
 HOT, FLUSH = 1 << 18, 2_000_000
-#: Rows of one product of a sum of products.
-ROWS = 256
 _SHAPES = {"e": (CLASSES, WIDTH), "p": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH),
            "w1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, WIDTH),
            "s": (WIDTH, GROUPS), "sb": (GROUPS,), "u": (GROUPS, WIDTH, MEMBERS), "b": (GROUPS, MEMBERS)}
@@ -185,25 +183,10 @@ def _sums(a: np.ndarray) -> np.ndarray:
     return (a.reshape(-1, a.shape[-1]) @ np.ones(a.shape[-1], a.dtype)).reshape(*a.shape[:-1], 1)
 
 
-def _crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """``a.T @ b`` over many rows: small products of ``ROWS`` rows, which need no packing, and their sum."""
-    whole = len(a) - len(a) % ROWS
-    out = a[whole:].T @ b[whole:]
-    if whole:
-        out += (a[:whole].reshape(-1, ROWS, a.shape[1]).transpose(0, 2, 1) @ b[:whole].reshape(-1, ROWS, b.shape[1])).sum(axis=0)
-    return out
-
-
-def _total(a: np.ndarray) -> np.ndarray:
-    """Sums over the rows."""
-    return np.ones(len(a), a.dtype) @ a
-
-
 def _attention(asks: np.ndarray, keys: np.ndarray, first: int = 0) -> np.ndarray:
     """Attention of the places from ``first`` on to themselves and those before."""
     a = asks @ keys.transpose(0, 2, 1)
-    n = np.arange(a.shape[1])
-    if a.max(initial=0) > 60 or a[:, n, n + first].min(initial=0) < -60:  # else exp is safe
+    if a.max(initial=0) > 60 or a.diagonal(first, 1, 2).min(initial=0) < -60:  # else exp is safe
         a += _MASK[first:keys.shape[1], :keys.shape[1]]
         a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
@@ -317,7 +300,7 @@ def _gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, live: np.n
         loss -= float(np.log(hit).sum())
         p[at, own] = hit - 1
         p *= share
-    g["s"][:], g["sb"][:] = _crossed(h2, outer), _total(outer)
+    g["s"][:], g["sb"][:] = h2.T @ outer, outer.sum(axis=0)
     d2 = np.empty_like(h2)
     for group, i, j in spans:
         p = inner[i:j]
@@ -326,10 +309,10 @@ def _gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, live: np.n
     if spans:
         g["b"][[x[0] for x in spans]] = np.add.reduceat(inner, [x[1] for x in spans], axis=0)
     d2 += outer @ w["s"].T
-    g["w2"][:] = _crossed(z, d2)
+    g["w2"][:] = z.T @ d2
     dz = d2 @ w["w2"].T
     dz *= z > 0
-    g["w1"][:], g["b1"][:] = _crossed(h1, dz), _total(dz)
+    g["w1"][:], g["b1"][:] = h1.T @ dz, dz.sum(axis=0)
     d2 += dz @ w["w1"].T
     d1 = (np.empty if len(on) == x.size else np.zeros)((x.size, WIDTH), d2.dtype)
     d1[on] = d2
@@ -344,7 +327,7 @@ def _gradient(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, live: np.n
     d1 += ds.transpose(0, 2, 1) @ t[..., :WIDTH]
     d0, dt = d1.reshape(-1, WIDTH), dt.reshape(-1, 2 * WIDTH)
     d0 += dt @ mixed.T
-    dm = _crossed(h0.reshape(-1, WIDTH), dt)
+    dm = h0.reshape(-1, WIDTH).T @ dt
     asked, given = dm[:, :WIDTH] * _SCALE, dm[:, WIDTH:]
     g["q"][:], g["k"][:] = asked @ w["k"], asked.T @ w["q"]
     g["v"][:], g["o"][:] = given @ w["o"].T, w["v"].T @ given
